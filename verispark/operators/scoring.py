@@ -175,10 +175,15 @@ def coverage_audit(long: DataFrame) -> DataFrame:
 
 
 def similarity_columns(
-    trials: DataFrame, embeddings: DataFrame, encoders: Sequence[str], metrics: Sequence[str]
+    trials: DataFrame,
+    embeddings: DataFrame,
+    encoders: Sequence[str],
+    metrics: Sequence[str],
+    *,
+    rows: int | None = None,
 ) -> DataFrame:
     """``score__<encoder>__<metric>`` columns plus the plain ``score_<encoder>`` cosine."""
-    joined = attach_sides(trials, embeddings.select("utterance", *encoders), encoders)
+    joined = attach_sides(trials, embeddings.select("utterance", *encoders), encoders, rows=rows, row_bytes=8192)
     cols = []
     for e in encoders:
         a, b = F.col(f"_enroll_{e}"), F.col(f"_test_{e}")

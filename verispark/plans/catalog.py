@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import protocol_queries  # noqa: F401
+from . import protocol_queries, similarity_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -323,10 +323,10 @@ def scalar_math(spark, d):
     )
 
 
-def wide_with_features(spark, d):
+def wide_with_features(spark, d, extra=()):
     """Wide trial table: scores, language flag and duration columns."""
     t = with_durations(spark, d).filter(F.col("split") != P.UNUSED)
-    keep = ["split", "trial_id", "label", "enroll_utt", "test_utt", "enroll_speaker", "target", *DUR_COLS]
+    keep = ["split", "trial_id", "label", "enroll_utt", "test_utt", "enroll_speaker", "target", *DUR_COLS, *extra]
     return J.score_wide(
         t.select(*keep), fx.embeddings_wide(spark, d), fx.ENCODERS, fx.ENC_DIM, utterances=fx.utterance_count(spark, d)
     )
