@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import metric_queries, protocol_queries, similarity_queries  # noqa: F401
+from . import decision_queries, metric_queries, protocol_queries, similarity_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -116,12 +116,15 @@ def embeddings_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trial_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(trial_key, label, enroll_id, test_id) per lineitem row."""
-    speakers = utterance_count(spark, sf_dir) // PER_SPEAKER
+    """(trial_id, label, enroll_id, test_id) per lineitem row."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_extendedprice"
     )
-    li = spread(li, "l_orderkey")
+    return trials_from(spread(li, "l_orderkey"), utterance_count(spark, sf_dir) // PER_SPEAKER)
+
+
+def trials_from(li: DataFrame, speakers: int) -> DataFrame:
+    """Trials of (batch or streaming) lineitem rows over a number of speakers."""
     n = F.lit(speakers * PER_SPEAKER)
     enroll = F.pmod(F.col("l_orderkey") * 13 + F.col("l_linenumber") * 7 + F.col("l_suppkey"), n)
     speaker = _speaker_no(F.col("enroll_id"))
@@ -143,17 +146,6 @@ def trial_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trial_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trial list as raw ``label enroll test`` lines with a line number order key."""
-    t = trial_list(spark, sf_dir)
-    return t.select(
-        F.col("trial_id").alias("order_key"),
-        F.concat_ws(" ", F.col("label").cast("string"), utterance_of(F.col("enroll_id")), utterance_of(F.col("test_id"))).alias(
-            "value"
-        ),
-    )
-
-
 def protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Protocol rows before splitting."""
     from ..operators.protocol import describe_trials
