@@ -27,15 +27,6 @@ def dot(a: Column, b: Column) -> Column:
     return array_sum(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def dot_fixed(a: str, b: str, dim: int) -> Column:
-    """Dot product of two array columns unrolled to plain arithmetic.
-
-    Stays in generated code, unlike the lambda form; for short vectors of a
-    known width.
-    """
-    return F.expr(" + ".join(f"get(`{a}`, {i}) * get(`{b}`, {i})" for i in range(dim)))
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

@@ -111,8 +111,10 @@ def quantiles(
     one task; this finds the two bracketing order statistics by rank instead.
     NULL and NaN values are ignored.
     """
-    measure = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.filter(~F.isnan(value) & F.col(value).isNotNull()).groupBy(*keys, value).agg(measure.alias("n"))
+    usable = F.col(value).isNotNull() & ~F.isnan(value)
+    w = F.col(weight) if weight else F.lit(1).cast("bigint")
+    # dropped after the aggregate, so the value expression is evaluated once
+    counts = df.groupBy(*keys, value).agg(F.sum(F.when(usable, w).otherwise(F.lit(0))).alias("n")).filter(F.col("n") > 0)
     ranked = prefix_sums(counts, keys, value, ["n"])
     v, top, first = F.col(value), F.col("cum_n") - 1, F.col("cum_n") - F.col("n")
     aggs, outs = [], []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -51,7 +51,6 @@ def score_wide(
     trials: DataFrame,
     embeddings: DataFrame,
     encoders: Sequence[str],
-    dim: int | None = None,
     *,
     utterances: int | None = None,
 ) -> DataFrame:
@@ -61,14 +60,9 @@ def score_wide(
     encoders share the two joins; no pivot of trial rows is needed.
     """
     units = embeddings.select("utterance", *[V.unit(F.col(e)).alias(e) for e in encoders])
-    width = 16 * len(encoders) * (dim or 512)
-    joined = attach_sides(trials, units, encoders, rows=utterances, row_bytes=width)
-
-    def product(e: str) -> Column:
-        a, b = f"_enroll_{e}", f"_test_{e}"
-        return V.dot_fixed(a, b, dim) if dim else V.dot(F.col(a), F.col(b))
-
-    return joined.select(*trials.columns, *[product(e).alias(f"score_{e}") for e in encoders])
+    joined = attach_sides(trials, units, encoders, rows=utterances, row_bytes=8192 * len(encoders))
+    products = [V.dot(F.col(f"_enroll_{e}"), F.col(f"_test_{e}")).alias(f"score_{e}") for e in encoders]
+    return joined.select(*trials.columns, *products)
 
 
 def score_trials(

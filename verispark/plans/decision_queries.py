@@ -13,7 +13,7 @@ from ..operators import metrics as M
 from ..operators import protocol as P
 from ..operators import scoring as J
 from ..operators import selective as D
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialise
 from ..sources import fixtures as fx
 from ..streaming import incremental as I
 from . import sqlbase as B
@@ -38,7 +38,7 @@ DEC = """dec AS (SELECT conf.*, CASE WHEN confidence < thr THEN 'reject' WHEN po
 
 
 def _conf(spark, d):
-    return D.confidence(fx.llr_trials(spark, d))
+    return D.confidence(materialise(fx.llr_trials(spark, d)))
 
 
 def _thr80(conf) -> float:
@@ -53,7 +53,7 @@ def _decided(spark, d):
 
 @query("confidence", B.sql(CONF, final=B.pick("conf", ["trial_id"], ["posterior", "confidence"])))
 def confidence(spark, d):
-    return _conf(spark, d).select("trial_id", "posterior", "confidence")
+    return D.confidence(fx.llr_trials(spark, d)).select("trial_id", "posterior", "confidence")
 
 
 COVERAGES = {"c95": 0.95, "c80": 0.8, "c50": 0.5}
@@ -154,7 +154,7 @@ CURVE = [
 
 
 def _curve(spark, d):
-    t = fx.llr_trials(spark, d).withColumn("dataset", F.lit(fx.DATASET))
+    t = materialise(fx.llr_trials(spark, d)).withColumn("dataset", F.lit(fx.DATASET))
     test = t.filter("split = 'test'").select("dataset", "label", "llr")
     return D.coverage_curve(test, t.filter("split = 'validation'").select("dataset", "llr"), "dataset", _TARGETS)
 
@@ -229,6 +229,7 @@ def reject_risk(spark, d):
     """Composite risk with calibration statistics; top 10% of validation risk rejected."""
     t = wide_with_features(spark, d).withColumn("llr", fx.llr_column()).withColumn("dataset", F.lit(fx.DATASET))
     cols = ["dataset", "trial_id", "llr", "short_duration_risk", "duration_ratio", "target"]
+    t = materialise(t.select("split", *cols))
     train = t.filter("split = 'calibration'").select(*cols)
     val = D.reject_risk(t.filter("split = 'validation'").select(*cols), train, ["dataset"])
     test = D.reject_risk(t.filter("split = 'test'").select(*cols), train, ["dataset"])
@@ -243,8 +244,13 @@ FNORM = """tst AS (SELECT embedding_name, avg(score) AS m, CASE WHEN stddev_pop(
   FROM long WHERE split = 'calibration' GROUP BY 1),
 zl AS (SELECT l.split, l.trial_id, l.label, l.embedding_name, l.score, (l.score - m)/s AS z, w.weight
   FROM long l JOIN tst USING (embedding_name) JOIN wts w USING (embedding_name))"""
-ZS = """zs AS (SELECT split, trial_id, any_value(label) AS label, avg(z) AS z_mean, stddev_pop(z) AS z_std, max(z) AS z_max, min(z) AS z_min,
-  max(z) - min(z) AS z_range, sum(z*weight) AS z_weighted, avg(score) AS raw_mean FROM zl GROUP BY 1, 2)"""
+ZS = f"""zst AS (SELECT list(m ORDER BY t.embedding_name) AS ms, list(s ORDER BY t.embedding_name) AS ss,
+    list(weight ORDER BY t.embedding_name) AS ws FROM tst t JOIN wts w USING (embedding_name)),
+zr AS (SELECT split, trial_id, label, [{', '.join('score_' + e for e in fx.ENCODERS)}] AS x, ws,
+    list_transform(list_zip([{', '.join('score_' + e for e in fx.ENCODERS)}], ms, ss), lambda q: (q[1]-q[2])/q[3]) AS z FROM scored, zst),
+zs AS (SELECT split, trial_id, label, list_sum(z)/6 AS z_mean, list_stddev_pop(z) AS z_std, list_max(z) AS z_max,
+    list_min(z) AS z_min, list_max(z) - list_min(z) AS z_range,
+    list_sum(list_transform(list_zip(z, ws), lambda q: q[1]*q[2])) AS z_weighted, list_sum(x)/6 AS raw_mean FROM zr)"""
 _WTS = [B.roc("r", "long", ["split", ENC]), B.eer("e", "r", ["split", ENC]), WEIGHTS]
 ZCOLS = ["z_mean", "z_std", "z_max", "z_min", "z_range", "z_weighted"]
 
@@ -264,7 +270,7 @@ def fusion_stats(scored):
 
 def fusion_features(spark, d):
     """Trials with z-scored score summaries and entropy features."""
-    t = fx.scored(spark, d)
+    t = materialise(fx.scored(spark, d))
     mean, std, weights = fusion_stats(t)
     z = t.withColumn("z", X.z_array(F.array(*SCORES), mean, std))
     return z.withColumns({**X.summary_features(F.col("z"), weights), **X.entropy_features(F.col("z"), len(SCORES))})
@@ -321,7 +327,7 @@ def hand_fusions(spark, d):
     """Four fixed fusions, threshold chosen on validation, metrics on test."""
     raw_mean = sum((F.col(c) for c in SCORES[1:]), F.col(SCORES[0])) / 6.0
     t = fusion_features(spark, d).withColumn("raw_mean", raw_mean)
-    fused = t.select("split", "label", *_MODES).unpivot(["split", "label"], _MODES, "mode", "score")
+    fused = materialise(t.select("split", "label", *_MODES)).unpivot(["split", "label"], _MODES, "mode", "score")
     best = M.best_threshold(fused.filter("split = 'validation'"), ["mode"])
     test = fused.filter("split = 'test'")
     at = M.threshold_metrics(test, ["mode"], best).select(
@@ -338,18 +344,18 @@ META = ["target", "min_duration", "duration_ratio", "short_duration_risk"]
 
 
 def _rich_sql():
-    """(name, expression) pairs of the expanded features over list column s."""
+    """(name, expression) pairs of the expanded features over the list column sl."""
     out = [(f"in_{c}", c) for c in [*SCORES, *META]]
-    out += [("s_mean", "mu"), ("s_std", "list_stddev_pop(s)"), ("s_min", "so[6]"), ("s_max", "so[1]"), ("s_range", "so[1]-so[6]")]
+    out += [("s_mean", "mu"), ("s_std", "list_stddev_pop(sl)"), ("s_min", "so[6]"), ("s_max", "so[1]"), ("s_range", "so[1]-so[6]")]
     out += [(f"top{i}", f"so[{i}]") for i in (1, 2, 3)] + [("top_gap", "so[1]-so[2]")]
     out += [(f"centred_{c}", f"{c} - mu") for c in SCORES]
     out += [(f"x_{c}_{m}", f"{c}*{m}") for c in SCORES for m in META]
     out += [(f"desc{i}", f"so[{i}]") for i in range(1, 7)] + [(f"gap{i}", f"so[{i}]-so[{i + 1}]") for i in range(1, 6)]
-    out += [(n, f"list_aggregate(s, 'quantile_cont', {q})") for n, q in (("s_median", 0.5), ("s_q25", 0.25), ("s_q75", 0.75))]
+    out += [(n, f"list_aggregate(sl, 'quantile_cont', {q})") for n, q in (("s_median", 0.5), ("s_q25", 0.25), ("s_q75", 0.75))]
     pairs = [(a, b) for a in range(1, 7) for b in range(a + 1, 7)]
-    out += [(f"diff{a}_{b}", f"s[{a}]-s[{b}]") for a, b in pairs]
-    out += [(f"absdiff{a}_{b}", f"abs(s[{a}]-s[{b}])") for a, b in pairs]
-    out += [(f"prod{a}_{b}", f"s[{a}]*s[{b}]") for a, b in pairs]
+    out += [(f"diff{a}_{b}", f"sl[{a}]-sl[{b}]") for a, b in pairs]
+    out += [(f"absdiff{a}_{b}", f"abs(sl[{a}]-sl[{b}])") for a, b in pairs]
+    out += [(f"prod{a}_{b}", f"sl[{a}]*sl[{b}]") for a, b in pairs]
     return out + [(f"sq_{m}", f"{m}*{m}") for m in META]
 
 
@@ -359,8 +365,8 @@ def _rich_sql():
         MEDIAN,
         DUR,
         WIDE,
-        f"wa AS (SELECT *, [{', '.join(SCORES)}] AS s, list_reverse_sort([{', '.join(SCORES)}]) AS so FROM wide)",
-        "wm AS (SELECT *, list_avg(s) AS mu FROM wa)",
+        f"wa AS (SELECT *, [{', '.join(SCORES)}] AS sl, list_reverse_sort([{', '.join(SCORES)}]) AS so FROM wide)",
+        "wm AS (SELECT *, list_avg(sl) AS mu FROM wa)",
         final="SELECT trial_id, "
         + ", ".join(f"round(({e})::DOUBLE, 6) + 0.0::DOUBLE AS {n}" for n, e in _rich_sql())
         + " FROM wm",
@@ -378,25 +384,23 @@ def rich_expand(spark, d):
 @query("c1_logistic")
 def c1_logistic(spark, d):
     """Per-encoder logistic calibration on the calibration split, metrics on test."""
-    t = fx.scored(spark, d)
-    cal, test = t.filter("split = 'calibration'").persist(), t.filter("split = 'test'")
+    t = materialise(fx.scored(spark, d).select("split", "label", *SCORES))
+    cal, test = t.filter("split = 'calibration'"), t.filter("split = 'test'")
     fits = {e: C.fit_logistic(cal, f"score_{e}") for e in ENCODERS}
-    cal.unpersist()
     llrs = test.select("label", *[fits[e].apply(f"score_{e}").alias(e) for e in ENCODERS])
     return M.metric_block(llrs.unpivot(["label"], ENCODERS, "encoder", "llr"), ["encoder"], "llr")
 
 
 @query("c2_pav")
 def c2_pav(spark, d):
-    """Isotonic calibration of two encoders, metrics on test."""
-    t = fx.scored(spark, d)
-    cal = t.filter("split = 'calibration'").persist()
+    """Isotonic calibration per encoder, metrics on test."""
+    t = materialise(fx.scored(spark, d).select("split", "label", *SCORES))
+    cal = t.filter("split = 'calibration'")
     parts = []
-    for e in ENCODERS[:2]:
+    for e in ENCODERS:
         fit = C.fit_pav(cal, f"score_{e}")
         out = fit.apply(t.filter("split = 'test'").select("label", f"score_{e}"), f"score_{e}")
         parts.append(out.select("label", "llr", F.lit(e).alias("encoder")))
-    cal.unpersist()
     return M.metric_block(P.union_all(parts), ["encoder"], "llr")
 
 
@@ -404,6 +408,7 @@ def c2_pav(spark, d):
 def affine_llr(spark, d):
     """Scale and bias on validation; Cllr before and after on test."""
     t = fx.scored(spark, d).withColumn("raw", sum((F.col(c) for c in SCORES[1:]), F.col(SCORES[0])))
+    t = materialise(t.select("split", "label", "raw"))
     fit = C.fit_affine_llr(t.filter("split = 'validation'"), "raw")
     test = t.filter("split = 'test'").select("split", "label", "raw", fit.apply("raw").alias("llr"))
     before = M.decision_costs(test, ["split"], "raw").select("split", F.col("cllr").alias("raw_cllr"))
@@ -411,22 +416,19 @@ def affine_llr(spark, d):
     return after.join(before, "split").withColumns({"scale": F.lit(fit.slope), "bias": F.lit(fit.intercept)})
 
 
-def _evaluate(head: C.CalibratedHead, test, name: str):
-    out = head.apply(test).select("label", "llr", F.lit(name).alias("system"))
-    block = M.metric_block(out, ["system"], "llr")
-    return block.withColumns(
-        {
-            "setting": F.lit(head.setting),
-            "feature_count": F.lit(len(head.features)).cast("bigint"),
-            "validation_cllr": F.lit(head.validation_cllr),
-        }
-    )
+def _report(spark, heads: dict[str, C.CalibratedHead], tests: dict):
+    """Test metrics of several fitted heads in one grouped pass, with their settings."""
+    scored = [h.apply(tests[n]).select("label", "llr", F.lit(n).alias("system")) for n, h in heads.items()]
+    block = M.metric_block(P.union_all(scored), ["system"], "llr")
+    rows = [(n, h.setting, len(h.features), h.validation_cllr) for n, h in heads.items()]
+    info = spark.createDataFrame(rows, "system string, setting string, feature_count bigint, validation_cllr double")
+    return block.join(info, "system")
 
 
 def _split_frames(df, columns):
-    """Train / validation / test of a wide table, materialised once for the fits."""
-    base = C.finite_rows(df, columns).select("split", "label", *columns).persist()
-    return [base.filter(F.col("split") == s).drop("split") for s in ("calibration", "validation", "test")], base
+    """Train / validation / test of a feature table written once for all fits."""
+    base = C.finite_rows(materialise(df.select("split", "label", *columns)), columns)
+    return [base.filter(F.col("split") == s).drop("split") for s in ("calibration", "validation", "test")]
 
 
 def _expanded(spark, d, zero_meta: bool = False):
@@ -448,12 +450,11 @@ def linear_heads(spark, d):
         ("linear_matched_score_only", _expanded(spark, d, zero_meta=True), rich),
         ("linear_expanded", _expanded(spark, d), rich),
     ]
-    parts = []
+    heads, tests = {}, {}
     for name, frame, cols in modes:
-        (train, val, test), base = _split_frames(frame, cols)
-        parts.append(_evaluate(C.fit_calibrated_head(train, val, cols), test, name))
-        base.unpersist()
-    return P.union_all(parts)
+        train, val, tests[name] = _split_frames(frame, cols)
+        heads[name] = C.fit_calibrated_head(train, val, cols)
+    return _report(spark, heads, tests)
 
 
 @query("condition_heads")
@@ -461,16 +462,13 @@ def condition_heads(spark, d):
     """Score plus quality, language or reliability columns, per encoder."""
     frame = wide_with_features(spark, d)
     cols = [*SCORES, *X.QUALITY, *X.RELIABILITY, *X.LANGUAGE]
-    (train, val, test), base = _split_frames(frame, cols)
-    parts = []
+    train, val, test = _split_frames(frame, cols)
+    heads = {}
     for mode in ("c3_qmf", "c4_lang", "c5_reject"):
         for e in ENCODERS:
             used = X.feature_columns(mode, [f"score_{e}"])
-            head = C.fit_calibrated_head(train.select("label", *used), val, used, grid=[10.0])
-            parts.append(_evaluate(head, test, f"{mode}:{e}"))
-    out = P.union_all(parts)
-    base.unpersist()
-    return out
+            heads[f"{mode}:{e}"] = C.fit_calibrated_head(train, val, used, grid=[10.0])
+    return _report(spark, heads, dict.fromkeys(heads, test))
 
 
 @query("fusion_head")
@@ -480,32 +478,28 @@ def fusion_head(spark, d):
         wide_with_features(spark, d).select("trial_id", *META), "trial_id"
     )
     cols = [*ZCOLS, "entropy", "top_margin", "max_prob", *SCORES, *META]
-    (train, val, test), base = _split_frames(t, cols)
-    parts = [
-        _evaluate(C.fit_calibrated_head(train, val, cols, grid=[10.0]), test, "linear"),
-        _evaluate(C.fit_calibrated_head(train, val, cols, trees=True), test, "gbt"),
-    ]
-    base.unpersist()
-    return P.union_all(parts)
+    train, val, test = _split_frames(t, cols)
+    heads = {
+        "linear": C.fit_calibrated_head(train, val, cols, grid=[10.0]),
+        "gbt": C.fit_calibrated_head(train, val, cols, trees=True),
+    }
+    return _report(spark, heads, dict.fromkeys(heads, test))
 
 
 @query("fusion_ablation")
 def fusion_ablation(spark, d):
     """Fusion with parts of the inputs removed, and with metadata permuted."""
-    frame = wide_with_features(spark, d)
     cols = [*SCORES, *META]
-    (train, val, test), base = _split_frames(frame, cols)
-    parts = []
+    frame = materialise(wide_with_features(spark, d).select("split", "trial_id", "label", *cols))
+    train, val, test = _split_frames(frame, cols)
+    heads = {}
     for mode in X.FUSION_MODES:
-        used = X.feature_columns(mode, SCORES)
-        head = C.fit_calibrated_head(train, val, used, grid=[30.0])
-        parts.append(_evaluate(head, test, mode))
-    shuffled = P.permute_metadata(frame.select("split", "trial_id", "label", *cols), ["split"], META, "perm_v1")
-    (train, val, test), base2 = _split_frames(shuffled, cols)
-    parts.append(_evaluate(C.fit_calibrated_head(train, val, cols, grid=[30.0]), test, "permuted_metadata"))
-    base.unpersist()
-    base2.unpersist()
-    return P.union_all(parts)
+        heads[mode] = C.fit_calibrated_head(train, val, X.feature_columns(mode, SCORES), grid=[30.0])
+    tests = dict.fromkeys(heads, test)
+    shuffled = P.permute_metadata(frame, ["split"], META, "perm_v1")
+    train, val, tests["permuted_metadata"] = _split_frames(shuffled, cols)
+    heads["permuted_metadata"] = C.fit_calibrated_head(train, val, cols, grid=[30.0])
+    return _report(spark, heads, tests)
 
 
 @query("backend_fusion")
@@ -523,25 +517,22 @@ def backend_fusion(spark, d):
     )
     cols = [*names, *META]
     parts = P.hash_bucket_split(sim)
-    base = C.finite_rows(parts, cols).select("split", "part", "label", *cols).persist()
+    base = C.finite_rows(materialise(parts.select("split", "part", "label", *cols)), cols)
     source = base.filter("split = 'calibration'")
-    train = source.filter("part = 'train'").select("label", *cols)
-    held = source.filter("part <> 'train'").select("label", *cols)
-    test = base.filter("split = 'test'").select("label", *cols)
-    out = [_evaluate(C.fit_calibrated_head(train, held, cols, grid=[10.0]), test, "scores_and_metadata")]
-    out.append(_evaluate(C.fit_calibrated_head(train, held, names, grid=[10.0]), test, "scores_only"))
-    base.unpersist()
-    return P.union_all(out)
+    train, held = source.filter("part = 'train'"), source.filter("part <> 'train'")
+    heads = {
+        "scores_and_metadata": C.fit_calibrated_head(train, held, cols, grid=[10.0]),
+        "scores_only": C.fit_calibrated_head(train, held, names, grid=[10.0]),
+    }
+    return _report(spark, heads, dict.fromkeys(heads, base.filter("split = 'test'")))
 
 
 @query("frozen_eval")
 def frozen_eval(spark, d):
     """The frozen-column balanced model, fitted on calibration and evaluated on test."""
-    t = wide_with_features(spark, d).select("split", "label", *SCORES, *META)
-    train = t.filter("split = 'calibration'").persist()
-    out = C.frozen_eval(train, t.filter("split = 'test'"), [*SCORES, *META])
-    block = M.metric_block(out.select("split", "label", "llr"), ["split"], "llr")
-    return block
+    t = materialise(wide_with_features(spark, d).select("split", "label", *SCORES, *META))
+    out = C.frozen_eval(t.filter("split = 'calibration'"), t.filter("split = 'test'"), [*SCORES, *META])
+    return M.metric_block(out.select("split", "label", "llr"), ["split"], "llr")
 
 
 # --- multi-enrollment groups ---------------------------------------------------
@@ -604,7 +595,7 @@ sel_g AS (SELECT g.*, k4.group_hash IS NOT NULL AS kept,
 )
 def group_caps(spark, d):
     """Greedy caps as cascaded ranks (tight caps so that each binds)."""
-    out = G.select_groups(enrollment(spark, d), **CAPS)
+    out = G.select_groups(materialise(enrollment(spark, d)), **CAPS)
     return _label(out).select("group_hash", "split", "label", F.coalesce("drop_reason", F.lit("selected")).alias("outcome"))
 
 
@@ -620,7 +611,7 @@ def group_caps(spark, d):
     ),
 )
 def group_dictionaries(spark, d):
-    people, utts = G.dictionaries(enrollment(spark, d))
+    people, utts = G.dictionaries(materialise(enrollment(spark, d)))
     return utts.join(people, "speaker_id")
 
 
@@ -628,10 +619,10 @@ A_, B_ = 10.0, -2.5
 
 
 def _cells(spark, d):
-    groups = enrollment(spark, d)
+    groups = materialise(enrollment(spark, d))
     slots = G.slots_of(groups).select("trial_id")
     scores = fx.scored_long(spark, d).join(slots, "trial_id", "left_semi")
-    return G.group_scores(groups, scores, K)
+    return materialise(G.group_scores(groups, scores, K))
 
 
 def _vote_thresholds(cells):
@@ -679,7 +670,7 @@ gq AS (SELECT embedding_name, quantile_cont(risk, 0.8) AS thr FROM grk WHERE spl
 def _risked(spark, d):
     cells = _cells(spark, d)
     feats = G.group_features(cells.join(_vote_thresholds(cells), ENC), F.col("thr"), F.lit(A_), F.lit(B_), K)
-    feats = feats.withColumn("confidence", F.greatest(F.col("post_mean"), 1.0 - F.col("post_mean")))
+    feats = materialise(feats.withColumn("confidence", F.greatest(F.col("post_mean"), 1.0 - F.col("post_mean"))))
     return D.group_risk(feats, feats.filter("split = 'calibration'"), [ENC])
 
 
@@ -695,7 +686,7 @@ def _risked(spark, d):
 )
 def group_risk(spark, d):
     """Disagreement risk of test groups against the calibration 0.80 quantile."""
-    risked = _risked(spark, d)
+    risked = materialise(_risked(spark, d))
     thr = D.risk_threshold(risked.filter("split = 'calibration'"), [ENC], 0.2)
     test = risked.filter("split = 'test'").join(thr, ENC)
     return test.select("group_hash", ENC, (F.col("risk") > F.col("threshold")).cast("int").alias("rejected"), "risk")
@@ -704,7 +695,7 @@ def group_risk(spark, d):
 @query("group_decisions")
 def group_decisions(spark, d):
     """Per-encoder group head (C = 10) with fitted posteriors; binary and abstaining decisions."""
-    cells = _cells(spark, d).persist()
+    cells = _cells(spark, d)
     thr = {r[ENC]: r["thr"] for r in _vote_thresholds(cells).collect()}  # one row per encoder
     parts = []
     for e in ENCODERS:
@@ -715,7 +706,7 @@ def group_decisions(spark, d):
         sd = platt.stages[1]
         slope = float(platt.stages[2].coefficients[0]) / float(sd.std[0])
         bias = float(platt.stages[2].intercept) - slope * float(sd.mean[0])
-        feats = G.group_features(mine, F.lit(thr[e]), F.lit(slope), F.lit(bias), K)
+        feats = materialise(G.group_features(mine, F.lit(thr[e]), F.lit(slope), F.lit(bias), K))
         train = feats.filter("split = 'calibration'")
         head = C.fit_head(train, G.FEATURES, c=10.0)
         scored = D.confidence(C.decision(head, feats, G.FEATURES, "llr"))
@@ -758,7 +749,7 @@ def stream_scoring(spark, d):
         fx.utterance_of(F.col("test_id")).alias("test_utt"),
     )
     stream = I.scored_stream(
-        t, fx.embeddings_wide(spark, d), ENCODERS, fx.llr_column, confidence_threshold=0.7, dim=fx.ENC_DIM,
+        t, fx.embeddings_wide(spark, d), ENCODERS, fx.llr_column, confidence_threshold=0.7,
         utterances=fx.utterance_count(spark, d),
     )
     I.run_available(stream.select("trial_id", "label", "llr", "decision"), f"{base}/out", f"{base}/state")

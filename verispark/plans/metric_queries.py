@@ -9,6 +9,7 @@ from ..operators import bootstrap as R
 from ..operators import metrics as M
 from ..operators import protocol as P
 from ..operators import selective as D
+from ..session import materialise
 from ..sources import fixtures as fx
 from . import sqlbase as B
 from .registry import query
@@ -218,6 +219,7 @@ def four_systems(spark, d):
     """Test trials under four systems; the last abstains below a validation threshold."""
     meta = ("enroll_speaker", "language_pair", "language_condition", "enroll_duration_sec", "test_duration_sec")
     t = fx.scored(spark, d, extra=meta).withColumn("llr", fx.llr_column())
+    t = materialise(t.select("split", "trial_id", "label", *meta, "score_enc1", "score_enc2", "llr"))
     val = D.confidence(t.filter("split = 'validation'").select("split", "llr"))
     # one row: the abstention threshold chosen on validation
     thr = D.confidence_thresholds(val, ["split"], {"thr": 0.8}).first()["thr"]
@@ -313,7 +315,8 @@ _DELTA = ["eer_pct", "cllr", "act_dcf_p001", "act_dcf_p01"]
 )
 def control_delta(spark, d):
     """Single-encoder control minus the fused system on the same trials."""
-    t = fx.scored(spark, d).withColumn("llr", fx.llr_column())
+    t = fx.scored(spark, d).withColumn("llr", fx.llr_column()).select("split", "label", "llr", "score_enc1")
+    t = materialise(t)
     full = M.metric_block(t, ["split"], "llr")
     return A.control_delta(full, M.metric_block(t, ["split"], "score_enc1"), ["split"], _DELTA, settings=("n",))
 
@@ -331,7 +334,7 @@ def ci95(spark, d):
     """Half width of the central 95% band, here by distributed exact quantiles."""
     from ..operators.ranking import quantiles
 
-    v = fx.scored_long(spark, d).withColumn("y", F.when(F.col("score") >= 0, F.log(F.col("score") + 1.0)))
+    v = materialise(fx.scored_long(spark, d)).withColumn("y", F.when(F.col("score") >= 0, F.log(F.col("score") + 1.0)))
     half = lambda c: ((F.col(f"{c}_hi") - F.col(f"{c}_lo")) / 2.0).alias(f"{c}_ci95")
     parts = [
         quantiles(v, PER, c, {f"{c}_lo": 0.025, f"{c}_hi": 0.975}).select(*PER, half(c)) for c in ("score", "y")

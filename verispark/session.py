@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings for wide arithmetic projections.
 
     The JVM does not compile methods over 8000 bytes.  With the default limit a
-    fused stage with dozens of unrolled dot products stays interpreted (about
-    six times slower); with this one Spark splits it into small methods.
+    fused stage with a hundred feature expressions stays interpreted (measured
+    about six times slower); with this one Spark splits it into small methods.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
@@ -36,6 +36,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a table that several jobs read to the shared checkpoint folder.
+
+    Reliable (survives lost executors), and later filters are not pushed into
+    the expressions that built it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()

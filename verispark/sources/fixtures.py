@@ -195,7 +195,6 @@ def scored(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> Dat
         usable.select(*dict.fromkeys(keep)),
         embeddings_wide(spark, sf_dir),
         ENCODERS,
-        ENC_DIM,
         utterances=utterance_count(spark, sf_dir),
     )
 
