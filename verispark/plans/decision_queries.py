@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -386,7 +387,7 @@ def c1_logistic(spark, d):
     """Per-encoder logistic calibration on the calibration split, metrics on test."""
     t = materialise(fx.scored(spark, d).select("split", "label", *SCORES))
     cal, test = t.filter("split = 'calibration'"), t.filter("split = 'test'")
-    fits = {e: C.fit_logistic(cal, f"score_{e}") for e in ENCODERS}
+    fits = C.fit_many({e: partial(C.fit_logistic, cal, f"score_{e}") for e in ENCODERS})
     llrs = test.select("label", *[fits[e].apply(f"score_{e}").alias(e) for e in ENCODERS])
     return M.metric_block(llrs.unpivot(["label"], ENCODERS, "encoder", "llr"), ["encoder"], "llr")
 
@@ -450,11 +451,11 @@ def linear_heads(spark, d):
         ("linear_matched_score_only", _expanded(spark, d, zero_meta=True), rich),
         ("linear_expanded", _expanded(spark, d), rich),
     ]
-    heads, tests = {}, {}
+    jobs, tests = {}, {}
     for name, frame, cols in modes:
         train, val, tests[name] = _split_frames(frame, cols)
-        heads[name] = C.fit_calibrated_head(train, val, cols)
-    return _report(spark, heads, tests)
+        jobs[name] = partial(C.fit_calibrated_head, train, val, cols)
+    return _report(spark, C.fit_many(jobs), tests)
 
 
 @query("condition_heads")
@@ -463,11 +464,12 @@ def condition_heads(spark, d):
     frame = wide_with_features(spark, d)
     cols = [*SCORES, *X.QUALITY, *X.RELIABILITY, *X.LANGUAGE]
     train, val, test = _split_frames(frame, cols)
-    heads = {}
+    jobs = {}
     for mode in ("c3_qmf", "c4_lang", "c5_reject"):
         for e in ENCODERS:
             used = X.feature_columns(mode, [f"score_{e}"])
-            heads[f"{mode}:{e}"] = C.fit_calibrated_head(train, val, used, grid=[10.0])
+            jobs[f"{mode}:{e}"] = partial(C.fit_calibrated_head, train, val, used, grid=[10.0])
+    heads = C.fit_many(jobs)
     return _report(spark, heads, dict.fromkeys(heads, test))
 
 
@@ -479,10 +481,12 @@ def fusion_head(spark, d):
     )
     cols = [*ZCOLS, "entropy", "top_margin", "max_prob", *SCORES, *META]
     train, val, test = _split_frames(t, cols)
-    heads = {
-        "linear": C.fit_calibrated_head(train, val, cols, grid=[10.0]),
-        "gbt": C.fit_calibrated_head(train, val, cols, trees=True),
-    }
+    heads = C.fit_many(
+        {
+            "linear": partial(C.fit_calibrated_head, train, val, cols, grid=[10.0]),
+            "gbt": partial(C.fit_calibrated_head, train, val, cols, trees=True),
+        }
+    )
     return _report(spark, heads, dict.fromkeys(heads, test))
 
 
@@ -492,14 +496,14 @@ def fusion_ablation(spark, d):
     cols = [*SCORES, *META]
     frame = materialise(wide_with_features(spark, d).select("split", "trial_id", "label", *cols))
     train, val, test = _split_frames(frame, cols)
-    heads = {}
+    jobs = {}
     for mode in X.FUSION_MODES:
-        heads[mode] = C.fit_calibrated_head(train, val, X.feature_columns(mode, SCORES), grid=[30.0])
-    tests = dict.fromkeys(heads, test)
+        jobs[mode] = partial(C.fit_calibrated_head, train, val, X.feature_columns(mode, SCORES), grid=[30.0])
+    tests = dict.fromkeys(jobs, test)
     shuffled = P.permute_metadata(frame, ["split"], META, "perm_v1")
     train, val, tests["permuted_metadata"] = _split_frames(shuffled, cols)
-    heads["permuted_metadata"] = C.fit_calibrated_head(train, val, cols, grid=[30.0])
-    return _report(spark, heads, tests)
+    jobs["permuted_metadata"] = partial(C.fit_calibrated_head, train, val, cols, grid=[30.0])
+    return _report(spark, C.fit_many(jobs), tests)
 
 
 @query("backend_fusion")
@@ -520,10 +524,12 @@ def backend_fusion(spark, d):
     base = C.finite_rows(materialise(parts.select("split", "part", "label", *cols)), cols)
     source = base.filter("split = 'calibration'")
     train, held = source.filter("part = 'train'"), source.filter("part <> 'train'")
-    heads = {
-        "scores_and_metadata": C.fit_calibrated_head(train, held, cols, grid=[10.0]),
-        "scores_only": C.fit_calibrated_head(train, held, names, grid=[10.0]),
-    }
+    heads = C.fit_many(
+        {
+            "scores_and_metadata": partial(C.fit_calibrated_head, train, held, cols, grid=[10.0]),
+            "scores_only": partial(C.fit_calibrated_head, train, held, names, grid=[10.0]),
+        }
+    )
     return _report(spark, heads, dict.fromkeys(heads, base.filter("split = 'test'")))
 
 
