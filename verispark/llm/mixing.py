@@ -96,15 +96,14 @@ def _move_wide(size: np.ndarray, p: np.ndarray, at: np.ndarray, u: float) -> Non
     rest = size[at[1:]]
     m, s1, s2 = len(rest), rest.sum(), (rest * rest).sum()
     det = m * s2 - s1 * s1
+    v = np.ones(len(at))
     if det > TINY * max(1.0, m * s2):
-        alpha, beta = (s1 * size[at[0]] - s2) / det, (s1 - m * size[at[0]]) / det
-        others = alpha + beta * rest
+        v[1:] = (s1 * size[at[0]] - s2) / det + (s1 - m * size[at[0]]) / det * rest
     elif size[at[0]] == rest[0]:
-        others = np.full(m, -1.0 / m)
+        v[1:] = -1.0 / m
     else:  # equal sizes can't make up for another one: they move against each other
-        others = np.zeros(m)
-        others[:2] = 1.0, -1.0
-    v = np.concatenate([[0.0 if others[0] == 1.0 else 1.0], others])
+        v[:] = 0.0
+        v[1:3] = 1.0, -1.0
     with np.errstate(divide="ignore", invalid="ignore"):
         up = np.min(np.where(v > 0, (1 - p[at]) / v, np.where(v < 0, p[at] / -v, np.inf)))
         down = np.min(np.where(v > 0, p[at] / v, np.where(v < 0, (1 - p[at]) / -v, np.inf)))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, mixing, quality, sharding
+from . import byte_bpe, chat, jaccard_join, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,3 +130,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), N_SHARDS)
     law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+# --- 1: n-gram Jaccard join ----------------------------------------------------------------
+
+
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+    kept = F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return joined.select("doc_id", "class_id", "n_links", kept.alias("kept"))
