@@ -129,3 +129,27 @@ def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 <
         out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
         at = to
     return mix(out)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with equal keys, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        edges = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(columns[:, a].tolist())
+            if held and key != last:
+                yield _joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]

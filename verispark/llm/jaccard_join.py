@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Words, mix, text_slices, written
+from .arrow import Words, groups, mix, text_slices, written
 from .components import components
 
 SHINGLE = 5
@@ -133,30 +133,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), HASHES)
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with equal keys, from batches sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
-        edges = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            key = tuple(columns[:, a].tolist())
-            if held and key != last:
-                yield _joined(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield _joined(held)
-
-
-def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
 def pruned(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Indices of signatures in ``many`` that may be links of ``one`` (a signature, or one for each)."""
     alive, agree = np.arange(len(many)), np.zeros(len(many), np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, jaccard_join, mixing, quality, sharding
+from . import byte_bpe, chat, jaccard_join, line_dedup, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +140,15 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
     kept = F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return joined.select("doc_id", "class_id", "n_links", kept.alias("kept"))
+
+
+# --- 9: line dedup -------------------------------------------------------------------------
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "documents")
+    n_lines = lambda c: F.size(F.split(F.col(c), "\n"))
+    shorter = line_dedup.dedup_lines(given.select("doc_id", "text", n_lines("text").alias("n_lines")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return shorter.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
