@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, jaccard_join, line_dedup, mixing, quality, sharding
+from . import byte_bpe, chat, embedding_join, jaccard_join, line_dedup, mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,3 +152,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     shorter = line_dedup.dedup_lines(given.select("doc_id", "text", n_lines("text").alias("n_lines")))
     text = F.coalesce(F.col("text"), F.lit(""))
     return shorter.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
+# --- 8: embedding near-duplicates ----------------------------------------------------------
+
+
+@query("op8_embedding_neardup")
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
