@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -153,3 +154,32 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Re
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def array_sums(parts: DataFrame, kind: str, spread: int = 32) -> dict[int, np.ndarray]:
+    """Element-wise sums by key of rows (key long, part long, values binary), in two rounds.
+
+    Each task keeps one array per key, so memory does not grow with the number of
+    parts; what reaches the driver is one array per key.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, values in zip(batch.column("key").to_pylist(), batch.column("values")):
+                some = np.frombuffer(values.as_py(), kind)
+                sums[key] = sums[key] + some if key in sums else some
+        if sums:
+            columns = [pa.array(list(sums), pa.int64()), pa.array([0] * len(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()])]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "part", "values"])
+
+    schema = "key long, part long, values binary"
+    first = parts.repartition(F.col("key"), F.pmod("part", F.lit(spread))).mapInArrow(add, schema)
+    rows = first.repartition("key").mapInArrow(add, schema).collect()
+    return {r.key: np.frombuffer(r["values"], kind) for r in rows}
+
+
+def task_part() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embedding_join, jaccard_join, line_dedup, mixing, quality, sharding
+from . import byte_bpe, chat, embedding_join, jaccard_join, line_dedup, lm_score, mixing, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,21 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embedding_neardup")
 def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# --- 4: LM scoring -------------------------------------------------------------------------
+
+
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 4) for c in ("log_probability", "mean_log_probability")})
+
+
+# --- 10: secret scan -----------------------------------------------------------------------
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "secret")
