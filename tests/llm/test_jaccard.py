@@ -1,50 +1,12 @@
-import re
-
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from verispark.llm import arrow, components, jaccard_join, queries
 
-SF = "/root/testdata/sf0.01"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def shingle_set(text):
-    w = WORD.findall(text or "")
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def brute(rows):
-    """(doc_id, text) rows -> links of each row and class ids, by the definition."""
-    sets = [shingle_set(t) for _, t in rows]
-    at = {}
-    for k, s in enumerate(sets):
-        for x in s:
-            at.setdefault(x, []).append(k)
-    links = [set() for _ in rows]
-    for k, s in enumerate(sets):
-        common = {}
-        for x in s:
-            for other in at[x]:
-                common[other] = common.get(other, 0) + 1
-        links[k] = {o for o, c in common.items() if o != k and 5 * c >= 4 * (len(s) + len(sets[o]) - c)}
-    label = list(range(len(rows)))
+from .brute import WORD, brute_classes
 
-    def find(k):
-        while label[k] != k:
-            k = label[k]
-        return k
-
-    for k, ls in enumerate(links):
-        for o in ls:
-            a, b = sorted((find(k), find(o)))
-            label[b] = a
-    groups = {}
-    for k in range(len(rows)):
-        groups.setdefault(find(k), []).append(k)
-    least = {g: min((rows[k][0] for k in ks if rows[k][0] is not None), default=None) for g, ks in groups.items()}
-    return [(rows[k][0], least[find(k)], len(links[k])) for k in range(len(rows))]
+SF = "/root/testdata/sf0.01"
 
 
 def key(row):
@@ -70,7 +32,7 @@ def test_words_and_hashes(odd_docs):
 def test_op1_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in queries.QUERIES["op1_jaccard_join"](spark, SF).collect()), key=key)
-    assert got == sorted(brute(docs), key=key)
+    assert got == sorted(brute_classes(docs), key=key)
 
 
 @pytest.mark.parametrize("block", [1 << 30, 3])
@@ -89,16 +51,16 @@ def test_near_copies_in_blocks(spark, monkeypatch, block):
     rows += [(100 + k, " ".join(f"y{v}" for v in rng.integers(0, 9000, 80))) for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(df).collect()), key=key)
-    assert got == sorted(brute(rows), key=key)
+    assert got == sorted(brute_classes(rows), key=key)
 
 
 def test_odd_rows(spark, odd_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(odd_docs).collect()), key=key)
-    assert got == sorted(brute(rows), key=key)
+    assert got == sorted(brute_classes(rows), key=key)
     kept = jaccard_join.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
-    classes = {c for _, c, _ in brute(rows)}
+    classes = {c for _, c, _ in brute_classes(rows)}
     assert kept.count() == len(classes)
     assert jaccard_join.jaccard_join(odd_docs.limit(0)).count() == 0 and jaccard_join.keep_one(odd_docs.limit(0)).count() == 0
 

@@ -1,5 +1,4 @@
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,29 +6,9 @@ import pytest
 
 from verispark.llm import line_dedup, queries
 
+from .brute import WORD, brute_lines
+
 SF = "/root/testdata/sf0.001"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def brute(rows):
-    """Shortened texts by the definition: each line against all earlier ones."""
-    lines = []
-    for k, (doc, text, place) in enumerate(rows):
-        for n, line in enumerate((text or "").split("\n")):
-            s = frozenset(WORD.findall(line))
-            if s:
-                lines.append(((doc is None, doc or 0, place), n, k, s))
-    lines.sort(key=lambda x: (x[0], x[1]))
-    by_word, gone = {}, set()
-    for i, (place, n, k, s) in enumerate(lines):
-        common = {}
-        for w in s:
-            for j in by_word.get(w, ()):
-                common[j] = common.get(j, 0) + 1
-            by_word.setdefault(w, []).append(i)
-        if any(9 * c >= 4 * (len(s) + len(lines[j][3])) and (lines[j][0], lines[j][1]) != (place, n) for j, c in common.items()):
-            gone.add((k, n))
-    return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone) for k, (_, t, _) in enumerate(rows)]
 
 
 def with_places(spark, df):
@@ -39,7 +18,7 @@ def with_places(spark, df):
 
 def check(spark, df):
     rows = with_places(spark, df)
-    want = sorted(zip([r[0] for r in rows], brute(rows)), key=repr)
+    want = sorted(zip([r[0] for r in rows], brute_lines(rows)), key=repr)
     got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()), key=repr)
     assert got == want
 
@@ -47,7 +26,7 @@ def check(spark, df):
 def test_op9_equals_brute_force(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = with_places(spark, df)
-    want = {r[0]: hashlib.sha256((t or "").encode()).hexdigest() for r, t in zip(rows, brute(rows))}
+    want = {r[0]: hashlib.sha256((t or "").encode()).hexdigest() for r, t in zip(rows, brute_lines(rows))}
     got = {r.doc_id: r.text_sha256 for r in queries.QUERIES["op9_line_dedup"](spark, SF).collect()}
     assert got == want
 

@@ -216,10 +216,12 @@ def repeat_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, m
     Rows are matched by a hash of their content; equal rows are one document whose
     copies add up.
     """
-    marked = documents.withColumn("_doc_key", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")))
-    copies = mix(marked, ("_doc_key",), weights, max_epochs, seed)
-    taken = copies.filter("copies > 0").select("_doc_key", F.col("copies").alias("_copies"))
-    once = marked.withColumn("_n", F.row_number().over(W.partitionBy("_doc_key").orderBy("_doc_key")))
-    taken = taken.withColumn("_n", F.row_number().over(W.partitionBy("_doc_key").orderBy("_copies")))
-    out = once.join(taken, ["_doc_key", "_n"])
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_doc_key", "_n", "_copies", "_again")
+    key = F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"))
+    whole = documents.select(key.alias("_doc_key"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
+    copies = mix(documents.select(key.alias("_doc_key"), "source", "text"), ("_doc_key",), weights, max_epochs, seed)
+    taken = copies.filter("copies > 0").groupBy("_doc_key").agg(F.collect_list("copies").alias("_copies"))
+    joined = whole.join(taken, "_doc_key")
+    # the rows of one document, if it is repeated, take one entry each
+    turn = F.row_number().over(W.partitionBy("_doc_key").orderBy("_doc_key"))
+    joined = joined.withColumn("_n", F.get("_copies", turn - 1)).filter("_n > 0")
+    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_doc.*")
