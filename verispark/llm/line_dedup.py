@@ -27,7 +27,7 @@ columns pass through, except that ``n_chars`` follows the shortened text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Words, groups, text_slices, written
+from .arrow import Words, array_sums, groups, task_part, text_slices, written
 
 COUNT_BITS = 20
 CHUNKS = 16
@@ -68,23 +68,14 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         total += np.bincount((Words(part.column("text")).hash >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
     if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int64()), pa.array([c.tobytes() for c in np.split(total, CHUNKS)])], ["chunk", "counts"])
-
-
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in groups(batches, ["chunk"]):
-        total = sum(np.frombuffer(c.as_py(), np.int64) for c in group.column("counts"))
-        yield pa.RecordBatch.from_arrays([group.column("chunk")[:1], pa.array([total.tobytes()])], ["chunk", "counts"])
+        values = [c.tobytes() for c in np.split(total, CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int64()), pa.array([task_part()] * CHUNKS, pa.int64()), pa.array(values)], ["key", "part", "values"])
 
 
 def word_counts(documents: DataFrame) -> np.ndarray:
     """Occurrences of words in each of the hash buckets, over all documents."""
-    rows = documents.select("text").mapInArrow(_count_rows, "chunk long, counts binary")
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_sum_rows, "chunk long, counts binary").collect()
-    total = np.zeros((CHUNKS, (1 << COUNT_BITS) // CHUNKS), np.int64)
-    for r in rows:
-        total[r.chunk] = np.frombuffer(r.counts, np.int64)
-    return total.ravel()
+    sums = array_sums(documents.select("text").mapInArrow(_count_rows, "key long, part long, values binary"), "i8")
+    return np.concatenate([sums[k] for k in range(CHUNKS)]) if sums else np.zeros(1 << COUNT_BITS, np.int64)
 
 
 def rarity_ranks(counts: np.ndarray) -> np.ndarray:
@@ -103,15 +94,20 @@ class Lines:
     only lines with words are present.
     """
 
-    def __init__(self, column: pa.Array, ranks: np.ndarray | None = None):
+    def __init__(self, column: pa.Array, ranks: np.ndarray | None = None, select: Callable | None = None):
+        """``select(row, number, hashes, starts)`` says which lines are needed, before anything is sorted."""
         words = Words(column)
         breaks = np.flatnonzero(words.data == 10)
         line = np.searchsorted(breaks, words.start) + words.row
         hashes = words.hash
-        if ranks is None:
-            order = np.lexsort((hashes, line))
-        else:
-            order = self._by_rarity(line, hashes, ranks)
+        row_lines = np.searchsorted(breaks, words.offsets[:-1]) + np.arange(len(words.offsets) - 1)
+        if select is not None and len(line):
+            starts = np.flatnonzero(np.diff(line, prepend=-1))
+            row = words.row[starts]
+            keep = select(row, line[starts] - row_lines[row], hashes, starts)
+            keep = np.repeat(keep, np.diff(np.append(starts, len(line))))
+            line, hashes = line[keep], hashes[keep]
+        order = np.lexsort((hashes, line)) if ranks is None else self._by_rarity(line, hashes, ranks)
         line, hashes = line[order], hashes[order]
         new_line = np.ones(len(line), bool)
         new_line[1:] = line[1:] != line[:-1]
@@ -122,7 +118,6 @@ class Lines:
         self.first = np.append(starts, len(self.hash))
         self.size = np.diff(self.first)
         ids = line[fresh][starts]
-        row_lines = np.searchsorted(breaks, words.offsets[:-1]) + np.arange(len(words.offsets) - 1)
         self.row = np.searchsorted(row_lines, ids, side="right") - 1
         self.number = ids - row_lines[self.row]
 
@@ -145,7 +140,8 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
 
 def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, n_buckets: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, limit=8 << 20):
-        lines = Lines(part.column("text"), ranks)
+        some = None if only is None else lambda row, number, hashes, starts: np.logical_or.reduceat(_has(only, hashes), starts)
+        lines = Lines(part.column("text"), ranks, some)
         if not len(lines.size):
             continue
         doc, text = (part.column(c).to_numpy()[lines.row] for c in ("doc", "text_hash"))
@@ -251,7 +247,7 @@ def _candidates(records: np.ndarray, first: int | None, chunk: int = 2_000_000)
         a, b = a[keep], b[keep]
         x, y = np.where(place[a] < place[b], a, b), np.where(place[a] < place[b], b, a)
         twin = (records["set"][a] == records["set"][b]) & (size[a] == size[b]) & (records["bitmap"][a] == records["bitmap"][b])
-        equal.append(np.unique(place[y[twin]]))
+        equal.append(np.unique(place[y[twin & (records["at"][a] == 0)]]))  # equal sets share their first word too
         pairs = np.unique(place[y[~twin]] << np.int64(32) | place[x[~twin]])
         best.append(_earliest(pairs, first))
     gone = np.unique(np.concatenate(equal)) if equal else np.zeros(0, np.int64)
@@ -306,14 +302,11 @@ def bitmap_of(rows: DataFrame, at) -> np.ndarray:
 
 def _set_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, limit=8 << 20):
-        lines = Lines(part.column("text"))
+        spot = part.column("spot").to_numpy()
+        lines = Lines(part.column("text"), None, lambda row, number, hashes, starts: _has(wanted, (spot[row] + number * LINE_STEP).astype(np.uint64)))
         doc, text = (part.column(c).to_numpy()[lines.row] for c in ("doc", "text_hash"))
-        spot = part.column("spot").to_numpy()[lines.row] + lines.number * LINE_STEP
-        keep = np.flatnonzero(_has(wanted, spot.astype(np.uint64)))
-        pick = np.repeat(lines.first[keep] - np.cumsum(lines.size[keep]) + lines.size[keep], lines.size[keep]) + np.arange(lines.size[keep].sum())
-        offsets = np.append(0, np.cumsum(lines.size[keep]))
-        words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lines.hash[pick].view(np.int64)))
-        columns = [pa.array(doc[keep]), pa.array(text[keep]), pa.array(lines.number[keep], pa.int32()), words]
+        words = pa.ListArray.from_arrays(pa.array(lines.first, pa.int32()), pa.array(lines.hash.view(np.int64)))
+        columns = [pa.array(doc), pa.array(text), pa.array(lines.number, pa.int32()), words]
         yield pa.RecordBatch.from_arrays(columns, [*_LINE, "words"])
 
 
@@ -335,6 +328,19 @@ def verified(texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, written(unsure)
 
 
+def _prefix_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The prefix words of lines, given their sets of words."""
+    for batch in batches:
+        sets = batch.column("words")
+        size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+        line = np.repeat(np.arange(len(size)), size)
+        hashes = sets.flatten().to_numpy().view(np.uint64)
+        order = Lines._by_rarity(line, hashes, ranks)
+        at = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size)
+        rare = hashes[order][at < np.repeat(prefix_length(size), size)]
+        yield pa.RecordBatch.from_arrays([pa.array(rare.view(np.int64))], ["word"])
+
+
 def later_matches(documents: DataFrame) -> DataFrame:
     """(doc, text_hash, line) of every line that an earlier one matches."""
     context = documents.sparkSession.sparkContext
@@ -347,7 +353,8 @@ def later_matches(documents: DataFrame) -> DataFrame:
     links, unsure = verified(texts, found)
     removed = removed.union(links)
     if not unsure.isEmpty():
-        words = context.broadcast(bitmap_of(unsure.select(F.explode("words").alias("w")), F.expr(f"w & {LINE_BITS - 1}L")))
+        rare = unsure.select("words").mapInArrow(lambda it: _prefix_rows(it, ranks.value), "word long")
+        words = context.broadcast(bitmap_of(rare, F.expr(f"word & {LINE_BITS - 1}L")))
         rest = candidates(texts, ranks, n_buckets, None, words).filter("others is not null").join(unsure.select(*_LINE), _LINE, "left_semi")
         removed = removed.union(verified(texts, written(rest))[0])
     return removed.distinct()

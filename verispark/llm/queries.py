@@ -17,7 +17,11 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(tidy(spark), sf_dir)
+
+        run.__name__, run.__doc__ = name, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -25,6 +29,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def tidy(spark: SparkSession) -> SparkSession:
+    """Shuffle files go when the job that wrote them ends; what later jobs read is a written table."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
