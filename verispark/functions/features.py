@@ -115,53 +115,67 @@ def entropy_features(z: Column, size: int, eps: float = 1e-12) -> dict[str, Colu
 def rich_expand(df: DataFrame, scores: Sequence[str], meta: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Expanded feature columns of k scores and m metadata values (6+4 give 112).
 
-    Inputs; mean, population std, min, max, range; three highest; top gap;
-    centred scores; score x metadata; all scores in descending order and their
-    gaps; median and quartiles; pairwise differences, absolute differences and
-    products; squared metadata.  Everything is a plain column expression, so the
-    expansion stays one projection.
+    The features are a set of families, each a function of the row's scores ``s``,
+    metadata ``m``, order statistics (ascending, ``up``) and mean.  Everything is a
+    plain column expression, so the expansion stays one projection.
     """
-    k = len(scores)
-    s = [F.col(c) for c in scores]
-    m = [F.col(c) for c in meta]
-    base = df.withColumn("_sorted", F.sort_array(F.array(*s), asc=False))
-    base = base.withColumn("_mean", sum(s[1:], s[0]) / F.lit(float(k)))
-    top = [F.get("_sorted", F.lit(i)) for i in range(k)]
-    mean = F.col("_mean")
-    centred = [x - mean for x in s]
-    spread = F.sqrt(sum((d * d for d in centred[1:]), centred[0] * centred[0]) / F.lit(float(k)))
-
-    def quantile(q: float) -> Column:
-        at = (k - 1) * q
-        lo, hi = math.floor(at), math.ceil(at)
-        low, high = top[k - 1 - lo], top[k - 1 - hi]
-        return low + (high - low) * F.lit(at - lo)
-
-    out: dict[str, Column] = {}
-    for name, col in zip([*scores, *meta], [*s, *m]):
-        out[f"in_{name}"] = col
-    out["s_mean"], out["s_std"] = mean, spread
-    out["s_min"], out["s_max"], out["s_range"] = top[-1], top[0], top[0] - top[-1]
-    for i in range(min(3, k)):
-        out[f"top{i + 1}"] = top[i]
-    out["top_gap"] = top[0] - top[1] if k > 1 else F.lit(0.0)
-    for name, d in zip(scores, centred):
-        out[f"centred_{name}"] = d
-    for sn, sc in zip(scores, s):
-        for mn, mc in zip(meta, m):
-            out[f"x_{sn}_{mn}"] = sc * mc
-    for i in range(k):
-        out[f"desc{i + 1}"] = top[i]
-    for i in range(k - 1):
-        out[f"gap{i + 1}"] = top[i] - top[i + 1]
-    out["s_median"], out["s_q25"], out["s_q75"] = quantile(0.5), quantile(0.25), quantile(0.75)
-    pairs = list(combinations(range(k), 2))
-    for a, b in pairs:
-        out[f"diff{a + 1}_{b + 1}"] = s[a] - s[b]
-    for a, b in pairs:
-        out[f"absdiff{a + 1}_{b + 1}"] = F.abs(s[a] - s[b])
-    for a, b in pairs:
-        out[f"prod{a + 1}_{b + 1}"] = s[a] * s[b]
-    for name, col in zip(meta, m):
-        out[f"sq_{name}"] = col * col
-    return base.select(*keep, *[c.alias(n) for n, c in out.items()])
+    frame = df.withColumn("_up", F.array_sort(F.array(*scores)))
+    frame = frame.withColumn("_mean", array_sum(F.col("_up")) / len(scores))
+    row = _ScoreRow([F.col(c) for c in scores], [F.col(c) for c in meta], list(scores), list(meta))
+    families = [row.metadata(), row.order(), row.moments(), row.pairs(), row.inputs(), row.crossed()]
+    return frame.select(*keep, *[value.alias(name) for family in families for name, value in family.items()])
+
+
+class _ScoreRow:
+    """Feature families of one trial, as {name: column}."""
+
+    def __init__(self, s: list[Column], m: list[Column], score_names: list[str], meta_names: list[str]):
+        self.s, self.m, self.names, self.meta = s, m, score_names, meta_names
+        self.k, self.mean = len(s), F.col("_mean")
+
+    def up(self, i: int) -> Column:
+        """i-th smallest score, from 0."""
+        return F.get("_up", F.lit(i))
+
+    def quantile(self, numerator: int, denominator: int) -> Column:
+        """Linear interpolation at a fraction of the way from the smallest to the largest score."""
+        below, part = divmod((self.k - 1) * numerator, denominator)
+        here = self.up(below)
+        return here if part == 0 else here * (1 - part / denominator) + self.up(below + 1) * (part / denominator)
+
+    def inputs(self) -> dict[str, Column]:
+        return {f"in_{n}": c for n, c in zip(self.names + self.meta, self.s + self.m)}
+
+    def moments(self) -> dict[str, Column]:
+        off = {f"centred_{n}": c - self.mean for n, c in zip(self.names, self.s)}
+        squares = F.aggregate("_up", F.lit(0.0), lambda acc, x: acc + (x - self.mean) * (x - self.mean))
+        return off | {"s_mean": self.mean, "s_std": F.sqrt(squares / self.k)}
+
+    def order(self) -> dict[str, Column]:
+        k = self.k
+        falling = [self.up(k - 1 - i) for i in range(k)]
+        steps = [a - b for a, b in zip(falling, falling[1:])]
+        return {
+            **{f"desc{i}": c for i, c in enumerate(falling, 1)},
+            **{f"gap{i}": c for i, c in enumerate(steps, 1)},
+            **{f"top{i}": c for i, c in enumerate(falling[:3], 1)},
+            "top_gap": steps[0] if steps else F.lit(0.0),
+            "s_min": self.up(0),
+            "s_max": self.up(k - 1),
+            "s_range": self.up(k - 1) - self.up(0),
+            "s_q25": self.quantile(1, 4),
+            "s_median": self.quantile(1, 2),
+            "s_q75": self.quantile(3, 4),
+        }
+
+    def pairs(self) -> dict[str, Column]:
+        out = {}
+        for (i, a), (j, b) in combinations(enumerate(self.s, 1), 2):
+            out |= {f"prod{i}_{j}": a * b, f"diff{i}_{j}": a - b, f"absdiff{i}_{j}": F.abs(a - b)}
+        return out
+
+    def crossed(self) -> dict[str, Column]:
+        return {f"x_{n}_{w}": a * b for w, b in zip(self.meta, self.m) for n, a in zip(self.names, self.s)}
+
+    def metadata(self) -> dict[str, Column]:
+        return {f"sq_{n}": c * c for n, c in zip(self.meta, self.m)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,17 +50,21 @@ def array_mean(a: Column) -> Column:
     return array_sum(a) / F.size(a)
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where a lambda uses it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def array_std(a: Column) -> Column:
     """Population standard deviation of a short array."""
-    mean = array_mean(a)
-    return F.sqrt(array_sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / F.size(a))
+    return bind(array_mean(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(a)))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    total = array_sum(e)
-    return F.transform(e, lambda x: x / total)
+    def shares(e: Column) -> Column:
+        return bind(array_sum(e), lambda total: F.transform(e, lambda x: x / total))
+
+    return bind(bind(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top))), shares)
 
 
 def dcf(pmiss: Column, pfa: Column, prior: float) -> Column:
@@ -71,10 +76,16 @@ def bayes_threshold(prior: float) -> float:
     return math.log((1.0 - prior) / prior)
 
 
+NO_PART = "\x00null"
+
+
 def hash_key(*parts, sep: str = "\x1f") -> Column:
-    """sha256 hex of the parts joined by a separator; equal in Python and SQL."""
+    """sha256 hex of the parts joined by a separator; equal in Python and SQL.
+
+    A NULL part counts as the text ``NO_PART``, so it is not skipped.
+    """
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.sha2(F.concat_ws(sep, *[c.cast("string") for c in cols]), 256)
+    return F.sha2(F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit(NO_PART)) for c in cols]), 256)
 
 
 def hash_number(hex_key: Column, digits: int = 8) -> Column:

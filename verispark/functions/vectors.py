@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import array_sum
+from .scalars import array_sum, bind
 
 TINY = 1e-12
 
@@ -41,8 +41,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Length-normalised vector, NULL for a zero vector."""
-    n = norm(a)
-    return F.when(n > TINY, F.transform(a, lambda x: x / n))
+    return bind(norm(a), lambda n: F.when(n > TINY, F.transform(a, lambda x: x / n)))
 
 
 def matvec(rows: Column, v: Column) -> Column:
@@ -51,8 +50,7 @@ def matvec(rows: Column, v: Column) -> Column:
 
 
 def centre_own(a: Column) -> Column:
-    m = array_sum(a) / F.size(a)
-    return F.transform(a, lambda x: x - m)
+    return bind(array_sum(a) / F.size(a), lambda m: F.transform(a, lambda x: x - m))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -388,7 +388,7 @@ def asnorm_stats(embeddings: DataFrame, backend: Backend) -> DataFrame:
 
 
 def score_backend(
-    trials: DataFrame, embeddings: DataFrame, backend: Backend, *, blocked: str = "error", rows: int | None = None
+    trials: DataFrame, embeddings: DataFrame, backend: Backend, *, blocked: str = "error", on_missing: str = "error", rows: int | None = None
 ) -> DataFrame:
     """Add ``score_<metric>`` from (utterance, vec); everything per utterance is
     computed before the join.
@@ -401,16 +401,17 @@ def score_backend(
             raise BackendFitError(f"{backend.metric} is blocked: {backend.meta.get('reason', '')}")
         return trials.withColumn(name, F.lit(None).cast("double"))
     vec = F.col("vec")
+    width = 64 + 8 * MAX_DIM if backend.matrix is None else 64 + 8 * max(backend.matrix.shape)
     if backend.metric == "neg_mahalanobis":
         per = embeddings.select("utterance", vec.alias("x"), project(vec, None, backend.matrix).alias("p"))
         per = per.select("utterance", "x", "p", V.dot(F.col("x"), F.col("p")).alias("q"))
-        joined = attach_sides(trials, per, ["x", "p", "q"], rows=rows, row_bytes=2048)
+        joined = attach_sides(trials, per, ["x", "p", "q"], on_missing, rows=rows, row_bytes=2 * width)
         cross = V.dot(F.col("_enroll_p"), F.col("_test_x"))
         value = -(F.col("_enroll_q") + F.col("_test_q") - 2.0 * cross)
     elif backend.metric == "asnorm_cosine":
         per = asnorm_stats(embeddings.select("utterance", "vec"), backend)
         per = per.select("utterance", V.unit(vec).alias("u"), "mu", "sigma")
-        joined = attach_sides(trials, per, ["u", "mu", "sigma"], rows=rows, row_bytes=2048)
+        joined = attach_sides(trials, per, ["u", "mu", "sigma"], on_missing, rows=rows, row_bytes=1 * width)
         raw = V.dot(F.col("_enroll_u"), F.col("_test_u"))
         value = 0.5 * (
             (raw - F.col("_enroll_mu")) / F.col("_enroll_sigma") + (raw - F.col("_test_mu")) / F.col("_test_sigma")
@@ -418,6 +419,6 @@ def score_backend(
     else:
         per = embeddings.select("utterance", project(vec, backend.mean, backend.matrix).alias("y"))
         per = per.select("utterance", V.unit(F.col("y")).alias("u"))
-        joined = attach_sides(trials, per, ["u"], rows=rows, row_bytes=2048)
+        joined = attach_sides(trials, per, ["u"], on_missing, rows=rows, row_bytes=1 * width)
         value = V.dot(F.col("_enroll_u"), F.col("_test_u"))
     return joined.select(*trials.columns, value.alias(name))

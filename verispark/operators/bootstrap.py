@@ -152,17 +152,18 @@ def bootstrap_decisions(
     )
 
     @F.pandas_udf("array<bigint>")
-    def draw(c: pd.Series, rep: pd.Series) -> pd.Series:
+    def draw(c: pd.Series, stream: pd.Series) -> pd.Series:
+        """One multinomial draw per row; every (group, replicate) has a stream of its own."""
         out = []
-        for cell, r in zip(c, rep):
+        for cell, key in zip(c, stream):
             cell = np.asarray(cell, dtype=np.int64)
-            rng = np.random.Generator(np.random.Philox(key=[seed, int(r)]))
+            rng = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), int(key) & (2**64 - 1)]))
             out.append(rng.multinomial(int(cell.sum()), cell / cell.sum()))
         return pd.Series(out)
 
     reps = F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("replicate")
     drawn = counts.select(*keys, "c", reps)
-    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, F.col("c")).otherwise(draw("c", "replicate")))
+    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, F.col("c")).otherwise(draw("c", F.xxhash64("replicate", *keys))))
     w = [F.get("w", F.lit(i)) for i in range(6)]
     rates = drawn.select(
         *keys,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import array_mean, array_std, array_sum, binary_entropy, hash_key, sigmoid
@@ -105,17 +106,12 @@ def selection_summary(selected: DataFrame) -> DataFrame:
 
 
 def slots_of(groups: DataFrame) -> DataFrame:
-    """One row per (group, position); a trial filling two slots raises."""
-    rows = groups.select(
-        "group_hash", "split", "label", F.explode("slots").alias("s")
-    ).select("group_hash", "split", "label", F.col("s.row_number").alias("position"), "s.enroll_utt", "s.trial_id")
-    return rows
-
-
-def assert_unique_slots(slots: DataFrame) -> None:
-    twice = slots.groupBy("trial_id").count().filter("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"trial fills more than one slot: {twice[0].trial_id}")
+    """One row per (group, position); a trial filling two slots fails the query."""
+    rows = groups.select("group_hash", "split", "label", F.explode("slots").alias("s"))
+    rows = rows.select("group_hash", "split", "label", F.col("s.row_number").alias("position"), "s.enroll_utt", "s.trial_id")
+    uses = F.count(F.lit(1)).over(W.partitionBy("trial_id"))
+    fail = F.raise_error(F.concat(F.lit("trial fills more than one slot: "), F.col("trial_id"))).cast("string")
+    return rows.withColumn("_uses", uses).withColumn("trial_id", F.when(F.col("_uses") == 1, F.col("trial_id")).otherwise(fail)).drop("_uses")
 
 
 def dictionaries(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -130,26 +126,28 @@ def dictionaries(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ),
             )
         ).alias("x")
-    ).select("x.*", F.lit(0).alias("_all"))
-    both = groups.select(F.explode(F.array("enroll_speaker", "test_speaker")).alias("speaker"), F.lit(0).alias("_all"))
-    people = text_rank(both.distinct(), ["_all"], "speaker", name="_r").select(
+    ).select("x.*")
+    both = groups.select(F.explode(F.array("enroll_speaker", "test_speaker")).alias("speaker"))
+    people = text_rank(both.distinct(), [], "speaker", name="_r").select(
         (F.col("_r") - 1).alias("speaker_id"), "speaker"
     )
-    utts = text_rank(sides.distinct(), ["_all"], "utterance", name="_r").select(
+    utts = text_rank(sides.distinct(), [], "utterance", name="_r").select(
         (F.col("_r") - 1).alias("utterance_id"), "utterance", "speaker"
     )
     return people, utts.join(people, "speaker").select("utterance_id", "speaker_id", "utterance")
 
 
-def group_scores(groups: DataFrame, scores: DataFrame, enroll_count: int = 5) -> DataFrame:
+def group_scores(groups: DataFrame, scores: DataFrame, encoders: Sequence[str], enroll_count: int = 5) -> DataFrame:
     """Per group and encoder the scores of its slots; a missing score raises.
 
-    ``scores`` is long: (trial_id, embedding_name, score).
+    ``scores`` is long: (trial_id, embedding_name, score).  The rows come from the
+    slots, so an encoder without any score for a group raises too.
     """
-    slots = slots_of(groups)
-    joined = slots.join(scores.select("trial_id", "embedding_name", "score"), "trial_id")
+    slots = slots_of(groups).withColumn("embedding_name", F.explode(F.array(*map(F.lit, encoders))))
+    joined = slots.join(scores.select("trial_id", "embedding_name", "score").filter("score is not null"), ["trial_id", "embedding_name"], "left")
+    joined = joined.withColumn("position", F.when(F.col("score").isNotNull(), F.col("position")))
     cells = joined.groupBy("group_hash", "split", "label", "embedding_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "score"))), lambda s: s["score"]).alias("scores")
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("position", "score")))), lambda s: s["score"]).alias("scores")
     )
     bad = F.raise_error(F.concat(F.lit("missing scores for group "), F.col("group_hash"))).cast("array<double>")
     return cells.withColumn("scores", F.when(F.size("scores") == enroll_count, F.col("scores")).otherwise(bad))

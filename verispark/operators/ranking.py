@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key, is_finite
+from ..session import materialise
 
 FAN = 16  # FAN * FAN buckets per group, found by two steps of FAN comparisons
 
@@ -141,28 +142,26 @@ def hash_rank(df: DataFrame, keys: Sequence[str], key_hex: str, ties: Sequence[s
 
 
 def text_rank(df: DataFrame, keys: Sequence[str], text: str, ties: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """1-based rank of rows in byte order of a text column.
+    """1-based rank of rows in byte order of a text column, inside each group of ``keys`` (none: over all rows).
 
-    The text becomes an order-preserving number (the bytes after the prefix all
-    values share), which gives balanced cut points; rows are then ordered by the
-    text itself inside each bucket.
+    The rows are sorted by range partitions, whose cut points Spark samples from
+    the texts themselves, so common prefixes do not matter.  A row's number is its
+    place in its partition plus the sizes of the partitions before; a group's rank
+    counts from the number of its first row.  The sorted table is written, so the
+    numbers stay the same when it is read again.
     """
-    shared = df.groupBy(*keys).agg(F.min(text).alias("_first"), F.max(text).alias("_last"))
-    short = F.least(F.length("_first"), F.length("_last"))
-    same = F.aggregate(
-        F.sequence(F.lit(0), short),
-        F.lit(0),
-        lambda best, i: F.when(
-            F.substring(F.col("_first"), F.lit(1), i) == F.substring(F.col("_last"), F.lit(1), i), F.greatest(best, i)
-        ).otherwise(best),
-    )
-    shared = shared.select(*keys, same.alias("_skip"))
-    tail = F.col(text).substr(F.col("_skip") + 1, F.lit(7))
-    number = F.conv(F.rpad(F.substring(F.hex(F.encode(tail, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("bigint")
-    rows = df.join(shared, list(keys)).withColumn("_num", number).withColumn("_one", F.lit(1).cast("bigint"))
-    rows = with_value_bucket(rows.drop("_skip"), keys, "_num", ["_one"])
-    out = prefix_sums(rows.drop("_num"), keys, text, ["_one"], ties=ties, bucket="_bucket")
-    return out.select(*df.columns, F.col("cum__one").alias(name))
+    keys = list(keys)
+    placed = materialise(df.orderBy(*keys, text, *ties).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = placed.join(sizes, "_part").withColumn("_row", F.col("_before") + F.col("_at"))
+    if keys:
+        firsts = placed.groupBy(*keys).agg(F.min("_row").alias("_first"))
+        placed = placed.join(firsts, keys)
+    first = F.col("_first") if keys else F.lit(0)
+    return placed.select(*df.columns, (F.col("_row") - first + 1).alias(name))
 
 
 def top_n_per_group(
@@ -191,4 +190,4 @@ def finite_only(df: DataFrame, *columns: str) -> DataFrame:
 def hash_sample(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed: str) -> DataFrame:
     """The n rows of each group with the lowest salted hash of their id."""
     tagged = df.withColumn("_h", hash_key(*[F.col(k) for k in keys], F.lit(seed), F.col(id_col), sep="|"))
-    return hash_rank(tagged, keys, "_h", [id_col], "_r").filter(F.col("_r") <= n).drop("_h", "_r")
+    return top_n_per_group(tagged, keys, [F.col("_h"), F.col(id_col)], n, spread=[id_col]).drop("_h", "row_number")

@@ -27,24 +27,42 @@ def small_side(df: DataFrame, rows: int | None, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows * row_bytes <= BROADCAST_BYTES else df
 
 
+ON_MISSING = ("error", "skip", "null")
+
+
 def attach_sides(
     trials: DataFrame,
     per_utterance: DataFrame,
     columns: Sequence[str],
-    how: str = "inner",
+    on_missing: str = "error",
     *,
     rows: int | None = None,
     row_bytes: int = 1024,
 ) -> DataFrame:
     """Join per-utterance columns to both sides as ``_enroll_<c>``, ``_test_<c>``.
 
+    ``on_missing`` says what happens to a trial with a side that has no row:
+    ``error`` fails the query, ``skip`` drops the trial (``missing_embeddings``
+    counts what is dropped), ``null`` keeps it with NULL columns.
+
     ``rows`` is the number of utterances when known.  A small table is then
     broadcast; otherwise these are shuffled equi-joins in which Spark splits the
     partitions of popular utterances (adaptive skew join).
     """
-    enroll = small_side(_side(per_utterance, columns, "enroll"), rows, row_bytes)
-    test = small_side(_side(per_utterance, columns, "test"), rows, row_bytes)
-    return trials.join(enroll, "enroll_utt", how).join(test, "test_utt", how)
+    if on_missing not in ON_MISSING:
+        raise ValueError(f"on_missing must be one of {ON_MISSING}")
+    marked = per_utterance.withColumn("here", F.lit(True))
+    enroll = small_side(_side(marked, [*columns, "here"], "enroll"), rows, row_bytes)
+    test = small_side(_side(marked, [*columns, "here"], "test"), rows, row_bytes)
+    joined = trials.join(enroll, "enroll_utt", "left").join(test, "test_utt", "left")
+    there = F.col("_enroll_here").isNotNull() & F.col("_test_here").isNotNull()
+    if on_missing == "skip":
+        joined = joined.filter(there)
+    elif on_missing == "error":
+        pair = F.concat_ws(" / ", F.coalesce("enroll_utt", F.lit("NULL")), F.coalesce("test_utt", F.lit("NULL")))
+        fail = F.raise_error(F.concat(F.lit("no embedding for a side of trial "), pair)).cast("boolean")
+        joined = joined.filter(F.when(there, F.lit(True)).otherwise(fail))
+    return joined.drop("_enroll_here", "_test_here")
 
 
 def score_wide(
@@ -52,6 +70,7 @@ def score_wide(
     embeddings: DataFrame,
     encoders: Sequence[str],
     *,
+    on_missing: str = "error",
     utterances: int | None = None,
 ) -> DataFrame:
     """One cosine column per encoder from a one-row-per-utterance vector table.
@@ -60,7 +79,7 @@ def score_wide(
     encoders share the two joins; no pivot of trial rows is needed.
     """
     units = embeddings.select("utterance", *[V.unit(F.col(e)).alias(e) for e in encoders])
-    joined = attach_sides(trials, units, encoders, rows=utterances, row_bytes=8192 * len(encoders))
+    joined = attach_sides(trials, units, encoders, on_missing, rows=utterances, row_bytes=8192 * len(encoders))
     products = [V.dot(F.col(f"_enroll_{e}"), F.col(f"_test_{e}")).alias(f"score_{e}") for e in encoders]
     return joined.select(*trials.columns, *products)
 
@@ -80,15 +99,11 @@ def score_trials(
     ``on_missing``: ``error`` raises on a trial without both vectors, ``skip``
     drops it (``missing_embeddings`` counts what was dropped).
     """
-    if on_missing not in ("error", "skip"):
-        raise ValueError("on_missing must be 'error' or 'skip'")
     rows = trials.orderBy("trial_id").limit(max_trials) if max_trials else trials
     vectors = embeddings.select("utterance", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    joined = attach_sides(rows, vectors, ["vec"], "left" if on_missing == "error" else "inner")
+    vectors = vectors.filter(F.col("vec").isNotNull())
+    joined = attach_sides(rows, vectors, ["vec"], on_missing)
     a, b = F.col("_enroll_vec"), F.col("_test_vec")
-    if on_missing == "error":
-        fail = F.raise_error(F.concat(F.lit("no embedding for trial "), F.col("trial_id"))).cast("array<double>")
-        joined = joined.withColumn("_enroll_vec", F.when(a.isNull() | b.isNull(), fail).otherwise(a))
     if arrow:
         block = joined.withColumn("_m", V.pairwise_arrow(metrics, rbf_gamma=rbf_gamma)(a, b))
         return block.select(*trials.columns, *[F.col(f"_m.{m}").alias(f"score_{m}") for m in metrics])
@@ -97,9 +112,9 @@ def score_trials(
 
 def missing_embeddings(trials: DataFrame, embeddings: DataFrame, keys: Sequence[str] = ("split",)) -> DataFrame:
     """Trials and missing sides per group."""
-    present = embeddings.select("utterance").distinct().withColumn("here", F.lit(1))
-    joined = attach_sides(trials, present, ["here"], "left")
-    no_e, no_t = F.col("_enroll_here").isNull(), F.col("_test_here").isNull()
+    present = embeddings.select("utterance").distinct().withColumn("found", F.lit(1))
+    joined = attach_sides(trials, present, ["found"], "null")
+    no_e, no_t = F.col("_enroll_found").isNull(), F.col("_test_found").isNull()
     return joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trials"),
         F.count_if(no_e).alias("missing_enroll"),
@@ -174,10 +189,11 @@ def similarity_columns(
     encoders: Sequence[str],
     metrics: Sequence[str],
     *,
+    on_missing: str = "error",
     rows: int | None = None,
 ) -> DataFrame:
     """``score__<encoder>__<metric>`` columns plus the plain ``score_<encoder>`` cosine."""
-    joined = attach_sides(trials, embeddings.select("utterance", *encoders), encoders, rows=rows, row_bytes=8192)
+    joined = attach_sides(trials, embeddings.select("utterance", *encoders), encoders, on_missing, rows=rows, row_bytes=8192)
     cols = []
     for e in encoders:
         a, b = F.col(f"_enroll_{e}"), F.col(f"_test_{e}")

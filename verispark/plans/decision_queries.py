@@ -628,7 +628,7 @@ def _cells(spark, d):
     groups = materialise(enrollment(spark, d))
     slots = G.slots_of(groups).select("trial_id")
     scores = fx.scored_long(spark, d).join(slots, "trial_id", "left_semi")
-    return materialise(G.group_scores(groups, scores, K))
+    return materialise(G.group_scores(groups, scores, ENCODERS, K))
 
 
 def _vote_thresholds(cells):
@@ -708,10 +708,8 @@ def group_decisions(spark, d):
         mine = cells.filter(F.col(ENC) == e)
         n = mine.filter("split = 'calibration'").count() * K
         pairs = G.pair_scores(mine).select(F.col("score").alias("x"), "label")
-        platt = C.fit_head(pairs, ["x"], reg=1.0 / n)
-        sd = platt.stages[1]
-        slope = float(platt.stages[2].coefficients[0]) / float(sd.std[0])
-        bias = float(platt.stages[2].intercept) - slope * float(sd.mean[0])
+        platt = C.fit_platt(pairs, n)
+        slope, bias = platt.slope, platt.intercept
         feats = materialise(G.group_features(mine, F.lit(thr[e]), F.lit(slope), F.lit(bias), K))
         train = feats.filter("split = 'calibration'")
         head = C.fit_head(train, G.FEATURES, c=10.0)

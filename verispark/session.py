@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a table that several jobs read to the shared checkpoint folder.
+    """Write a table that several jobs read to the shared checkpoint folder, as Parquet.
 
-    Reliable (survives lost executors), and later filters are not pushed into
-    the expressions that built it.
+    Reliable (survives lost executors), and its readers get column pruning and
+    pushed filters.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

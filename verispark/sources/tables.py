@@ -139,7 +139,8 @@ def read_trial_list(spark: SparkSession, path: str, *, strict: bool = False) ->
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """CSV, JSON or Parquet by suffix, projected to ``columns``."""
-    kind = "csv" if ".csv" in path else "json" if ".json" in path else "parquet"
+    name = path.rstrip("/").lower().removesuffix(".gz")
+    kind = next((k for k in ("csv", "json") if name.endswith(f".{k}") or name.endswith(f".{k}l")), "parquet")
     reader = spark.read.format(kind)
     df = reader.option("header", True).option("inferSchema", True).load(path) if kind == "csv" else reader.load(path)
     return require_columns(df, columns, path).select(*columns) if columns else df

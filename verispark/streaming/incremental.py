@@ -24,10 +24,11 @@ def scored_stream(
     llr: Callable[[], object],
     *,
     confidence_threshold: float | None = None,
+    on_missing: str = "error",
     utterances: int | None = None,
 ) -> DataFrame:
     """Stream-static join to the embeddings, LLR and decision columns."""
-    scored = score_wide(trials, embeddings, encoders, utterances=utterances)
+    scored = score_wide(trials, embeddings, encoders, on_missing=on_missing, utterances=utterances)
     scored = scored.select(*trials.columns, llr())
     p = sigmoid(F.col("llr"))
     conf = F.greatest(p, 1.0 - p)
