@@ -155,7 +155,7 @@ CURVE = [
 
 
 def _curve(spark, d):
-    t = materialise(fx.llr_trials(spark, d)).withColumn("dataset", F.lit(fx.DATASET))
+    t = materialise(fx.llr_trials(spark, d).withColumn("dataset", F.lit(fx.DATASET)))  # a written key is not folded away
     test = t.filter("split = 'test'").select("dataset", "label", "llr")
     return D.coverage_curve(test, t.filter("split = 'validation'").select("dataset", "llr"), "dataset", _TARGETS)
 

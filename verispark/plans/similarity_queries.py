@@ -180,26 +180,6 @@ def cov_shrinkage(spark, d):
     return spark.createDataFrame(rows, "method string, shrinkage double")
 
 
-@query("whitened_cosine")
-def whitened_cosine(spark, d):
-    return _score(spark, d, "whitened_cosine")
-
-
-@query("wccn_cosine")
-def wccn_cosine(spark, d):
-    return _score(spark, d, "wccn_cosine")
-
-
-@query("lda_cosine")
-def lda_cosine(spark, d):
-    return _score(spark, d, "lda_cosine")
-
-
-@query("mahalanobis_full")
-def mahalanobis_full(spark, d):
-    return _score(spark, d, "neg_mahalanobis")
-
-
 RESID = """res AS (SELECT utterance, i, x - avg(x) OVER (PARTITION BY speaker, i) AS x,
   count(*) OVER (PARTITION BY speaker, i) AS n FROM fitx)"""
 
@@ -231,6 +211,65 @@ def mahalanobis_diag(spark, d):
     return _score(spark, d, "neg_mahalanobis", method="empirical", diagonal=True)
 
 
+# At full dimension a whitened, WCCN or LDA cosine depends only on the inverse of the
+# covariance: the rotation drops out, and the eigenvalue floor does not bind on these data.
+
+
+def _shrunk(x: str) -> str:
+    """CTEs up to ``shrunk``: the Ledoit-Wolf covariance of centred components ``x`` (utterance, i, x)."""
+    return f"""xn AS (SELECT count(DISTINCT utterance)::DOUBLE AS n FROM {x}),
+xc AS (SELECT a.i, b.i AS j, sum(a.x*b.x)/any_value(n) AS c FROM {x} a JOIN {x} b USING (utterance), xn GROUP BY a.i, b.i),
+xf AS (SELECT sum(q*q) AS f FROM (SELECT sum(x*x) AS q FROM {x} GROUP BY utterance)),
+xk AS (SELECT max(i)::DOUBLE AS d, sum(CASE WHEN i = j THEN c ELSE 0 END)/max(i) AS mu, sum(c*c) AS ss FROM xc),
+xs AS (SELECT mu, least(greatest((f - n*ss)/(n*n*d), 0), (ss - d*mu*mu)/d) / ((ss - d*mu*mu)/d) AS rho FROM xk, xn, xf),
+shrunk AS (SELECT i, j, (1 - rho)*c + CASE WHEN i = j THEN rho*mu ELSE 0 END AS c FROM xc, xs)"""
+
+
+def _inverse(matrix: str, d: int = fx.ENC_DIM) -> str:
+    """``prec``: the inverse p (a list of rows) of a matrix (i, j, c), by Gauss-Jordan steps."""
+    return f"""prec AS (WITH RECURSIVE gj AS (
+  SELECT 0 AS k, list(r ORDER BY i) AS m FROM (
+    SELECT i, list_concat(list(c ORDER BY j), list_transform(range(1, {d + 1}), lambda x: CASE WHEN x = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS r
+    FROM {matrix} GROUP BY i)
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, {d + 1}), lambda i: CASE WHEN i = k + 1
+    THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+    ELSE list_transform(list_zip(m[i], m[k + 1]), lambda z: z[1] - m[i][k + 1] / m[k + 1][k + 1] * z[2]) END)
+  FROM gj WHERE k < {d})
+SELECT list_transform(m, lambda r: r[{d + 1}:{2 * d}]) AS p FROM gj WHERE k = {d})"""
+
+
+def _form(a: str, b: str) -> str:
+    return f"list_inner_product({a}, list_transform(p, lambda r: list_inner_product(r, {b})))"
+
+
+_CENTRED = """mu AS (SELECT i, avg(x) AS m FROM fitx GROUP BY i),
+cx AS (SELECT f.utterance, f.i, f.x - mu.m AS x FROM fitx f JOIN mu USING (i))"""
+_SHIFTED = """mv AS (SELECT list(m ORDER BY i) AS mv FROM mu),
+side AS (SELECT trial_id, list_transform(list_zip(a, mv), lambda x: x[1]-x[2]) AS a,
+  list_transform(list_zip(b, mv), lambda x: x[1]-x[2]) AS b FROM pair, mv)"""
+_PLAIN = "side AS (SELECT trial_id, a, b FROM pair)"
+
+
+def _form_query(key: str, metric: str, *ctes: str, distance: bool = False):
+    value = f"-{_form('d', 'd')}" if distance else f"{_form('a', 'b')} / sqrt({_form('a', 'a')} * {_form('b', 'b')})"
+    both = "both_ AS (SELECT trial_id, a, b, list_transform(list_zip(a, b), lambda x: x[1]-x[2]) AS d, p FROM side, prec)"
+    name = f"score_{metric}"
+    sql = B.sql(FIT, UPAIR, *ctes, both, f"s AS (SELECT trial_id, {value} AS {name} FROM both_)", final=B.pick("s", ["trial_id"], [name]))
+
+    @query(key, sql)
+    def run(spark, d):
+        return _score(spark, d, metric)
+
+
+_TWO = "rx AS (SELECT utterance, i, x FROM res WHERE n >= 2)"
+_WITHIN = "xw AS (SELECT a.i, b.i AS j, sum(a.x*b.x) AS c FROM res a JOIN res b USING (utterance) GROUP BY a.i, b.i)"
+_form_query("whitened_cosine", "whitened_cosine", _CENTRED, _shrunk("cx"), _inverse("shrunk"), _SHIFTED)
+_form_query("wccn_cosine", "wccn_cosine", RESID, _TWO, _shrunk("rx"), _inverse("shrunk"), _PLAIN)
+_form_query("lda_cosine", "lda_cosine", _CENTRED, RESID, _WITHIN, _inverse("xw"), _SHIFTED)
+_form_query("mahalanobis_full", "neg_mahalanobis", RESID, _TWO, _shrunk("rx"), _inverse("shrunk"), _PLAIN, distance=True)
+
+
 COHORT_SIZE, TOP_K = 20, 10
 COHORT = f"""keyed AS (SELECT utterance, speaker, v,
   sha256('asnorm_cohort_v1' || chr(31) || speaker || chr(31) || utterance) AS cohort_key FROM fit),
