@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Words, array_sums, groups, task_part, text_slices, written
+from .arrow import Words, array_sums, groups, mix, task_part, text_slices, written
 
 COUNT_BITS = 20
 CHUNKS = 16
@@ -173,10 +173,28 @@ def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, n_bucket
         order = np.argsort(bucket, kind="stable")
         out, bucket = out[order], bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        blobs = [b.tobytes() for b in np.split(out, edges[1:])] if len(out) else []
+        blobs = [_packed(b) for b in np.split(out, edges[1:])] if len(out) else []
         yield _columns(bucket=bucket[edges], blob=blobs)
 
 
+def _packed(records: np.ndarray) -> bytes:
+    """One column after the other, which the shuffle's compression can make use of."""
+    return b"".join(records[f].tobytes() for f in RECORD.names)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    out, at = np.empty(len(blob) // RECORD.itemsize, RECORD), 0
+    for f in RECORD.names:
+        out[f] = np.frombuffer(blob, RECORD[f], len(out), at)
+        at += len(out) * RECORD[f].itemsize
+    return out
+
+
+def _marks(doc: np.ndarray, text: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's place, for bitmaps of lines."""
+    return mix(mix(doc.astype(np.int64).view(np.uint64)) + text.astype(np.int64).view(np.uint64) + mix(line.astype(np.uint64)))
+
+
 CANDIDATES = "bucket long, blob binary, doc long, text_hash long, line int, others array<struct<doc: long, text_hash: long, line: int>>, more boolean"
 _OTHER = pa.struct([("doc", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 _KINDS = {
@@ -202,18 +220,18 @@ def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _candidate_rows(batches: Iterator[pa.RecordBatch], first: int | None) -> Iterator[pa.RecordBatch]:
+def _candidate_rows(batches: Iterator[pa.RecordBatch], first: int | None, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for group in groups(batches, ["bucket"]):
         settled = group.filter(group.column("blob").is_null())
         if settled.num_rows:
             yield settled
         blobs = group.column("blob").drop_null()
         if len(blobs):
-            yield from _candidates(np.frombuffer(b"".join(b.as_py() for b in blobs), RECORD), first)
+            yield from _candidates(np.concatenate([_unpacked(b.as_py()) for b in blobs]), first, wanted)
 
 
-def _candidates(records: np.ndarray, first: int | None, chunk: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Later matches of equal sets, and for every line its earliest candidates."""
+def _candidates(records: np.ndarray, first: int | None, wanted: np.ndarray | None, chunk: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Later matches of equal sets, and for every line (or those in a bitmap) its earliest candidates."""
     key = (records["word"].astype(np.uint64) << np.uint64(32)) | records["size"].astype(np.uint64)
     records = records[np.argsort(key, kind="stable")]
     key = (records["word"].astype(np.uint64) << np.uint64(32)) | records["size"].astype(np.uint64)
@@ -228,6 +246,7 @@ def _candidates(records: np.ndarray, first: int | None, chunk: int = 2_000_000)
     limit = np.searchsorted(key, (key & np.uint64(0xFFFFFFFF00000000)) | (size * 5 // 4).astype(np.uint64), side="right")
     count = np.maximum(limit - np.arange(len(records)) - 1, 0)
     ends = np.cumsum(count)
+    asked = np.ones(len(records), bool) if wanted is None else _has(wanted, _marks(records["doc"], records["text"], records["line"]))
     best: list[np.ndarray] = []
     equal: list[np.ndarray] = []
     at = 0
@@ -248,7 +267,8 @@ def _candidates(records: np.ndarray, first: int | None, chunk: int = 2_000_000)
         x, y = np.where(place[a] < place[b], a, b), np.where(place[a] < place[b], b, a)
         twin = (records["set"][a] == records["set"][b]) & (size[a] == size[b]) & (records["bitmap"][a] == records["bitmap"][b])
         equal.append(np.unique(place[y[twin & (records["at"][a] == 0)]]))  # equal sets share their first word too
-        pairs = np.unique(place[y[~twin]] << np.int64(32) | place[x[~twin]])
+        near = ~twin & asked[y]
+        pairs = np.unique(place[y[near]] << np.int64(32) | place[x[near]])
         best.append(_earliest(pairs, first))
     gone = np.unique(np.concatenate(equal)) if equal else np.zeros(0, np.int64)
     if len(gone):
@@ -279,11 +299,11 @@ def _earliest(pairs: np.ndarray, first: int | None) -> np.ndarray:
     return pairs[np.arange(len(pairs)) - np.repeat(starts, np.diff(np.append(starts, len(pairs)))) < first]
 
 
-def candidates(texts: DataFrame, ranks, n_buckets: int, first: int | None, only=None) -> DataFrame:
+def candidates(texts: DataFrame, ranks, n_buckets: int, first: int | None, only=None, wanted=None) -> DataFrame:
     """Settled lines (``others`` null) and lines with candidates to verify."""
     posted = texts.mapInArrow(lambda it: _posting_rows(it, ranks.value, n_buckets, None if only is None else only.value), CANDIDATES)
     dealt = posted.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda it: _candidate_rows(it, first), CANDIDATES).drop("bucket", "blob")
+    return dealt.mapInArrow(lambda it: _candidate_rows(it, first, None if wanted is None else wanted.value), CANDIDATES).drop("bucket", "blob")
 
 
 # --- 4: verification -----------------------------------------------------------------------
@@ -341,6 +361,12 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(rare.view(np.int64))], ["word"])
 
 
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = _marks(*(batch.column(c).to_numpy() for c in _LINE))
+        yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64))], ["mark"])
+
+
 def later_matches(documents: DataFrame) -> DataFrame:
     """(doc, text_hash, line) of every line that an earlier one matches."""
     context = documents.sparkSession.sparkContext
@@ -355,7 +381,9 @@ def later_matches(documents: DataFrame) -> DataFrame:
     if not unsure.isEmpty():
         rare = unsure.select("words").mapInArrow(lambda it: _prefix_rows(it, ranks.value), "word long")
         words = context.broadcast(bitmap_of(rare, F.expr(f"word & {LINE_BITS - 1}L")))
-        rest = candidates(texts, ranks, n_buckets, None, words).filter("others is not null").join(unsure.select(*_LINE), _LINE, "left_semi")
+        marks = unsure.select(*_LINE).mapInArrow(_mark_rows, "mark long")
+        wanted = context.broadcast(bitmap_of(marks, F.expr(f"mark & {LINE_BITS - 1}L")))
+        rest = candidates(texts, ranks, n_buckets, None, words, wanted).filter("others is not null").join(unsure.select(*_LINE), _LINE, "left_semi")
         removed = removed.union(verified(texts, written(rest))[0])
     return removed.distinct()
 

@@ -382,7 +382,36 @@ def rich_expand(spark, d):
 # --- calibration and heads -----------------------------------------------------
 
 
-@query("c1_logistic")
+def _newton_sql(name: str, rows: str, keys: str, steps: int = 14) -> str:
+    """``name`` (keys, slope, bias): balanced logistic regression of rows (keys, x, label) by Newton steps from 0."""
+    on = f"USING ({keys})"
+    ctes = [
+        f"""{name}_c AS (SELECT {keys}, count(*) FILTER (label = 1)::DOUBLE AS np, count(*) FILTER (label = 0)::DOUBLE AS nn FROM {rows} GROUP BY {keys}),
+{name}_w AS (SELECT {keys}, x, label::DOUBLE AS y, CASE WHEN label = 1 THEN 0.5/np ELSE 0.5/nn END AS w FROM {rows} JOIN {name}_c {on}),
+{name}_m AS (SELECT {keys}, sum(w*x) AS m FROM {name}_w GROUP BY {keys}),
+{name}_z AS MATERIALIZED (SELECT {keys}, x - m AS z, y, w FROM {name}_w JOIN {name}_m {on}),
+{name}_0 AS (SELECT {keys}, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {name}_m)"""
+    ]
+    for k in range(1, steps + 1):
+        ctes.append(
+            f"""{name}_{k} AS MATERIALIZED (SELECT {keys}, a + (hab*gb - hbb*ga)/(haa*hbb - hab*hab) AS a, b + (hab*ga - haa*gb)/(haa*hbb - hab*hab) AS b FROM (
+  SELECT {keys}, any_value(a) AS a, any_value(b) AS b, sum(w*(p-y)*z) AS ga, sum(w*(p-y)) AS gb, sum(w*p*(1-p)*z*z) AS haa, sum(w*p*(1-p)*z) AS hab, sum(w*p*(1-p)) AS hbb
+  FROM (SELECT *, 1/(1+exp(-(a*z+b))) AS p FROM {name}_z JOIN {name}_{k - 1} {on}) GROUP BY {keys}))"""
+        )
+    ctes.append(f"{name} AS (SELECT {keys}, a AS slope, b - a*m AS bias FROM {name}_{steps} JOIN {name}_m {on})")
+    return ",\n".join(ctes)
+
+
+@query(
+    "c1_logistic",
+    B.sql(
+        f"cal AS (SELECT {ENC} AS encoder, score AS x, label FROM long WHERE split = 'calibration')",
+        _newton_sql("fit", "cal", "encoder"),
+        f"ll AS (SELECT encoder, label, slope*score + bias AS score FROM long JOIN fit ON encoder = {ENC} WHERE split = 'test')",
+        B.block("b", "ll", ["encoder"]),
+        final=B.pick("b", ["encoder", *B.COUNTS], B.DOUBLES),
+    ),
+)
 def c1_logistic(spark, d):
     """Per-encoder logistic calibration on the calibration split, metrics on test."""
     t = materialise(fx.scored(spark, d).select("split", "label", *SCORES))
@@ -405,7 +434,21 @@ def c2_pav(spark, d):
     return M.metric_block(P.union_all(parts), ["encoder"], "llr")
 
 
-@query("affine_llr")
+@query(
+    "affine_llr",
+    B.sql(
+        f"""rawt AS (SELECT split, label, {' + '.join(SCORES)} AS x, 1 AS one FROM scored)""",
+        "val AS (SELECT x, label, one FROM rawt WHERE split = 'validation')",
+        _newton_sql("fit", "val", "one"),
+        "lr AS (SELECT split, label, x AS score FROM rawt WHERE split = 'test')",
+        "ll AS (SELECT r.split, r.label, slope*r.x + bias AS score FROM rawt r JOIN fit USING (one) WHERE r.split = 'test')",
+        B.block("b", "ll", ["split"]),
+        B.block("c", "lr", ["split"]),
+        final="""SELECT b.split, b.n, round(b.cllr, 6) + 0.0::DOUBLE AS cllr, round(b.act_dcf_p001, 6) + 0.0::DOUBLE AS act_dcf_p001,
+  round(b.act_dcf_p01, 6) + 0.0::DOUBLE AS act_dcf_p01, round(c.cllr, 6) + 0.0::DOUBLE AS raw_cllr,
+  round(slope, 6) + 0.0::DOUBLE AS scale, round(bias, 6) + 0.0::DOUBLE AS bias FROM b JOIN c USING (split), fit""",
+    ),
+)
 def affine_llr(spark, d):
     """Scale and bias on validation; Cllr before and after on test."""
     t = fx.scored(spark, d).withColumn("raw", sum((F.col(c) for c in SCORES[1:]), F.col(SCORES[0])))
