@@ -382,20 +382,23 @@ def rich_expand(spark, d):
 # --- calibration and heads -----------------------------------------------------
 
 
-def _newton_sql(name: str, rows: str, keys: str, steps: int = 14) -> str:
-    """``name`` (keys, slope, bias): balanced logistic regression of rows (keys, x, label) by Newton steps from 0."""
+def _newton_sql(name: str, rows: str, keys: str, steps: int = 14, penalty: str = "0.0") -> str:
+    """``name`` (keys, slope, bias): balanced logistic regression of rows (keys, x, label) by Newton steps from 0.
+
+    ``penalty`` weighs slope^2 / 2; it may use the class counts np and nn.
+    """
     on = f"USING ({keys})"
     ctes = [
         f"""{name}_c AS (SELECT {keys}, count(*) FILTER (label = 1)::DOUBLE AS np, count(*) FILTER (label = 0)::DOUBLE AS nn FROM {rows} GROUP BY {keys}),
-{name}_w AS (SELECT {keys}, x, label::DOUBLE AS y, CASE WHEN label = 1 THEN 0.5/np ELSE 0.5/nn END AS w FROM {rows} JOIN {name}_c {on}),
+{name}_w AS (SELECT {keys}, x, label::DOUBLE AS y, CASE WHEN label = 1 THEN 0.5/np ELSE 0.5/nn END AS w, ({penalty})::DOUBLE AS pen FROM {rows} JOIN {name}_c {on}),
 {name}_m AS (SELECT {keys}, sum(w*x) AS m FROM {name}_w GROUP BY {keys}),
-{name}_z AS MATERIALIZED (SELECT {keys}, x - m AS z, y, w FROM {name}_w JOIN {name}_m {on}),
+{name}_z AS MATERIALIZED (SELECT {keys}, x - m AS z, y, w, pen FROM {name}_w JOIN {name}_m {on}),
 {name}_0 AS (SELECT {keys}, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {name}_m)"""
     ]
     for k in range(1, steps + 1):
         ctes.append(
             f"""{name}_{k} AS MATERIALIZED (SELECT {keys}, a + (hab*gb - hbb*ga)/(haa*hbb - hab*hab) AS a, b + (hab*ga - haa*gb)/(haa*hbb - hab*hab) AS b FROM (
-  SELECT {keys}, any_value(a) AS a, any_value(b) AS b, sum(w*(p-y)*z) AS ga, sum(w*(p-y)) AS gb, sum(w*p*(1-p)*z*z) AS haa, sum(w*p*(1-p)*z) AS hab, sum(w*p*(1-p)) AS hbb
+  SELECT {keys}, any_value(a) AS a, any_value(b) AS b, sum(w*(p-y)*z) + any_value(pen*a) AS ga, sum(w*(p-y)) AS gb, sum(w*p*(1-p)*z*z) + any_value(pen) AS haa, sum(w*p*(1-p)*z) AS hab, sum(w*p*(1-p)) AS hbb
   FROM (SELECT *, 1/(1+exp(-(a*z+b))) AS p FROM {name}_z JOIN {name}_{k - 1} {on}) GROUP BY {keys}))"""
         )
     ctes.append(f"{name} AS (SELECT {keys}, a AS slope, b - a*m AS bias FROM {name}_{steps} JOIN {name}_m {on})")
@@ -648,6 +651,24 @@ def group_caps(spark, d):
     return _label(out).select("group_hash", "split", "label", F.coalesce("drop_reason", F.lit("selected")).alias("outcome"))
 
 
+@query(
+    "selection_summary",
+    B.sql(
+        GROUPS,
+        CAPPED,
+        """oc AS (SELECT split, label, CASE WHEN kept THEN 'selected' WHEN before_wide >= 60 THEN 'split_label_cap'
+  WHEN before_claim >= 8 THEN 'speaker_label_cap' ELSE 'speaker_pair_cap' END AS o FROM sel_g)""",
+        final="SELECT split, label, count(*) AS candidates, "
+        + ", ".join(f"count(*) FILTER (o = '{o}') AS {o}" for o in ("selected", "speaker_label_cap", "speaker_pair_cap", "split_label_cap"))
+        + " FROM oc GROUP BY ALL",
+    ),
+)
+def selection_summary(spark, d):
+    """Candidates, selected groups and what each cap dropped."""
+    out = G.select_groups(materialise(enrollment(spark, d)), **CAPS)
+    return _label(G.selection_summary(out))
+
+
 @query(
     "group_dictionaries",
     B.sql(
@@ -741,6 +762,23 @@ def group_risk(spark, d):
     return test.select("group_hash", ENC, (F.col("risk") > F.col("threshold")).cast("int").alias("rejected"), "risk")
 
 
+@query(
+    "platt_fit",
+    B.sql(
+        GROUPS,
+        FEATS,
+        f"px AS (SELECT {ENC}, score AS x, label FROM pairs)",
+        _newton_sql("fit", "px", ENC, penalty="1.0/(np+nn)"),
+        final=f"SELECT {ENC}, round(slope, 6) + 0.0::DOUBLE AS slope, round(bias, 6) + 0.0::DOUBLE AS bias FROM fit",
+    ),
+)
+def platt_fit(spark, d):
+    """Per-encoder posterior of a group's single scores, as ``group_decisions`` uses it."""
+    pairs = materialise(G.pair_scores(_cells(spark, d)).select(ENC, F.col("score").alias("x"), "label"))
+    fits = {e: C.fit_platt(mine, mine.count()) for e in ENCODERS for mine in [pairs.filter(F.col(ENC) == e)]}
+    return spark.createDataFrame([(e, f.slope, f.intercept) for e, f in fits.items()], f"{ENC} string, slope double, bias double")
+
+
 @query("group_decisions")
 def group_decisions(spark, d):
     """Per-encoder group head (C = 10) with fitted posteriors; binary and abstaining decisions."""

@@ -382,7 +382,7 @@ def paired_cluster_bootstrap(spark, d):
     """Two systems on the test trials, enrollment speakers resampled together."""
     t = four_systems(spark, d).filter(F.col("system").isin("enc1", "fused")).withColumn("split", F.lit("test"))
     return R.paired_cluster_bootstrap(
-        t, ["split"], "enroll_speaker", "system", ("enc1", "fused"), samples=200, resolution=0.05
+        t, ["split"], "enroll_speaker", "system", ("enc1", "fused"), samples=1000, resolution=0.05
     )
 
 
@@ -412,7 +412,7 @@ _RED_PAIRS = [("cosine", "cosine"), ("dot_raw", "cosine"), ("neg_l1_raw", "cosin
             f"SELECT '{e}' AS encoder, u.trial_id, "
             + ", ".join(f"{_red(e, m)} AS {m}" for m in RED)
             + " FROM usable u JOIN emb a ON a.utterance = u.enroll_utt JOIN emb b ON b.utterance = u.test_utt"
-            for e in ("enc1", "enc2")
+            for e in fx.ENCODERS
         )
         + ")",
         "rk AS (SELECT *, "
@@ -438,12 +438,12 @@ def metric_redundancy(spark, d):
     from ..operators.scoring import similarity_columns
 
     t = fx.trials(spark, d).filter(F.col("split") != P.UNUSED).select("trial_id", "enroll_utt", "test_utt")
-    wide = similarity_columns(t, fx.embeddings_wide(spark, d), ["enc1", "enc2"], RED, rows=fx.utterance_count(spark, d))
+    wide = similarity_columns(t, fx.embeddings_wide(spark, d), fx.ENCODERS, RED, rows=fx.utterance_count(spark, d))
     per = F.explode(
         F.array(
             *[
                 F.struct(F.lit(e).alias("encoder"), *[F.col(f"score__{e}__{m}").alias(m) for m in RED])
-                for e in ("enc1", "enc2")
+                for e in fx.ENCODERS
             ]
         )
     ).alias("x")

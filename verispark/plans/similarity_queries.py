@@ -270,7 +270,7 @@ _form_query("lda_cosine", "lda_cosine", _CENTRED, RESID, _WITHIN, _inverse("xw")
 _form_query("mahalanobis_full", "neg_mahalanobis", RESID, _TWO, _shrunk("rx"), _inverse("shrunk"), _PLAIN, distance=True)
 
 
-COHORT_SIZE, TOP_K = 20, 10
+COHORT_SIZE, TOP_K = 1000, 100
 COHORT = f"""keyed AS (SELECT utterance, speaker, v,
   sha256('asnorm_cohort_v1' || chr(31) || speaker || chr(31) || utterance) AS cohort_key FROM fit),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY cohort_key) AS r FROM keyed),
