@@ -23,6 +23,9 @@ HEADLINE = [
     "bootstrap_decisions",
     "roc_points",
     "speaker_manifest",
+    "c1_logistic",
+    "stream_scoring",
+    "whitened_cosine",
 ]
 
 

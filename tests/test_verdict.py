@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from verispark.functions.scalars import array_std, hash_key, softmax
 from verispark.functions.vectors import centre_own, unit
+from verispark.operators import analysis as A
 from verispark.operators import backends as K
 from verispark.operators import calibration as C
 from verispark.operators import groups as G
@@ -112,3 +113,47 @@ def test_format_follows_the_suffix(spark, tmp_path):
     path = f"{tmp_path}/old.csv.d/table.parquet"
     spark.range(3).write.parquet(path)
     assert read_table(spark, path).count() == 3
+
+
+def test_pivot_similarity_equals_wide(spark):
+    trials = spark.createDataFrame([("s", "t1", 1, "a", "b"), ("s", "t2", 0, "b", "b")], "split string, trial_id string, label int, enroll_utt string, test_utt string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0], [0.0, 2.0]), ("b", [1.0, 1.0], [1.0, 1.0])], "utterance string, e1 array<double>, e2 array<double>")
+    metrics = ["cosine", "neg_l1_raw"]
+    wide = J.similarity_columns(trials, vectors, ["e1", "e2"], metrics)
+    long = None
+    for e in ("e1", "e2"):
+        one = J.score_trials(trials, vectors.select("utterance", F.col(e).alias("embedding")), metrics)
+        one = one.select("split", "trial_id", "label", F.lit(e).alias("embedding_name"), *[f"score_{m}" for m in metrics])
+        long = one if long is None else long.unionByName(one)
+    pivoted = J.pivot_similarity(long, ["e1", "e2"], metrics)
+    names = [c for c in pivoted.columns if c.startswith("score")]
+    assert len(names) == 6 and J.missing_score_columns(pivoted.columns, ["e1", "e2"], metrics) == []
+    assert J.missing_score_columns(["score_e1"], ["e1"], metrics) == ["score__e1__neg_l1_raw"]
+    got = {r.trial_id: [r[c] for c in names] for r in pivoted.collect()}
+    assert got == {r.trial_id: pytest.approx([r[c] for c in names]) for r in wide.collect()}
+
+
+def test_freeze_selection(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0.5, 0.1, 2.0), ("b", 0.4, 0.2, 3.0), ("c", None, 0.0, 0.0)], "name string, cllr double, act_dcf_p01 double, eer_pct double")
+    A.freeze_selection(rows, f"{tmp_path}/best")
+    best = spark.read.json(f"{tmp_path}/best").first()
+    assert (best["name"], best["status"]) == ("b", "frozen")
+    with pytest.raises(ValueError):
+        A.freeze_selection(rows.limit(0), f"{tmp_path}/none")
+
+
+def test_fit_refuses_leaking_speakers(spark):
+    fit = spark.createDataFrame([("u", "p", [1.0, 0.0]), ("v", "q", [0.0, 1.0])], "utterance string, speaker string, vec array<double>")
+    leak = spark.createDataFrame([("q",)], "speaker_id string")
+    with pytest.raises(K.BackendFitError, match="intersect"):
+        K.fit_backend("centered_cosine", fit, held_out=leak)
+    assert K.fit_backend("centered_cosine", fit, held_out=leak.replace("q", "r")).status == "ok"
+
+
+def test_plans_without_cross_joins(spark):
+    """Constant keys are not folded into cross joins."""
+    from verispark.plans.catalog import QUERIES
+
+    for name in ("trial_ids", "group_dictionaries", "coverage_curve"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Cross" not in plan and not any(x.strip(" :+-|*").startswith("Join Inner") and x.rstrip().endswith("Inner") for x in plan.splitlines()), name

@@ -69,13 +69,6 @@ def utterance_speakers(
     return out.orderBy("speaker", "utterance").limit(max_utterances) if max_utterances else out
 
 
-def fit_vectors(embeddings: DataFrame, people: DataFrame, dim: int) -> DataFrame:
-    """(utterance, speaker, vec) of the fitting utterances; wrong widths dropped."""
-    joined = embeddings.join(people, "utterance")
-    ok = joined.filter(F.size("embedding") == dim)
-    return ok.select("utterance", "speaker", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-
-
 def fingerprint(column: str):
     """Order-free fingerprint of a set of texts: sums of sha256 slices.
 
@@ -303,10 +296,16 @@ FITTERS = {
 }
 
 
-def fit_backend(metric: str, df: DataFrame, **options) -> Backend:
-    """Fit one backend; a failed fit gives a blocked backend instead of an error."""
+def fit_backend(metric: str, df: DataFrame, *, held_out: DataFrame | None = None, **options) -> Backend:
+    """Fit one backend; a failed fit gives a blocked backend instead of an error.
+
+    ``held_out`` (speaker_id) names speakers that must not be fitted on; if one is,
+    that is an error and never a blocked backend.
+    """
     if metric not in FITTERS:
         raise ValueError(f"unknown backend: {metric}")
+    if held_out is not None:
+        assert_no_leakage(df.select(F.col("speaker").alias("speaker_id")).distinct(), held_out)
     try:
         return FITTERS[metric](df, **options)
     except (BackendFitError, np.linalg.LinAlgError) as err:

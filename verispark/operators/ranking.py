@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_key, is_finite
+from ..functions.scalars import hash_key
 from ..session import materialise
 
 FAN = 16  # FAN * FAN buckets per group, found by two steps of FAN comparisons
@@ -181,12 +181,6 @@ def top_n_per_group(
     )
 
 
-def finite_only(df: DataFrame, *columns: str) -> DataFrame:
-    for c in columns:
-        df = df.filter(is_finite(F.col(c)))
-    return df
-
-
 def hash_sample(df: DataFrame, keys: Sequence[str], id_col: str, n: int, seed: str) -> DataFrame:
     """The n rows of each group with the lowest salted hash of their id."""
     tagged = df.withColumn("_h", hash_key(*[F.col(k) for k in keys], F.lit(seed), F.col(id_col), sep="|"))

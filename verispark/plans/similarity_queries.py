@@ -141,7 +141,8 @@ def centered_cosine(spark, d):
 
 
 def _score(spark, d, metric: str, **options):
-    fitted = K.fit_backend(metric, fit_frame(spark, d), **options)
+    tested = P.collect_speakers(fx.trials(spark, d).filter("split = 'test'"))
+    fitted = K.fit_backend(metric, fit_frame(spark, d), held_out=tested, **options)
     out = K.score_backend(usable(spark, d), all_vectors(spark, d), fitted, rows=fx.utterance_count(spark, d))
     return out.select("trial_id", f"score_{metric}")
 
