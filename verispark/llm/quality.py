@@ -165,7 +165,11 @@ def log_odds(model: Model, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys``, the features, ``base_failed``, ``p_bad`` and ``kept`` of every document."""
+    """``keys``, the features, ``base_failed``, ``p_bad`` and ``kept`` of every document.
+
+    The table of votes is written: it is read for the counts of vote patterns and for
+    the decision, and later filters must not be pushed into the array expressions.
+    """
     table = written(votes(features(documents, keys), rules))
     names = [f"vote_{r.name}" for r in rules]
     patterns = [(tuple(r[n] for n in names), r["n"]) for r in table.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()]
@@ -178,7 +182,12 @@ def judge(documents: DataFrame, rules: tuple[Rule, ...] = RULES, keys: tuple[str
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that the rules keep, with their own columns.
 
-    The judged table is written with the whole rows, so nothing is joined back.
+    Verdicts are looked up by id and a hash of the text, so only small rows are
+    written, and equal rows share a verdict.
     """
-    whole = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
-    return judge(whole, rules, ("_doc",)).filter("kept").select("_doc.*")
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    judged = judge(documents.select(F.col("doc_id").alias("_id"), text_hash.alias("_hash"), "text"), rules, ("_id", "_hash"))
+    kept = judged.filter("kept").select("_id", "_hash").distinct()
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"), F.col("doc_id").alias("_my_id"), text_hash.alias("_my_hash"))
+    same = F.col("_my_id").eqNullSafe(F.col("_id")) & (F.col("_my_hash") == F.col("_hash"))
+    return whole.join(kept, same, "left_semi").select("_doc.*")
