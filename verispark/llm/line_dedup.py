@@ -8,7 +8,7 @@ of the text, line number), null ids last.  Lines without words stay.
    ranks of the buckets, then the hashes, order words by rarity.  Any order is
    correct, a rare-first order is selective.
 2. Each distinct line of a slice sends its prefix (n - ceil(0.8 n) + 1 rarest words)
-   to the bucket of each word, with its size, position, first place and a 64-bit
+   to the bucket of each word, with its size, position, first place and a 128-bit
    parity bitmap.  Lines equal to an earlier one of the slice are settled at once,
    so a line repeated a million times is not sent a million times.
 3. In a bucket, lines sharing a prefix word are compared by length, position and
@@ -46,7 +46,7 @@ NO_ID = (1 << 63) - 1
 LINE_BITS = 1 << 23
 LINE_STEP = 1_000_003
 
-RECORD = np.dtype([("word", "u4"), ("size", "u4"), ("at", "u4"), ("line", "u4"), ("set", "u8"), ("bitmap", "u8"), ("doc", "i8"), ("text", "i8")])
+RECORD = np.dtype([("word", "u4"), ("size", "u4"), ("at", "u4"), ("line", "u4"), ("set", "u8"), ("bitmap", "u8"), ("bitmap2", "u8"), ("doc", "i8"), ("text", "i8")])
 
 
 def keyed_columns() -> list:
@@ -147,7 +147,7 @@ def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, n_bucket
         doc, text = (part.column(c).to_numpy()[lines.row] for c in ("doc", "text_hash"))
         starts = lines.first[:-1]
         sets = np.add.reduceat(lines.hash * (lines.hash | np.uint64(1)), starts)
-        bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (lines.hash & np.uint64(63)), starts)
+        bitmap, bitmap2 = (np.bitwise_xor.reduceat(half, starts) for half in _parity(lines.hash))
         # the earliest line of each set stands for it
         order = np.lexsort((lines.number, text, doc, bitmap, lines.size, sets))
         head = np.ones(len(order), bool)
@@ -168,7 +168,8 @@ def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, n_bucket
             owner, at, word = owner[keep], at[keep], word[keep]
         out = np.empty(len(owner), RECORD)
         out["word"], out["size"], out["at"], out["line"] = word & np.uint64(0xFFFFFFFF), lines.size[owner], at, lines.number[owner]
-        out["set"], out["bitmap"], out["doc"], out["text"] = sets[owner], bitmap[owner], doc[owner], text[owner]
+        for name, column in (("set", sets), ("bitmap", bitmap), ("bitmap2", bitmap2), ("doc", doc), ("text", text)):
+            out[name] = column[owner]
         bucket = ((word >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         out, bucket = out[order], bucket[order]
@@ -177,6 +178,13 @@ def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, n_bucket
         yield _columns(bucket=bucket[edges], blob=blobs)
 
 
+def _parity(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The one bit of 128 that each word turns over, in two halves."""
+    bit = np.uint64(1) << (hashes & np.uint64(63))
+    lower = (hashes >> np.uint64(6)) & np.uint64(1) == 0
+    return np.where(lower, bit, np.uint64(0)), np.where(lower, np.uint64(0), bit)
+
+
 def _packed(records: np.ndarray) -> bytes:
     """One column after the other, which the shuffle's compression can make use of."""
     return b"".join(records[f].tobytes() for f in RECORD.names)
@@ -259,7 +267,8 @@ def _candidates(records: np.ndarray, first: int | None, wanted: np.ndarray | Non
         at = to
         both = size[a] + size[b]
         overlap = -(-4 * both // 9)
-        keep = np.bitwise_count(records["bitmap"][a] ^ records["bitmap"][b]) <= both - 2 * overlap
+        apart = np.bitwise_count(records["bitmap"][a] ^ records["bitmap"][b]) + np.bitwise_count(records["bitmap2"][a] ^ records["bitmap2"][b])
+        keep = apart <= both - 2 * overlap
         a, b, overlap = a[keep], b[keep], overlap[keep]
         left = 1 + np.minimum(size[a] - records["at"][a] - 1, size[b] - records["at"][b] - 1)
         keep = (left >= overlap) & (place[a] != place[b])
@@ -341,9 +350,16 @@ def verified(texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = texts.mapInArrow(lambda it: _set_rows(it, wanted.value), "doc long, text_hash long, line int, words array<long>")
     sets = written(sets.join(needed, _LINE, "left_semi").dropDuplicates(_LINE))
     xs = sets.select(*[F.col(c).alias(f"x_{c}") for c in _LINE], F.col("words").alias("x_words"))
-    joined = pairs.join(sets, _LINE).join(xs, [f"x_{c}" for c in _LINE])
-    common = F.size(F.array_intersect("words", "x_words"))
-    links = written(joined.filter(9 * common >= 4 * (F.size("words") + F.size("x_words"))).select(*_LINE).distinct())
+
+    def true(some: DataFrame) -> DataFrame:
+        joined = some.join(sets, _LINE).join(xs, [f"x_{c}" for c in _LINE])
+        common = F.size(F.array_intersect("words", "x_words"))
+        return written(joined.filter(9 * common >= 4 * (F.size("words") + F.size("x_words"))).select(*_LINE).distinct())
+
+    # the earliest candidate settles most lines; the others of a line are looked at only if it fails
+    earliest = F.min(F.struct(*[F.col(f"x_{c}") for c in _LINE])).alias("x")
+    links = true(pairs.groupBy(*_LINE).agg(earliest).select(*_LINE, *[F.col(f"x.x_{c}").alias(f"x_{c}") for c in _LINE]))
+    links = written(links.union(true(pairs.join(links, _LINE, "left_anti"))))
     unsure = mine.filter("more").select(*_LINE).distinct().join(links, _LINE, "left_anti").join(sets, _LINE)
     return links, written(unsure)
 
@@ -379,10 +395,10 @@ def later_matches(documents: DataFrame) -> DataFrame:
     links, unsure = verified(texts, found)
     removed = removed.union(links)
     if not unsure.isEmpty():
-        rare = unsure.select("words").mapInArrow(lambda it: _prefix_rows(it, ranks.value), "word long")
-        words = context.broadcast(bitmap_of(rare, F.expr(f"word & {LINE_BITS - 1}L")))
         marks = unsure.select(*_LINE).mapInArrow(_mark_rows, "mark long")
         wanted = context.broadcast(bitmap_of(marks, F.expr(f"mark & {LINE_BITS - 1}L")))
+        rare = unsure.select("words").mapInArrow(lambda it: _prefix_rows(it, ranks.value), "word long")
+        words = context.broadcast(bitmap_of(rare, F.expr(f"word & {LINE_BITS - 1}L")))
         rest = candidates(texts, ranks, n_buckets, None, words, wanted).filter("others is not null").join(unsure.select(*_LINE), _LINE, "left_semi")
         removed = removed.union(verified(texts, written(rest))[0])
     return removed.distinct()
