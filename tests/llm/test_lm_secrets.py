@@ -73,6 +73,19 @@ def test_probabilities_sum_to_one(model):
     assert mass == pytest.approx(np.ones(lm_score.CLASSES), rel=1e-3)
 
 
+def test_every_word_is_a_target_once(monkeypatch, model):
+    vocabulary, network = model
+    texts = ["a", "two words", "one two three four five six", " ".join(f"w{k}" for k in range(101)), "", None]
+    n_words, trained = sum(len((t or "").split()) for t in texts), []
+    contexts = lm_score.contexts
+    monkeypatch.setattr(lm_score, "contexts", lambda ids, row, at: trained.append(at) or contexts(ids, row, at))
+    monkeypatch.setattr(lm_score, "task_part", lambda: 0)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for turn in range(lm_score.ROUNDS):
+        list(lm_score._train_rows(iter([batch]), vocabulary, network.flat(), turn))
+    assert sorted(np.concatenate(trained).tolist()) == list(range(n_words))
+
+
 def test_lm_odd_rows(spark, odd_docs, model):
     rows = {(r.doc_id, r.n_words): r for r in lm_score.score(odd_docs, model).collect()}
     assert rows[(0, 0)].log_probability == 0 and rows[(0, 0)].mean_log_probability is None
