@@ -103,6 +103,25 @@ def test_findings_equal_brute_force(spark, docs):
     assert got == want and len(want) > 30
 
 
+PLANTED = [
+    ('password = "{}"', "kXqPzWvTmLsR"), ("pwd: {}", "s3cr3t!"), ("DB_PASSWORD='{}'", "P@ss!w0rd"), ("passphrase={};", "correct.horse.battery"),
+    ("postgres://admin:{}@host/db", "hunter2"), ("https://{}@example.org/x", "tok"), ('{{"apiKey": "{}"}}', "a b$c"), ("token => {}", "é東京x"),
+    ("Authorization: Bearer {}", "q.w"), ("?secret={}&user=a", "u~v"), ("secret={}", "x"), ("mysql://u:{}@h", "p@:s"), ("key=1;password={}", "ab&c"), ("password          = {}", "aligned"),
+]
+
+
+def test_planted_secrets(spark):
+    """Every planted value is a candidate, whatever its characters, digits or length."""
+    rows = [(k, f"some words {form.format(value)} more words", "s") for k, (form, value) in enumerate(PLANTED)]
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = {(r.doc_id, r.candidate) for r in found}
+    assert [v for k, (_, v) in enumerate(PLANTED) if (k, v) not in got] == []
+    assert all(r.candidate == rows[r.doc_id][1][r.start : r.end] for r in found)
+    assert secret_scan.labelled("kXqPzWvTmLsR", 'password = "') is None and secret_scan.labelled("hunter2", "postgres://admin:") is None
+    crowded = "key=" * 20_000
+    assert sum(b - a for a, b in secret_scan.find(crowded)) <= 4 * len(crowded)
+
+
 def test_held_out_accuracy(spark):
     """Trained on some labelled findings, right on others and on secrets whose form it does not know."""
     rng = np.random.default_rng(8)

@@ -1,7 +1,10 @@
 """Secret scan: candidates from every whole text, false positives removed by a random forest.
 
-Candidates are runs of key-like characters that hold a digit or are long.  The
-features of a candidate are its length and character mix, how usual its character
+Candidates are runs of key-like characters that hold a digit or are long, and,
+whatever their characters and length, the values after introducing words and the
+user and password inside URLs.  A value without quotes is taken up to the next blank,
+and also without closing punctuation and up to the first delimiter; candidates may
+overlap.  The features of a candidate are its length and character mix, how usual its character
 transitions are, how much of it dictionary words cover, its path (the source) and
 the words beside it.  Transitions and dictionary are counted over all documents, in
 tables of fixed size.
@@ -45,6 +48,17 @@ KNOWN_SECRETS = [
     re.compile(r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     re.compile(r"AIza[0-9A-Za-z_-]{35}"),
 ]
+#: An introducing word (perhaps inside a name that goes on for up to 128 characters) and what may stand between it and its value.
+_NAME = r"(?i:pass(?:word|wd|phrase)?|token|secret|key|auth|bearer|credential|pwd|api|private|access)[\w\-]{0,128}[\"'`)\]}]{0,2}"
+_SET = r"\s*(?:=>|:=|==|[=:])\s*"
+INTRODUCED = re.compile(rf"{_NAME}(?:{_SET}|\s+)(?=\S)")
+QUOTED = {q: re.compile(rf"{q}((?:\\.|[^{q}\\\n])+){q}") for q in "\"'`"}
+NONBLANK = re.compile(r"\S+")
+DELIMITER = re.compile(r"[&,;\"'`<>(){}\[\]]")
+CLOSING = ".,;:)]}>\"'`"
+URL_CREDENTIALS = re.compile(r"://([^\s/:@]*)(?::([^\s/]*))?@")
+#: The text before a value that was set or stands in a URL: there even plain words may be secrets.
+VALUED = re.compile(rf"{_NAME}{_SET}[\"'`]?$|://[^\s/:@]*:?$")
 ASSIGNED = re.compile(r"(?i)\b(password|passwd|pwd|token|secret|api_?key)\s*[=:]\s*[\"']?$")
 RANDOM_FORM = re.compile(r"(?=.*\d)([0-9a-f]{16,}|[0-9A-F]{16,}|(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/_-]{16,})")
 HARMLESS = [re.compile(r"[\d\-/]+"), re.compile(r"[^\W\d_]+"), re.compile(r"[A-Za-z]+\d{1,4}"), re.compile(r"\d{4}-\d\d-\d\d.*")]
@@ -54,6 +68,8 @@ def labelled(candidate: str, before: str) -> int | None:
     """1 for a finding known to be a secret, 0 for one known to be harmless, else None."""
     if any(f.fullmatch(candidate) for f in KNOWN_SECRETS) or ASSIGNED.search(before) and RANDOM_FORM.fullmatch(candidate):
         return 1
+    if VALUED.search(before):
+        return None
     return 0 if any(f.fullmatch(candidate) for f in HARMLESS) else None
 
 
@@ -104,9 +120,39 @@ FEATURES = [
 
 
 def find(text: str) -> Iterator[tuple[int, int]]:
-    for m in CANDIDATE.finditer(text):
-        if m.end() - m.start() >= LONG or any(c.isdigit() for c in m[0]):
-            yield m.start(), m.end()
+    spans = {m.span() for m in CANDIDATE.finditer(text) if m.end() - m.start() >= LONG or any(c.isdigit() for c in m[0])}
+    spans.update(_values(text))
+    for m in URL_CREDENTIALS.finditer(text):
+        spans.update(m.span(k) for k in (1, 2) if m[k])
+    yield from sorted(spans)
+
+
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """Values after introducing words.
+
+    The first value of a run without blanks may go to its end; later ones of the run
+    end before the next introducing word, so that all together are no longer than the text.
+    """
+    found = list(INTRODUCED.finditer(text))
+    run = 0  # end of the last run looked at
+    for m, following in zip(found, [*found[1:], None]):
+        a = m.end()
+        if text[a] in QUOTED:
+            if q := QUOTED[text[a]].match(text, a):
+                yield q.span(1)
+                continue
+            a += 1
+        if a >= run:
+            whole = NONBLANK.match(text, a)
+            if not whole:
+                continue
+            b = run = whole.end()
+        else:
+            b = min(run, following.start()) if following else run
+        cut = DELIMITER.search(text, a, b)
+        for end in {b, a + len(text[a:b].rstrip(CLOSING)), cut.start() if cut else b}:
+            if end > a:
+                yield a, end
 
 
 def _bucket(text: str, n: int) -> int:
@@ -123,14 +169,14 @@ def features(found: list[tuple[str, str, str, str | None]], stats: Statistics) -
     at = 0
     for row, (c, before, after, path), ws in zip(out, found, runs):
         n = len(c)
-        code = np.frombuffer(c.encode(), np.uint8)
+        code = np.minimum(np.frombuffer(c.encode(), np.uint8), 127)
         kind = np.where((code >= 48) & (code < 58), 0, np.where((code >= 65) & (code < 91), 1, np.where((code >= 97) & (code < 123), 2, 3)))
-        moves = stats.log_move[code[:-1], code[1:]]
+        moves = stats.log_move[code[:-1], code[1:]] if len(code) > 1 else np.zeros(1)
         covered = sum(len(w) for w, k in zip(ws, known[at : at + len(ws)]) if k)
         at += len(ws)
         previous, following = before.split(), after.split()
         row[:11] = [
-            n, *(np.bincount(kind, minlength=4) / n), bool(re.fullmatch(r"[0-9a-fA-F]+", c)), len(set(c)) / n, np.count_nonzero(np.diff(kind)) / n,
+            n, *(np.bincount(kind, minlength=4) / len(code)), bool(re.fullmatch(r"[0-9a-fA-F]+", c)), len(set(c)) / n, np.count_nonzero(np.diff(kind)) / n,
             moves.mean(), np.percentile(moves, 10), covered / n,
         ]
         row[11:] = [
