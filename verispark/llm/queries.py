@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, embedding_join, jaccard_join, line_dedup, lm_score, mixing, quality, secret_scan, sharding
+from . import byte_bpe, chat, embedding_join, jaccard_join, license_scan, line_dedup, lm_score, mixing, prefix_trie, quality, secret_scan, sharding, sqltext, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -188,3 +188,35 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "secret")
+
+
+# --- 11: license scan ----------------------------------------------------------------------
+
+
+@query("op11_license_scan")
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and labels of license phrases, and labels of license expressions, in every whole text."""
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")), "doc_id")
+
+
+# --- 12: vector code compression -----------------------------------------------------------
+
+
+@query("op12_vector_codes", sqltext.vector_codes())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One byte per part of every vector, with squared errors by vector and by label."""
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=["label"])
+    digests = {n: vector_codes.codebook_digest(book) for n, book in found.codebooks.items()}
+    of_length = F.create_map(*[F.lit(x) for pair in sorted(digests.items()) for x in pair]) if digests else F.lit(None).cast("map<long,string>")
+    out = vector_codes.with_label_errors(found.codes)
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.element_at(of_length, F.col("n_dims")).alias("codebooks_sha256"))
+
+
+# --- 13: conversation prefix trie ----------------------------------------------------------
+
+
+@query("op13_prefix_trie", sqltext.PREFIX_TRIE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per node of the prefix trie of all rebuilt conversations."""
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), share=True)
+    return nodes.drop("name", "parent")
