@@ -292,9 +292,3 @@ def test_logistic_is_at_the_optimum(spark):
     assert aff.slope == pytest.approx(fit.slope, rel=1e-3)
     with pytest.raises(ValueError):
         C.fit_logistic(df.filter("label = 1"))
-
-
-def test_pav_is_monotone_and_pools_ties(spark):
-    df = spark.createDataFrame([(1.0, 0), (2.0, 1), (2.0, 0), (3.0, 0), (4.0, 1), (4.0, 1)], "score double, label int")
-    out = [r.llr for r in C.fit_pav(df).apply(df, "score").orderBy("score").collect()]
-    assert out == sorted(out) and out[0] < 0 < out[-1] and out[1] == out[2] == out[3]

@@ -14,6 +14,7 @@ from ..operators import metrics as M
 from ..operators import protocol as P
 from ..operators import scoring as J
 from ..operators import selective as D
+from ..operators.isotonic import fit_isotonic
 from ..session import checkpoint_dir, materialise
 from ..sources import fixtures as fx
 from ..streaming import incremental as I
@@ -424,17 +425,46 @@ def c1_logistic(spark, d):
     return M.metric_block(llrs.unpivot(["label"], ENCODERS, "encoder", "llr"), ["encoder"], "llr")
 
 
-@query("c2_pav")
+def _pav_sql(name: str, rows: str, keys: str, passes: int = 40) -> str:
+    """``name`` (keys, low, high, p): runs of cells whose means do not rise become one, pass after pass."""
+    ctes = [
+        f"""{name}_c AS (SELECT {keys}, count(*) FILTER (label = 1)::DOUBLE AS np, count(*) FILTER (label = 0)::DOUBLE AS nn FROM {rows} GROUP BY {keys}),
+{name}_0 AS MATERIALIZED (SELECT {keys}, x AS low, x AS high, count(*) FILTER (label = 1)*0.5::DOUBLE/any_value(np) AS t,
+  count(*) FILTER (label = 1)*0.5::DOUBLE/any_value(np) + count(*) FILTER (label = 0)*0.5::DOUBLE/any_value(nn) AS w
+  FROM {rows} JOIN {name}_c USING ({keys}) GROUP BY {keys}, x)"""
+    ]
+    for k in range(1, passes + 1):
+        ctes.append(
+            f"""{name}_{k} AS MATERIALIZED (SELECT {keys}, min(low) AS low, max(high) AS high, sum(t) AS t, sum(w) AS w FROM (
+  SELECT *, sum(rise) OVER (PARTITION BY {keys} ORDER BY low) AS run FROM (
+    SELECT *, CASE WHEN t/w > lag(t/w) OVER (PARTITION BY {keys} ORDER BY low) THEN 1 ELSE 0 END AS rise FROM {name}_{k - 1})) GROUP BY {keys}, run)"""
+        )
+    ctes.append(
+        f"""{name} AS MATERIALIZED (SELECT {keys}, low, high, t/w AS p, lead(low) OVER (PARTITION BY {keys} ORDER BY low) AS next_low,
+  lead(t/w) OVER (PARTITION BY {keys} ORDER BY low) AS next_p FROM {name}_{passes})"""
+    )
+    return ",\n".join(ctes)
+
+
+@query(
+    "c2_pav",
+    B.sql(
+        f"cal AS (SELECT {ENC} AS encoder, score AS x, label FROM long WHERE split = 'calibration')",
+        _pav_sql("pav", "cal", "encoder"),
+        f"tst AS (SELECT {ENC} AS encoder, score AS x, label FROM long WHERE split = 'test')",
+        """post AS (SELECT t.encoder, t.label, CASE WHEN p.low IS NULL THEN (SELECT min(q.p) FROM pav q WHERE q.encoder = t.encoder)
+  WHEN t.x <= p.high OR p.next_low IS NULL THEN p.p ELSE p.p + (t.x - p.high)/(p.next_low - p.high)*(p.next_p - p.p) END AS q
+  FROM tst t ASOF LEFT JOIN pav p ON t.encoder = p.encoder AND t.x >= p.low)""",
+        "ll AS (SELECT encoder, label, ln(least(greatest(q, 1e-6::DOUBLE), 1-1e-6::DOUBLE)/(1-least(greatest(q, 1e-6::DOUBLE), 1-1e-6::DOUBLE))) AS score FROM post)",
+        B.block("b", "ll", ["encoder"]),
+        final=B.pick("b", ["encoder", *B.COUNTS], B.DOUBLES),
+    ),
+)
 def c2_pav(spark, d):
     """Isotonic calibration per encoder, metrics on test."""
-    t = materialise(fx.scored(spark, d).select("split", "label", *SCORES))
-    cal = t.filter("split = 'calibration'")
-    parts = []
-    for e in ENCODERS:
-        fit = C.fit_pav(cal, f"score_{e}")
-        out = fit.apply(t.filter("split = 'test'").select("label", f"score_{e}"), f"score_{e}")
-        parts.append(out.select("label", "llr", F.lit(e).alias("encoder")))
-    return M.metric_block(P.union_all(parts), ["encoder"], "llr")
+    t = materialise(fx.scored_long(spark, d).select("split", "label", F.col(ENC).alias("encoder"), "score"))
+    fit = fit_isotonic(t.filter("split = 'calibration'"), ["encoder"])
+    return M.metric_block(fit.apply(t.filter("split = 'test'"), "score"), ["encoder"], "llr")
 
 
 @query(
