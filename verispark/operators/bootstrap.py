@@ -1,26 +1,27 @@
 """Bootstrap confidence intervals without materialising resampled trials.
 
-Resampling n rows gives each distinct score a Poisson (in the limit of the
-multinomial) number of copies.  A cell holding c trials therefore draws one
-Poisson(c) weight, and the replicates expand the compressed table, not trials.
-Draws are a function of (seed, replicate, cell), so a recomputed task repeats
-them.
+Draws belong to the cells of the compressed table (distinct scores, decision cells
+or clusters) and are exact multinomial counts, made for all replicates at once
+(``resampling``).  They are functions of the seed and the cell's place, so a
+recomputed task repeats them.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql import types as T
 
-from ..functions.scalars import hash_key, hash_number
+from ..functions.scalars import hash_key, hash_number, is_finite
+from ..session import materialise
+from . import resampling as S
 from .metrics import block_from_counts, score_counts
+from .ranking import prefix_sums, text_rank, with_value_bucket
 from .selective import DECISION_COUNTS, _decision_rates
 
 BASE_SEED = 20260608  # fixed value: base of all resampling seeds
@@ -48,80 +49,72 @@ def percentile_ci95(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return df.groupBy(*keys).agg(*aggs)
 
 
-def _uniform(*parts) -> Column:
-    """Uniform in (0, 1) from a 64-bit hash of the parts."""
-    bits = F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double")
-    return (bits + 0.5) / F.lit(float(2**52))
-
-
-@F.pandas_udf(LongType())
-def poisson_draw(mean: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
-    """Poisson(mean) from uniforms: exact inversion for small means, otherwise the
-    skewness-corrected normal quantile."""
-    lam, x = mean.to_numpy(dtype=float), u.to_numpy(dtype=float)
-    out = np.zeros(len(lam), dtype=np.int64)
-    small = lam <= 64.0
-    if small.any():
-        l, t = lam[small], x[small]
-        k = np.zeros(len(l), dtype=np.int64)
-        p = np.exp(-l)
-        total = p.copy()
-        going = total < t
-        while going.any():
-            k[going] += 1
-            p[going] *= l[going] / k[going]
-            total[going] += p[going]
-            going = going & (total < t) & (k < 1000)
-        out[small] = k
-    if (~small).any():
-        l = lam[~small]
-        z = np.sqrt(-2.0 * np.log(x[~small])) * np.cos(2.0 * math.pi * v.to_numpy(dtype=float)[~small])
-        out[~small] = np.maximum(np.rint(l + np.sqrt(l) * z + (z * z - 1.0) / 6.0), 0).astype(np.int64)
-    return pd.Series(out)
-
-
-def resampled_counts(counts: DataFrame, keys: Sequence[str], samples: int, seed: int) -> DataFrame:
-    """(replicate, keys, score, t, n) with Poisson weights of the cells' counts."""
-    reps = counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    at = [F.lit(seed), F.col("replicate"), *[F.col(k) for k in keys], F.col("score")]
-    drawn = reps.select(
-        "replicate",
-        *keys,
-        "score",
-        poisson_draw(F.col("t").cast("double"), _uniform(F.lit("t"), *at), _uniform(F.lit("tv"), *at)).alias("t"),
-        poisson_draw(F.col("n").cast("double"), _uniform(F.lit("n"), *at), _uniform(F.lit("nv"), *at)).alias("n"),
-    )
-    return drawn.filter(F.col("t") + F.col("n") > 0)
+def _group_schema(df: DataFrame, keys: Sequence[str], *more: T.StructField) -> T.StructType:
+    return T.StructType([*[df.schema[k] for k in keys], *more])
 
 
-def binned(df: DataFrame, score: str, resolution: float | None) -> DataFrame:
-    """Round scores to multiples of a declared resolution (None keeps them)."""
-    if resolution is None:
-        return df
-    return df.withColumn(score, F.round(F.col(score) / resolution) * F.lit(resolution))
+def _replicate_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField("replicate", T.LongType()), *[df.schema[k] for k in keys], *[T.StructField(m, T.DoubleType()) for m in S.METRICS]])
 
 
-def bootstrap_metrics(
-    df: DataFrame,
-    keys: Sequence[str],
-    score: str = "llr",
-    *,
-    samples: int = SAMPLES,
-    resolution: float | None = None,
-    description: str = "",
-) -> DataFrame:
-    """Point metrics with 95% half widths.
+#: Distinct scores drawn together, and the most ranges of them whose counts the driver sends to all tasks.
+CELLS = 256
+RANGES = 1 << 20
+
+
+def replicate_metrics(counts: DataFrame, keys: Sequence[str], samples: int, seed: int) -> DataFrame:
+    """(replicate, keys, metrics) of multinomial resamples of each group's trials.
 
-    Work grows with samples x distinct scores.  For continuous scores set
-    ``resolution``: the replicates then run on scores rounded to it, which moves
-    each operating point by at most that much (point values stay exact).
+    ``counts``: keys, score, t, n.  Scores are cut by rank into ranges; a task draws
+    its ranges' counts in all replicates from the group's totals downwards, so the
+    draws depend on the data and the seed alone.  At most RANGES counts per class
+    reach the driver.
     """
-    exact = score_counts(df, keys, score)
-    cells = exact if resolution is None else score_counts(binned(df, score, resolution), keys, score)
-    drawn = resampled_counts(cells, keys, samples, stable_seed(description))
-    reps = block_from_counts(drawn, ["replicate", *keys])
-    ci = percentile_ci95(reps, keys, CI_METRICS)
-    return block_from_counts(exact, keys).join(ci, list(keys))
+    keys = list(keys)
+    one = counts.withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = materialise(prefix_sums(one, keys, "score", ["t", "n", "_one"], descending=True).drop("prev_value"))
+    n_cells = max(CELLS, ranked.count() // RANGES)
+    ranked = ranked.withColumn("_range", F.expr(f"(cum__one - 1) div {n_cells}"))
+    sizes = ranked.groupBy(*keys, "_range").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    ends: dict[tuple, tuple] = {}
+    for r in sizes.orderBy(*keys, "_range").collect():
+        for k, c in enumerate((r.t, r.n)):
+            ends.setdefault(tuple(r[: len(keys)]), ([], []))[k].append(c)
+    ends = {g: tuple(np.cumsum(c) for c in both) for g, both in ends.items()}
+    shared = counts.sparkSession.sparkContext.broadcast(ends)
+
+    def totals(group: tuple) -> tuple[np.ndarray, np.ndarray]:
+        both = shared.value[group]
+        n_t, n_n = int(both[0][-1]), int(both[1][-1])
+        t = S.generator(seed, zlib.crc32(repr(group).encode()), 0).binomial(np.full(samples, n_t + n_n), n_t / (n_t + n_n))
+        return t, n_t + n_n - t
+
+    def made(parts):
+        for key, rows in S.whole_runs(parts, [*keys, "_range"]):
+            group, at = key[:-1], int(key[-1])
+            rows = rows.sort_values("score", ascending=False)
+            both, draws, before = totals(group), [], []
+            for k, name in enumerate(("t", "n")):
+                place = (zlib.crc32(repr(group).encode()), k + 1)
+                drawn, earlier = S.split_range(both[k], np.zeros_like(both[k]), shared.value[group][k], at, seed, *place)
+                draws.append(S.split_cells(drawn, rows[name].to_numpy(np.int64), S.generator(seed, *place, -1, at)))
+                before.append(earlier)
+            block = S.Block(samples)
+            block.add(at, rows["score"].to_numpy(float), *draws, tuple(before), both)
+            yield group, block
+
+    rows = ranked.select(*keys, "_range", "score", "t", "n").repartition(*keys, "_range").sortWithinPartitions(*keys, "_range")
+    blob = T.StructField("block", T.BinaryType())
+    parts = rows.mapInPandas(S.partial_blocks(made, keys), _group_schema(counts, keys, blob))
+    gathered = parts.repartition(*keys).sortWithinPartitions(*keys)
+    return gathered.mapInPandas(lambda it: S.merged_blocks(it, keys, samples, totals), _replicate_schema(counts, keys))
+
+
+def bootstrap_metrics(df: DataFrame, keys: Sequence[str], score: str = "llr", *, samples: int = SAMPLES, description: str = "") -> DataFrame:
+    """Point metrics with 95% half widths of exact multinomial resamples of the trials."""
+    counts = materialise(score_counts(df, keys, score))
+    reps = replicate_metrics(counts, keys, samples, stable_seed(description))
+    return block_from_counts(counts, keys).join(percentile_ci95(reps, keys, CI_METRICS), list(keys))
 
 
 def fixed_weights(df: DataFrame, replicate: str = "replicate", id_col: str = "trial_id", modulus: int = 4) -> DataFrame:
@@ -137,6 +130,9 @@ def bootstrap_fixed(df: DataFrame, keys: Sequence[str], score: str, samples: int
     return block_from_counts(score_counts(weighted, ["replicate", *keys], score, weight="weight"), ["replicate", *keys])
 
 
+DECISION_CELLS = [(y, d) for y in (1, 0) for d in ("target", "nontarget", "reject")]
+
+
 def bootstrap_decisions(
     df: DataFrame, keys: Sequence[str], *, samples: int = SAMPLES, description: str = ""
 ) -> DataFrame:
@@ -146,26 +142,37 @@ def bootstrap_decisions(
     each replicate is one exact multinomial draw, whatever the number of trials.
     """
     seed = stable_seed(description)
-    cells = [(y, d) for y in (1, 0) for d in ("target", "nontarget", "reject")]
     counts = df.groupBy(*keys).agg(
-        F.array(*[F.count_if((F.col("label") == y) & (F.col("decision") == d)) for y, d in cells]).alias("c")
+        F.array(*[F.count_if((F.col("label") == y) & (F.col("decision") == d)) for y, d in DECISION_CELLS]).alias("c")
     )
 
-    @F.pandas_udf("array<bigint>")
-    def draw(c: pd.Series, stream: pd.Series) -> pd.Series:
-        """One multinomial draw per row; every (group, replicate) has a stream of its own."""
+    @F.pandas_udf("array<array<bigint>>")
+    def draws(c: pd.Series, stream: pd.Series) -> pd.Series:
+        """All multinomial draws of a group at once, from a stream of its own; the counts themselves come first."""
         out = []
         for cell, key in zip(c, stream):
             cell = np.asarray(cell, dtype=np.int64)
             rng = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), int(key) & (2**64 - 1)]))
-            out.append(rng.multinomial(int(cell.sum()), cell / cell.sum()))
+            drawn = rng.multinomial(int(cell.sum()), cell / cell.sum(), size=samples)
+            out.append([cell.tolist(), *drawn.tolist()])
         return pd.Series(out)
 
-    reps = F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("replicate")
-    drawn = counts.select(*keys, "c", reps)
-    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, F.col("c")).otherwise(draw("c", F.xxhash64("replicate", *keys))))
+    drawn = counts.select(*keys, F.posexplode(draws("c", F.xxhash64(*keys))).alias("replicate", "w"))
+    return _decision_intervals(drawn, keys)
+
+
+def bootstrap_decisions_fixed(df: DataFrame, keys: Sequence[str], samples: int, id_col: str = "trial_id") -> DataFrame:
+    """Decision metrics of replicates under ``fixed_weights`` (checkable anywhere)."""
+    reps = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    weighted = fixed_weights(reps, id_col=id_col)
+    of = lambda y, d: F.sum(F.when((F.col("label") == y) & (F.col("decision") == d), F.col("weight")).otherwise(0))
+    return decision_rates(weighted.groupBy("replicate", *keys).agg(F.array(*[of(y, d) for y, d in DECISION_CELLS]).alias("w")), keys)
+
+
+def decision_rates(drawn: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Decision metrics of (replicate, keys, w): counts of the six cells."""
     w = [F.get("w", F.lit(i)) for i in range(6)]
-    rates = drawn.select(
+    return drawn.select(
         *keys,
         "replicate",
         (w[0] + w[1] + w[2] + w[3] + w[4] + w[5]).alias("n"),
@@ -177,10 +184,131 @@ def bootstrap_decisions(
         w[3].alias("_fa"),
         (w[1] + w[2]).alias("_miss"),
     ).select(*keys, "replicate", *DECISION_COUNTS, *_decision_rates())
+
+
+def _decision_intervals(drawn: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rates = decision_rates(drawn, keys)
     ci = percentile_ci95(rates.filter(F.col("replicate") > 0), keys, DECISION_METRICS)
     return rates.filter(F.col("replicate") == 0).drop("replicate").join(ci, list(keys))
 
 
+def cluster_weights(df: DataFrame, cluster: str, samples: int, seed: int) -> DataFrame:
+    """(cluster, weights) with how often each replicate draws it: ``samples`` numbers of 16 bits.
+
+    Every replicate draws as many clusters as there are, with replacement.  Clusters
+    are numbered in the order of their names and drawn in ranges of CELLS.
+    """
+    names = text_rank(df.filter(F.col(cluster).isNotNull()).select(F.col(cluster).cast("string").alias("cluster")).distinct(), [], "cluster", name="_at")
+    names = materialise(names.select("cluster", (F.col("_at") - 1).alias("_at")))
+    n = names.count()
+    ends = np.minimum(np.arange(1, -(-n // CELLS) + 1) * CELLS, n)
+
+    def rows(parts):
+        for (at,), some in S.whole_runs(parts, ["_range"]):
+            some = some.sort_values("_at")
+            total = np.full(samples, n)
+            drawn, _ = S.split_range(total, total, ends, int(at), seed)
+            drawn = S.split_cells(drawn, np.ones(len(some), np.int64), S.generator(seed, -1, int(at)))
+            yield pd.DataFrame({"cluster": some["cluster"], "weights": [w.tobytes() for w in np.minimum(drawn, 65535).astype(np.uint16)]})
+
+    ranged = names.withColumn("_range", F.expr(f"_at div {CELLS}")).repartition("_range").sortWithinPartitions("_range")
+    return materialise(ranged.mapInPandas(rows, "cluster string, weights binary"))
+
+
+def fixed_cluster_weights(df: DataFrame, cluster: str, samples: int, modulus: int = 4) -> DataFrame:
+    """The same table with weights 0..modulus-1 from sha256(replicate|cluster)."""
+    import hashlib
+
+    @F.pandas_udf("binary")
+    def weights(names: pd.Series) -> pd.Series:
+        number = lambda r, c: int(hashlib.sha256(f"{r}|{c}".encode()).hexdigest()[:8], 16) % modulus
+        return pd.Series([np.array([number(r, c) for r in range(1, samples + 1)], np.uint16).tobytes() for c in names])
+
+    return df.filter(F.col(cluster).isNotNull()).select(F.col(cluster).cast("string").alias("cluster")).distinct().withColumn("weights", weights("cluster"))
+
+
+#: Largest table of cluster weights that is sent to all tasks.
+WEIGHT_BYTES = 64 << 20
+
+
+def cluster_replicates(df: DataFrame, keys: Sequence[str], cluster: str, weights: DataFrame, samples: int, score: str = "llr") -> DataFrame:
+    """(replicate, keys, metrics) with every trial weighted by its cluster's weight, for each group of ``keys``.
+
+    Trials are compressed to (score, cluster) counts and dealt by ranges of scores.
+    The first pass adds up the weighted counts of the ranges, as one array of
+    replicates each; the second walks every range with what lies before it.
+    """
+    keys = list(keys)
+    hit = F.col("label") == 1
+    rows = df.filter(is_finite(F.col(score))).groupBy(*keys, F.col(cluster).cast("string").alias("cluster"), F.col(score).alias("score"))
+    rows = rows.agg(F.count_if(hit).alias("t"), F.count_if(~hit).alias("n"))
+    rows = materialise(with_value_bucket(rows, keys, "score"))
+    place = [*keys, "_bucket"]
+    known = None
+    if weights.count() * samples * 2 <= WEIGHT_BYTES:
+        known = df.sparkSession.sparkContext.broadcast({r.cluster: bytes(r.weights) for r in weights.collect()})
+
+    def dealt(some: DataFrame) -> DataFrame:
+        """Rows of a range in one task by descending score; each has its cluster's weights unless all tasks have all."""
+        some = some.join(weights, "cluster") if known is None else some
+        return some.repartition(*place).sortWithinPartitions(*place, F.col("score").desc())
+
+    def matrices(some: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        each = some["weights"] if known is None else [known.value[c] for c in some["cluster"]]
+        w = np.frombuffer(b"".join(each), np.uint16).reshape(len(some), samples).astype(np.float64)
+        return w * some["t"].to_numpy()[:, None], w * some["n"].to_numpy()[:, None]
+
+    def sums(parts):
+        for key, some in S.runs(parts, place):
+            for at in range(0, len(some), CELLS):
+                wt, wn = matrices(some.iloc[at : at + CELLS])
+                out = pd.DataFrame([key], columns=place)
+                out["t"], out["n"] = [wt.sum(axis=0).tobytes()], [wn.sum(axis=0).tobytes()]
+                yield out
+
+    both = [T.StructField(c, T.BinaryType()) for c in ("t", "n")]
+    schema = _group_schema(rows, place, *both)
+
+    def added(parts):
+        total: dict[tuple, list[np.ndarray]] = {}
+        for key, some in S.runs(parts, place):
+            arrays = [sum(np.frombuffer(x, np.float64) for x in some[c]) for c in ("t", "n")]
+            total[key] = [a + b for a, b in zip(total[key], arrays)] if key in total else arrays
+        for key, (t, n) in total.items():
+            out = pd.DataFrame([key], columns=place)
+            out["t"], out["n"] = [t.tobytes()], [n.tobytes()]
+            yield out
+
+    ranges = dealt(rows).mapInPandas(sums, schema).mapInPandas(added, schema)
+    offsets: dict[tuple, list] = {}  # ranges x replicates numbers of each group: of a fixed size
+    for r in ranges.orderBy(*keys, F.col("_bucket").desc()).collect():
+        t, n = np.frombuffer(r.t, np.float64), np.frombuffer(r.n, np.float64)
+        done = offsets.setdefault(tuple(r[: len(keys)]), [{}, np.zeros(samples), np.zeros(samples)])
+        done[0][r["_bucket"]] = (len(done[0]), done[1], done[2])
+        done[1], done[2] = done[1] + t, done[2] + n
+    shared = df.sparkSession.sparkContext.broadcast(offsets)
+
+    def made(parts):
+        walker, last = None, None
+        for key, some in S.runs(parts, place):
+            if walker is None or key != last:
+                if walker is not None:
+                    yield last[:-1], walker.finished()
+                at, *before = shared.value[key[:-1]][0][key[-1]]
+                walker, last = S.Walker(at, tuple(before), shared.value[key[:-1]][1:], samples), key
+            for k in range(0, len(some), CELLS):
+                piece = some.iloc[k : k + CELLS]
+                walker.feed(piece["score"].to_numpy(float), *matrices(piece))
+        if walker is not None:
+            yield last[:-1], walker.finished()
+
+    blob = T.StructField("block", T.BinaryType())
+    parts = dealt(rows).mapInPandas(S.partial_blocks(made, keys), _group_schema(df, keys, blob))
+    gathered = parts.repartition(*keys).sortWithinPartitions(*keys)
+    totals = lambda group: tuple(shared.value[group][1:])
+    return gathered.mapInPandas(lambda it: S.merged_blocks(it, keys, samples, totals), _replicate_schema(df, keys))
+
+
 def paired_cluster_bootstrap(
     df: DataFrame,
     keys: Sequence[str],
@@ -190,37 +318,22 @@ def paired_cluster_bootstrap(
     *,
     score: str = "llr",
     samples: int = SAMPLES,
-    resolution: float | None = None,
     description: str = "speaker-clustered paired",
 ) -> DataFrame:
     """Difference of two systems' metrics with clusters (speakers) resampled together.
 
-    Both systems share a replicate's cluster weights.  Weights depend on
-    (replicate, cluster) alone, so they are computed in place, and the expanded
-    rows flow straight into a partial aggregate of (replicate, system, score):
-    only those sums are shuffled.
+    Both systems share a replicate's cluster weights.  Trials without a cluster
+    take no part.
     """
     base, other = pair
-    seed = stable_seed(description)
-    rows = binned(df.filter(F.col(system).isin(base, other)), score, resolution)
-    hit = F.col("label") == 1
-    cells = rows.groupBy(*keys, system, cluster, F.col(score).alias("score")).agg(
-        F.count_if(hit).alias("t"), F.count_if(~hit).alias("n")
-    )
-    reps = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(samples))))
-    at = [F.lit(seed), F.col("replicate"), F.col(cluster)]
-    one = F.lit(1.0)
-    weight = F.when(F.col("replicate") == 0, F.lit(1)).otherwise(poisson_draw(one, _uniform(*at), _uniform(F.lit("v"), *at)))
-    group = ["replicate", *keys, system]
-    counts = (
-        reps.withColumn("w", weight)
-        .filter(F.col("w") > 0)
-        .groupBy(*group, "score")
-        .agg(F.sum(F.col("t") * F.col("w")).alias("t"), F.sum(F.col("n") * F.col("w")).alias("n"))
-    )
-    blocks = block_from_counts(counts, group)
-    names = CI_METRICS
-    tall = blocks.unpivot(group, names, "metric", "value")
+    rows = df.filter(F.col(system).isin(base, other) & F.col(cluster).isNotNull())
+    group = [*keys, system]
+    weights = cluster_weights(rows, cluster, samples, stable_seed(description))
+    reps = cluster_replicates(rows, group, cluster, weights, samples, score)
+    point = block_from_counts(score_counts(rows, group, score), group).select(F.lit(0).cast("long").alias("replicate"), *group, *CI_METRICS)
+    blocks = point.unionByName(reps.select("replicate", *group, *CI_METRICS))
+    tall = blocks.unpivot(["replicate", *group], CI_METRICS, "metric", "value")
+    tall = tall.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     both = tall.groupBy("replicate", *keys, "metric").pivot(system, [base, other]).agg(F.first("value"))
     both = both.withColumn("d", F.col(other) - F.col(base))
     rep = F.col("replicate") > 0

@@ -362,8 +362,8 @@ def bootstrap_fixed(spark, d):
 
 @query("bootstrap_metrics")
 def bootstrap_metrics(spark, d):
-    """1000 Poisson resamples; replicates on LLRs rounded to 0.05."""
-    return R.bootstrap_metrics(fx.llr_trials(spark, d), ["split"], "llr", resolution=0.05, description="fused llr")
+    """1000 exact multinomial resamples of the trials of each split."""
+    return R.bootstrap_metrics(fx.llr_trials(spark, d), ["split"], "llr", description="fused llr")
 
 
 def _decided(spark, d):
@@ -377,12 +377,54 @@ def bootstrap_decisions(spark, d):
     return R.bootstrap_decisions(_decided(spark, d), ["split"], description="fused decisions")
 
 
+_FIXED_W = "('0x' || substr(sha256(cast(r.replicate AS VARCHAR) || '|' || {by}), 1, 8))::BIGINT % 4 AS w"
+
+
+@query(
+    "bootstrap_decisions_fixed",
+    B.sql(
+        f"""rep AS (SELECT split, label, r.replicate, CASE WHEN greatest(1/(1+exp(-llr)), 1-1/(1+exp(-llr))) < 0.8 THEN 'reject'
+    WHEN 1/(1+exp(-llr)) >= 0.5 THEN 'target' ELSE 'nontarget' END AS decision, {_FIXED_W.format(by='trial_id')}
+  FROM llrs, (SELECT unnest(range(1, {REPS + 1})) AS replicate) r)""",
+        "copies AS (SELECT split, label, replicate, decision, unnest(range(w)) AS copy FROM rep)",
+        B.decisions("dm", "copies", ["replicate", "split"]),
+        final=B.pick("dm", ["replicate", "split", *B.DECISION_COUNTS], B.DECISION_DOUBLES),
+    ),
+)
+def bootstrap_decisions_fixed(spark, d):
+    """Decision metrics of replicates under reproducible hash weights."""
+    out = R.bootstrap_decisions_fixed(_decided(spark, d), ["split"], REPS)
+    return out.select("replicate", "split", *B.DECISION_COUNTS, *B.DECISION_DOUBLES)
+
+
+def _two_systems(spark, d):
+    t = four_systems(spark, d).filter(F.col("system").isin("enc1", "fused"))
+    return t.withColumn("split", F.lit("test"))
+
+
 @query("paired_cluster_bootstrap")
 def paired_cluster_bootstrap(spark, d):
     """Two systems on the test trials, enrollment speakers resampled together."""
-    t = four_systems(spark, d).filter(F.col("system").isin("enc1", "fused")).withColumn("split", F.lit("test"))
-    return R.paired_cluster_bootstrap(
-        t, ["split"], "enroll_speaker", "system", ("enc1", "fused"), samples=1000, resolution=0.05
+    return R.paired_cluster_bootstrap(_two_systems(spark, d), ["split"], "enroll_speaker", "system", ("enc1", "fused"), samples=1000)
+
+
+@query(
+    "bootstrap_cluster_fixed",
+    B.sql(
+        SYS_SQL,
+        f"""rep AS (SELECT system, label, value AS llr, r.replicate, {_FIXED_W.format(by='enroll_speaker')}
+  FROM systems, (SELECT unnest(range(1, {REPS + 1})) AS replicate) r WHERE system IN ('enc1', 'fused'))""",
+        "used AS (SELECT * FROM rep WHERE w > 0)",
+        B.block("b", "used", ["replicate", "system"], "llr", "w"),
+        final=B.pick("b", ["replicate", "system"], R.CI_METRICS),
+    ),
+)
+def bootstrap_cluster_fixed(spark, d):
+    """The passes of the paired bootstrap under reproducible cluster weights."""
+    t = _two_systems(spark, d)
+    weights = R.fixed_cluster_weights(t, "enroll_speaker", REPS)
+    return R.cluster_replicates(t, ["system"], "enroll_speaker", weights, REPS).select(
+        "replicate", "system", *[F.round(m, 6).alias(m) for m in R.CI_METRICS]
     )
 
 
