@@ -206,3 +206,44 @@ def test_sharding_hot_and_odd(spark, odd_docs):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
         counts = [len(slots.get(i, ())) for i in range(24)]
         assert max(counts) - min(counts) <= 1
+
+
+def brute_ring(spark, df, n_shards, ring_bits=12, virtual_nodes=128):
+    """Rows walked one by one around the ring, in rounds of going on to the next shard."""
+    import hashlib
+
+    text = "coalesce(text, '')"
+    rows = df.selectExpr("doc_id", f"cast(octet_length({text}) + 8 as long) as size", f"crc32(cast({text} as binary)) as crc")
+    rows = [(r.place % (1 << 64) >> (64 - ring_bits), r.place, r.doc_id is not None, r.doc_id or 0, r.size, r.crc, r.doc_id)
+            for r in rows.selectExpr("*", "xxhash64(doc_id, size, crc) as place").collect()]
+    rows.sort()
+    nodes = sorted((int.from_bytes(hashlib.sha256(f"{s}/{v}".encode()).digest()[:8], "big"), s) for s in range(n_shards) for v in range(virtual_nodes))
+    free = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    used, out = [0] * n_shards, []
+    walks = {}
+    for arc in {r[0] for r in rows}:
+        ahead = [s for p, s in nodes if p >= arc << (64 - ring_bits)] + [s for _, s in nodes]
+        walks[arc] = list(dict.fromkeys(ahead))
+    for turn in range(n_shards):
+        waiting = []
+        for r in rows:
+            shard = walks[r[0]][turn]
+            if free[shard]:
+                free[shard] -= 1
+                out.append((r[6], r[4], r[5], shard, used[shard]))
+                used[shard] += 1
+            else:
+                waiting.append(r)
+        rows = waiting
+    return out
+
+
+def test_sharding_equals_brute_force(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    copies = spark.range(5000).selectExpr("7 as doc_id", "'the same row' as text")
+    for df in (odd_docs.select("doc_id", "text"), given.union(copies)):
+        want = sorted(brute_ring(spark, df, 24), key=repr)
+        for parts in (2, 9):
+            got = sharding.shard_documents(df.repartition(parts), 24).collect()
+            assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got), key=repr) == want

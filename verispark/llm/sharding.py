@@ -10,13 +10,15 @@ the counts of any two shards differ by at most one.
 
 Only the counts of the arcs reach the driver (``2**ring_bits`` numbers, whatever
 the input).  The plan made from them, at most one interval per arc and per shard,
-is sent back as a bounded table: rows are ranked inside their arc, and the
-interval that holds the rank names the shard and the slot.  An arc that holds
-more than ``HOT`` times the mean (rows repeated very often) is ranked in salted
-parts whose counts are added up first.
-
-Null texts have no bytes; null ids hash to a fixed place.  Repeated rows are
-placed one by one and are interchangeable.  An empty table gives an empty one.
+is sent back as a bounded table.  Equal rows are counted first and travel as one row
+with their number; these are ranked inside their arc by running sums of the
+numbers, and the intervals that hold their ranks name the shards and slots, over
+which they are given out again.  A row repeated very often thus stays small until
+the end, where its copies are spread over tasks in pieces of ``PIECE``.  Placement
+depends on the rows alone, not on how the table is partitioned.
+
+Null texts have no bytes; null ids hash to a fixed place.  Equal rows are
+interchangeable and take a slot each.  An empty table gives an empty one.
 Only ``doc_id`` and ``text`` are read; other columns do not matter.
 """
 
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .arrow import written
 
-HOT = 8
-SALTS = 64
+#: Equal rows given out by one step.
+PIECE = 10_000
 
 
 def ring_order(n_shards: int, ring_bits: int, virtual_nodes: int) -> list[list[int]]:
@@ -91,35 +93,22 @@ def arc_of(place: Column, ring_bits: int) -> Column:
 def shard_documents(documents: DataFrame, n_shards: int, ring_bits: int = 12, virtual_nodes: int = 128, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys``, size, text_crc32, shard and slot (gapless from 0 inside a shard) of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(
-        *keys,
-        (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    place = F.xxhash64(*keys, "size", "text_crc32")
-    rows = written(rows.withColumn("_place", place).withColumn("_arc", arc_of(F.col("_place"), ring_bits)))
-    counts = {r["_arc"]: r["count"] for r in rows.groupBy("_arc").count().collect()}
+    same = [*keys, "size", "text_crc32"]
+    rows = documents.select(*keys, (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("_n")).withColumn("_place", F.xxhash64(*same))
+    rows = written(rows.withColumn("_arc", arc_of(F.col("_place"), ring_bits)))
+    counts = {r["_arc"]: r["_n"] for r in rows.groupBy("_arc").agg(F.sum("_n").alias("_n")).collect()}
     plan = intervals(counts, ring_order(n_shards, ring_bits, virtual_nodes), n_shards)
-    mean = max(1, sum(counts.values()) / (1 << ring_bits))
-    hot = [arc for arc, n in counts.items() if n > HOT * mean and n > 10_000]
-    salted = rows.withColumn("_salt", F.when(F.col("_arc").isin(hot), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))) if hot else rows.withColumn("_salt", F.lit(0))
-    inside = W.partitionBy("_arc", "_salt").orderBy("_place", *keys, "text_crc32", "_row")
-    ranked = salted.withColumn("_rank", F.row_number().over(inside) - F.lit(1).cast("long"))
-    if hot:
-        parts, before = {}, []
-        for r in salted.filter(F.col("_arc").isin(hot)).groupBy("_arc", "_salt").count().orderBy("_arc", "_salt").collect():
-            before.append((r["_arc"], r["_salt"], parts.get(r["_arc"], 0)))
-            parts[r["_arc"]] = parts.get(r["_arc"], 0) + r["count"]
-        ranked = ranked.join(F.broadcast(_table(rows, before, ["_arc", "_salt", "_before"])), ["_arc", "_salt"], "left")
-        ranked = ranked.withColumn("_rank", F.col("_rank") + F.coalesce(F.col("_before"), F.lit(0)))
+    before = W.partitionBy("_arc").orderBy("_place", *same).rowsBetween(W.unboundedPreceding, -1)
+    ranked = rows.withColumn("_rank", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     bounded = F.broadcast(_table(rows, plan, ["_arc", "_from", "_to", "_shard", "_base"]))
-    held = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    held = (F.col("_rank") < F.col("_to")) & (F.col("_rank") + F.col("_n") > F.col("_from"))
     placed = ranked.alias("r").join(bounded.alias("p"), (F.col("r._arc") == F.col("p._arc")) & held)
-    return placed.select(
-        *[f"r.{k}" for k in keys],
-        "size",
-        "text_crc32",
-        F.col("_shard").cast("int").alias("shard"),
-        (F.col("_base") + F.col("_rank") - F.col("_from")).alias("slot"),
-    )
+    low, high = F.greatest("_rank", "_from"), F.least(F.col("_rank") + F.col("_n"), F.col("_to"))
+    slot = (F.col("_base") + low - F.col("_from")).alias("_slot")
+    runs = written(placed.select(*[f"r.{c}" for c in same], F.col("_shard").cast("int").alias("shard"), slot, (high - low).alias("_n")))
+    few = runs.filter(F.col("_n") <= PIECE)
+    many = runs.filter(F.col("_n") > PIECE).withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(PIECE))))
+    many = many.withColumns({"_slot": F.col("_slot") + F.col("_at"), "_n": F.least(F.lit(PIECE), F.col("_n") - F.col("_at"))}).drop("_at")
+    out = few.unionByName(many.repartition("_slot", "shard"))
+    return out.select(*same, "shard", F.explode(F.sequence(F.col("_slot"), F.col("_slot") + F.col("_n") - 1)).alias("slot"))
