@@ -35,6 +35,7 @@ def test_op9_equals_brute_force(spark):
 def test_many_variants(spark, monkeypatch, first):
     """Variants of lines around the threshold; with one candidate per line the second look decides."""
     monkeypatch.setattr(line_dedup, "FIRST", first)
+    monkeypatch.setattr(line_dedup, "PAIRS", 0)
     rng = np.random.default_rng(first)
     rows = []
     bases = [[f"b{k}_{w}" for w in range(n)] for k, n in enumerate([1, 2, 4, 5, 6, 9, 10, 25, 60])]
@@ -50,6 +51,22 @@ def test_many_variants(spark, monkeypatch, first):
     check(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 
 
+@pytest.mark.parametrize("first", [1, 4])
+def test_one_template(spark, monkeypatch, first):
+    """Thousands of variants of one template: its words are frequent and their postings meet in small blocks."""
+    for name, value in {"FIRST": first, "PAIRS": 1, "FREQUENT": 100, "BLOCK": 64, "CHUNK": 5000}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rng = np.random.default_rng(first)
+    template = [f"word{k}" for k in range(10)]
+    rows = []
+    for d in range(5000):
+        words = template[: rng.integers(7, 11)] + [f"own{rng.integers(0, 4000)}" for _ in range(rng.integers(1, 4))]
+        rng.shuffle(words)
+        rows.append((d, " ".join(words)))
+    rows += [(5000 + d, rows[d][1]) for d in range(300)]
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
 def test_odd_rows(spark, odd_docs):
     check(spark, odd_docs)
     out = line_dedup.dedup_lines(odd_docs)

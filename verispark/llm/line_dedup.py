@@ -13,7 +13,11 @@ of the text, line number), null ids last.  Lines without words stay.
    so a line repeated a million times is not sent a million times.
 3. In a bucket, lines sharing a prefix word are compared by length, position and
    bitmap; each filter only drops pairs that cannot reach 0.8.  Equal lines are
-   settled there.  For each line the ``FIRST`` earliest candidates go on.
+   settled there.  For each line the earliest candidates go on: up to ``WIDE``, or
+   ``FIRST`` where that would be too many pairs.
+   Words that occur more than ``FREQUENT`` times are left out of the buckets: their
+   postings are dealt by line size and set into blocks of about ``BLOCK``, and every
+   pair of blocks whose sizes can match is a task of its own.
 4. Candidates are verified by the Jaccard similarity of their whole word sets.
    Lines whose earliest candidates all fail and that had more are looked up again
    with all of their candidates, so the limit loses nothing.
@@ -32,6 +36,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +44,18 @@ from .arrow import Words, array_sums, groups, mix, task_part, text_slices, writt
 
 COUNT_BITS = 20
 CHUNKS = 16
-FIRST = 4
-POSTINGS_PER_BUCKET = 300_000
+#: Candidates listed per line where lists of up to ``WIDE`` would be longer than ``PAIRS`` times the postings compared.
+#: Lines that their list leaves open, while there are more candidates, cost a second look at all texts.
+FIRST = 8
+WIDE = 256
+PAIRS = 4
+POSTINGS_PER_BUCKET = 100_000
+BUCKETS_PER_TASK = 2
+#: Occurrences from which a word's postings meet in pairs of blocks instead of in a bucket.
+FREQUENT = 200_000
+BLOCK = 1 << 14
+#: Pairs compared at once, and pairs held before they are cut to the earliest.
+CHUNK = 2_000_000
 NO_ID = (1 << 63) - 1
 #: Size of the bitmaps that say which lines or words a pass has to send; full ones only send more.
 LINE_BITS = 1 << 23
@@ -128,8 +143,9 @@ class Lines:
         if len(line) and line[-1] < 1 << (64 - 2 * COUNT_BITS):
             key = (line.astype(np.uint64) << np.uint64(2 * COUNT_BITS)) | (rank << np.uint64(COUNT_BITS)) | low
             order = np.argsort(key)
-            same = key[order][1:] == key[order][:-1]
-            if (hashes[order][1:] == hashes[order][:-1])[same].all():
+            key = key[order]
+            same = np.flatnonzero(key[1:] == key[:-1])
+            if (hashes[order[same + 1]] == hashes[order[same]]).all():
                 return order
         return np.lexsort((hashes, low, rank, line))
 
@@ -138,7 +154,31 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size - -(-4 * size // 5) + 1
 
 
-def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, n_buckets: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def size_classes(size: np.ndarray) -> np.ndarray:
+    """Classes of line sizes such that sizes of a ratio up to 5 / 4 are in one or in neighbouring classes."""
+    edges = [1]
+    while edges[-1] <= int(size.max(initial=1)):
+        edges.append(edges[-1] * 5 // 4 + 1)
+    return np.searchsorted(edges, size, side="right")
+
+
+def _frequent_rows(records: np.ndarray, word: np.ndarray, salts: np.ndarray, spot: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings of frequent words, by word and size class; ``spot`` spreads a word over several tasks."""
+    kind = size_classes(records["size"].astype(np.int64))
+    salt = spot % salts
+    order = np.lexsort((salt, kind, word))
+    records, word, kind, salt = records[order], word[order], kind[order], salt[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (word[1:] != word[:-1]) | (kind[1:] != kind[:-1]) | (salt[1:] != salt[:-1])
+    edges = np.flatnonzero(new)
+    bucket = mix(mix(word[edges]) + kind[edges].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[edges]) % np.uint64(n_buckets)
+    parts = np.split(records, edges[1:])
+    yield _columns(bucket=bucket.astype(np.int64), blob=[_packed(p) for p in parts], hot=word[edges].view(np.int64), kind=kind[edges].astype(np.int32), n=[len(p) for p in parts])
+
+
+def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, frequent: dict[int, int], n_buckets: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    often = np.array(sorted(frequent), np.uint64)
+    n_salts = np.array([frequent[int(k)] for k in often], np.uint64)
     for part in text_slices(batches, limit=8 << 20):
         some = None if only is None else lambda row, number, hashes, starts: np.logical_or.reduceat(_has(only, hashes), starts)
         lines = Lines(part.column("text"), ranks, some)
@@ -166,16 +206,35 @@ def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, n_bucket
         if only is not None:
             keep = _has(only, word)
             owner, at, word = owner[keep], at[keep], word[keep]
-        out = np.empty(len(owner), RECORD)
-        out["word"], out["size"], out["at"], out["line"] = word & np.uint64(0xFFFFFFFF), lines.size[owner], at, lines.number[owner]
-        for name, column in (("set", sets), ("bitmap", bitmap), ("bitmap2", bitmap2), ("doc", doc), ("text", text)):
-            out[name] = column[owner]
         bucket = ((word >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        out, bucket = out[order], bucket[order]
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        blobs = [_packed(b) for b in np.split(out, edges[1:])] if len(out) else []
-        yield _columns(bucket=bucket[edges], blob=blobs)
+        columns = {"word": word, "size": lines.size, "at": at, "line": lines.number, "set": sets, "bitmap": bitmap, "bitmap2": bitmap2, "doc": doc, "text": text}
+
+        def record_columns(rows: np.ndarray) -> dict[str, np.ndarray]:
+            of_line = owner[rows]
+            return {f: c[rows if f in ("word", "at") else of_line].astype(RECORD[f]) for f, c in columns.items()}  # a word's lower half
+
+        if len(often):
+            head = word >> np.uint64(64 - COUNT_BITS)
+            known = np.minimum(np.searchsorted(often, head), len(often) - 1)
+            hot = often[known] == head
+            if hot.any():
+                rows = np.flatnonzero(hot)
+                out = np.empty(len(rows), RECORD)
+                for f, c in record_columns(rows).items():
+                    out[f] = c
+                yield from _frequent_rows(out, word[rows], n_salts[known[rows]], mix(out["set"]), n_buckets)
+                rest = np.flatnonzero(~hot)
+                order = rest[np.argsort(bucket[rest].astype(np.int32), kind="stable")]
+            else:
+                order = np.argsort(bucket.astype(np.int32), kind="stable")
+        else:
+            order = np.argsort(bucket.astype(np.int32), kind="stable")
+        if not len(order):
+            continue
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        packed = record_columns(order)
+        blobs = [b"".join(packed[f][a:b].tobytes() for f in RECORD.names) for a, b in zip(edges, [*edges[1:], len(order)])]
+        yield _columns(bucket=bucket[order[edges]], blob=blobs)
 
 
 def _parity(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,10 +262,14 @@ def _marks(doc: np.ndarray, text: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.int64).view(np.uint64)) + text.astype(np.int64).view(np.uint64) + mix(line.astype(np.uint64)))
 
 
-CANDIDATES = "bucket long, blob binary, doc long, text_hash long, line int, others array<struct<doc: long, text_hash: long, line: int>>, more boolean"
+CANDIDATES = (
+    "bucket long, blob binary, hot long, kind int, n long, doc long, text_hash long, line int, "
+    "others array<struct<doc: long, text_hash: long, line: int>>, more boolean"
+)
 _OTHER = pa.struct([("doc", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32())])
 _KINDS = {
-    "bucket": pa.int64(), "blob": pa.binary(), "doc": pa.int64(), "text_hash": pa.int64(), "line": pa.int32(),
+    "bucket": pa.int64(), "blob": pa.binary(), "hot": pa.int64(), "kind": pa.int32(), "n": pa.int64(),
+    "doc": pa.int64(), "text_hash": pa.int64(), "line": pa.int32(),
     "others": pa.list_(_OTHER), "more": pa.bool_(),
 }
 
@@ -233,15 +296,60 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch], first: int | None, wanted
         settled = group.filter(group.column("blob").is_null())
         if settled.num_rows:
             yield settled
-        blobs = group.column("blob").drop_null()
+        frequent = group.filter(group.column("hot").is_valid())
+        if frequent.num_rows:
+            yield from _gathered(frequent)
+        blobs = group.filter(pc.and_(group.column("hot").is_null(), group.column("blob").is_valid())).column("blob")
         if len(blobs):
             yield from _candidates(np.concatenate([_unpacked(b.as_py()) for b in blobs]), first, wanted)
 
 
-def _candidates(records: np.ndarray, first: int | None, wanted: np.ndarray | None, chunk: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Later matches of equal sets, and for every line (or those in a bitmap) its earliest candidates."""
-    key = (records["word"].astype(np.uint64) << np.uint64(32)) | records["size"].astype(np.uint64)
-    records = records[np.argsort(key, kind="stable")]
+def _gathered(frequent: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Postings of frequent words with one row per word and size class; equal lines are settled."""
+    by: dict[tuple[int, int], list[np.ndarray]] = {}
+    for hot, kind, blob in zip(*(frequent.column(c) for c in ("hot", "kind", "blob"))):
+        by.setdefault((hot.as_py(), kind.as_py()), []).append(_unpacked(blob.as_py()))
+    for (hot, kind), parts in by.items():
+        records, later = _leaders(np.concatenate(parts))
+        later = later[later["at"] == 0]
+        if len(later):
+            yield _removed(later["doc"], later["text"], later["line"])
+        yield _columns(hot=[hot], kind=[kind], blob=[_packed(records)], n=[len(records)])
+
+
+def _leaders(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Postings sorted by word and size, the earliest line of equal sets only, and the others that stand elsewhere."""
+    whole = mix(records["set"] ^ mix(records["bitmap"]))
+    order = np.lexsort((whole, (records["word"].astype(np.uint64) << np.uint64(32)) | records["size"].astype(np.uint64)))
+    records = records[order]
+    new = np.ones(len(records), bool)
+    new[1:] = np.logical_or.reduce([records[f][1:] != records[f][:-1] for f in ("word", "size", "set", "bitmap")])
+    if new.all():
+        return records, records[:0]
+    run = np.cumsum(new) - 1
+    shared = np.flatnonzero(np.bincount(run)[run] > 1)
+    some = records[shared]
+    shared = shared[np.lexsort((some["line"], some["text"], some["doc"], run[shared]))]
+    lead = np.ones(len(records), bool)
+    lead[shared] = first = np.diff(run[shared], prepend=-1) != 0
+    leader = records[shared[np.flatnonzero(first)[np.cumsum(first) - 1]]]
+    others = records[shared]
+    elsewhere = np.logical_or.reduce([others[f] != leader[f] for f in ("doc", "text", "line")])
+    return records[lead], others[elsewhere]
+
+
+def _candidates(records: np.ndarray, first: int | None, wanted: np.ndarray | None, side: Callable | None = None) -> Iterator[pa.RecordBatch]:
+    """Later matches of equal sets, and for every line (or those in a bitmap) its earliest candidates.
+
+    ``first`` is the length of a list where pairs abound; None lists all.
+
+    ``side`` tells two blocks apart whose lines are compared with those of the other only.
+    """
+    records, later = _leaders(records)
+    later = later[later["at"] == 0]  # equal sets share their first word too
+    if len(later):
+        yield _removed(later["doc"], later["text"], later["line"])
+    sides = None if side is None else side(records)
     key = (records["word"].astype(np.uint64) << np.uint64(32)) | records["size"].astype(np.uint64)
     size = records["size"].astype(np.int64)
     # places in corpus order, equal for postings of one line
@@ -256,15 +364,27 @@ def _candidates(records: np.ndarray, first: int | None, wanted: np.ndarray | Non
     ends = np.cumsum(count)
     asked = np.ones(len(records), bool) if wanted is None else _has(wanted, _marks(records["doc"], records["text"], records["line"]))
     best: list[np.ndarray] = []
-    equal: list[np.ndarray] = []
-    at = 0
+    at = held = 0
+    length = None if first is None else max(WIDE, first)
+    bound = PAIRS * len(records)
+
+    def cut(pairs: np.ndarray, length: int) -> tuple[np.ndarray, int]:
+        """The earliest candidates of each line, one more than are listed, and the length of lists."""
+        pairs = _earliest(pairs, length + 1)
+        if len(pairs) > bound and length > first:
+            return _earliest(pairs, first + 1), first
+        return pairs, length
+
     while at < len(records):
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + chunk, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
         n = count[at:to]
         a = np.repeat(np.arange(at, to), n)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
         at = to
+        if sides is not None:
+            across = sides[a] != sides[b]
+            a, b = a[across], b[across]
         both = size[a] + size[b]
         overlap = -(-4 * both // 9)
         apart = np.bitwise_count(records["bitmap"][a] ^ records["bitmap"][b]) + np.bitwise_count(records["bitmap2"][a] ^ records["bitmap2"][b])
@@ -274,30 +394,33 @@ def _candidates(records: np.ndarray, first: int | None, wanted: np.ndarray | Non
         keep = (left >= overlap) & (place[a] != place[b])
         a, b = a[keep], b[keep]
         x, y = np.where(place[a] < place[b], a, b), np.where(place[a] < place[b], b, a)
-        twin = (records["set"][a] == records["set"][b]) & (size[a] == size[b]) & (records["bitmap"][a] == records["bitmap"][b])
-        equal.append(np.unique(place[y[twin & (records["at"][a] == 0)]]))  # equal sets share their first word too
-        near = ~twin & asked[y]
+        near = asked[y]
         pairs = np.unique(place[y[near]] << np.int64(32) | place[x[near]])
-        best.append(_earliest(pairs, first))
-    gone = np.unique(np.concatenate(equal)) if equal else np.zeros(0, np.int64)
-    if len(gone):
-        r = records[shown[gone]]
-        yield _removed(r["doc"], r["text"], r["line"])
-    pairs = np.unique(np.concatenate(best)) if best else np.zeros(0, np.int64)
-    y = pairs >> 32
-    keep = ~np.isin(y, gone)
-    pairs, y = pairs[keep], y[keep]
-    if not len(pairs):
-        return
-    total = np.unique(y, return_counts=True)
-    kept = _earliest(pairs, None if first is None else first - 1)  # one place is spent on knowing that there are more
+        if first is None:
+            if len(pairs):
+                yield _listed(records, shown, pairs, None)
+            continue
+        best.append(_earliest(pairs, length + 1))
+        held += len(best[-1])
+        if held > CHUNK:
+            pairs, length = cut(np.unique(np.concatenate(best)), length)
+            best, held = [pairs], len(pairs)
+    if held:
+        pairs, length = cut(np.unique(np.concatenate(best)), length)
+        yield _listed(records, shown, pairs, length)
+
+
+def _listed(records: np.ndarray, shown: np.ndarray, pairs: np.ndarray, length: int | None) -> pa.RecordBatch:
+    """Lines with their candidates, from sorted (line << 32 | earlier line); one beyond ``length`` says that there are more."""
+    n_found = np.unique(pairs >> 32, return_counts=True)[1]
+    kept = _earliest(pairs, length)
     y, x = kept >> 32, kept & np.int64(0xFFFFFFFF)
     starts = np.flatnonzero(np.diff(y, prepend=-1))
     r, o = records[shown[y[starts]]], records[shown[x]]
     others = pa.StructArray.from_arrays([pa.array(o["doc"]), pa.array(o["text"]), pa.array(o["line"].astype(np.int32))], fields=list(_OTHER))
     others = pa.ListArray.from_arrays(pa.array(np.append(starts, len(y)), pa.int32()), others)
-    more = total[1] >= first if first is not None else np.zeros(len(starts), bool)
-    yield _columns(doc=r["doc"], text_hash=r["text"], line=r["line"].astype(np.int32), others=others.cast(_KINDS["others"]), more=more)
+    more = n_found > length if length is not None else np.zeros(len(starts), bool)
+    return _columns(doc=r["doc"], text_hash=r["text"], line=r["line"].astype(np.int32), others=others.cast(_KINDS["others"]), more=more)
 
 
 def _earliest(pairs: np.ndarray, first: int | None) -> np.ndarray:
@@ -308,11 +431,77 @@ def _earliest(pairs: np.ndarray, first: int | None) -> np.ndarray:
     return pairs[np.arange(len(pairs)) - np.repeat(starts, np.diff(np.append(starts, len(pairs)))) < first]
 
 
-def candidates(texts: DataFrame, ranks, n_buckets: int, first: int | None, only=None, wanted=None) -> DataFrame:
+_PAIR = ["hot", "kind", "i", "other_kind", "j"]
+BLOCKS = "hot long, kind int, i long, other_kind int, j long, blob binary"
+
+
+def _block_of(records: np.ndarray, n_blocks: int) -> np.ndarray:
+    return (mix(records["set"] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n_blocks)).astype(np.int64)
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of frequent words, given to every pair of blocks that holds their own."""
+    for batch in batches:
+        for hot, kind, blob, below, own, above in zip(*(batch.column(c) for c in ("hot", "kind", "blob", "below", "own", "above"))):
+            hot, kind, below, own, above = (x.as_py() for x in (hot, kind, below, own, above))
+            records = _unpacked(blob.as_py())
+            block = _block_of(records, own)
+            for b in np.unique(block).tolist():
+                pairs = [(hot, kind, min(b, j), kind, max(b, j)) for j in range(own)]
+                pairs += [(hot, kind, b, kind + 1, j) for j in range(above)] + [(hot, kind - 1, j, kind, b) for j in range(below)]
+                mine = _packed(records[block == b])
+                step = max(1, (16 << 20) // max(1, len(mine)))
+                for at in range(0, len(pairs), step):
+                    some = pairs[at : at + step]
+                    columns = [pa.array(c, k) for c, k in zip(zip(*some), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([mine] * len(some), pa.binary())], [*_PAIR, "blob"])
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch], first: int | None, wanted: np.ndarray | None, n_blocks: dict[tuple[int, int], int]) -> Iterator[pa.RecordBatch]:
+    for group in groups(batches, _PAIR):
+        hot, kind, i, other, j = (group.column(c)[0].as_py() for c in _PAIR)
+        records = np.concatenate([_unpacked(b.as_py()) for b in group.column("blob")])
+        side = None
+        if other != kind:
+            low = size_classes(np.arange(1, int(records["size"].max()) + 1))
+            side = lambda r: low[r["size"] - 1] == kind
+        elif i != j:
+            side = lambda r: _block_of(r, n_blocks[hot, kind]) == i
+        yield from _candidates(records, first, wanted, side)
+
+
+def block_candidates(found: DataFrame, first: int | None, wanted) -> DataFrame:
+    """Candidates among the postings of frequent words, one task for every pair of blocks."""
+    hot = found.filter("hot is not null").select("hot", "kind", "n", "blob")
+    counts = written(hot.groupBy("hot", "kind").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks")))
+    beside = lambda by, name: counts.select("hot", (F.col("kind") + by).alias("kind"), F.col("blocks").alias(name))
+    sized = hot.join(beside(0, "own"), ["hot", "kind"]).join(beside(1, "below"), ["hot", "kind"], "left").join(beside(-1, "above"), ["hot", "kind"], "left")
+    sized = sized.fillna(0, ["below", "above"]).select("hot", "kind", "blob", "below", "own", "above")
+    # words of several blocks occur more than BLOCK times, so there are at most postings / BLOCK of them
+    n_blocks = {(r.hot, r.kind): r.blocks for r in counts.filter("blocks > 1").collect()}
+    dealt = sized.mapInArrow(_block_rows, BLOCKS).repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    return dealt.mapInArrow(lambda it: _pair_rows(it, first, None if wanted is None else wanted.value, n_blocks), CANDIDATES)
+
+
+def frequent_words(counts: np.ndarray) -> dict[int, int]:
+    """Buckets of words that occur more than FREQUENT times (at most words / FREQUENT), and over how many tasks each goes."""
+    often = np.flatnonzero(counts > FREQUENT)
+    return {int(k): int(-(-counts[k] // FREQUENT)) for k in often}
+
+
+_FOUND = ["doc", "text_hash", "line", "others", "more"]
+
+
+def candidates(texts: DataFrame, ranks, frequent: dict[int, int], n_buckets: int, first: int | None, only=None, wanted=None) -> DataFrame:
     """Settled lines (``others`` null) and lines with candidates to verify."""
-    posted = texts.mapInArrow(lambda it: _posting_rows(it, ranks.value, n_buckets, None if only is None else only.value), CANDIDATES)
-    dealt = posted.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda it: _candidate_rows(it, first, None if wanted is None else wanted.value), CANDIDATES).drop("bucket", "blob")
+    posted = texts.mapInArrow(lambda it: _posting_rows(it, ranks.value, frequent, n_buckets, None if only is None else only.value), CANDIDATES)
+    n_tasks = max(texts.sparkSession.sparkContext.defaultParallelism, n_buckets // BUCKETS_PER_TASK)
+    dealt = posted.repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+    found = written(dealt.mapInArrow(lambda it: _candidate_rows(it, first, None if wanted is None else wanted.value), CANDIDATES).drop("bucket"))
+    plain = found.filter("hot is null").select(*_FOUND)
+    if not frequent or found.filter("hot is not null").isEmpty():
+        return plain
+    return plain.unionByName(written(block_candidates(found, first, wanted).select(*_FOUND)))
 
 
 # --- 4: verification -----------------------------------------------------------------------
@@ -390,7 +579,8 @@ def later_matches(documents: DataFrame) -> DataFrame:
     counts = word_counts(texts)
     ranks = context.broadcast(rarity_ranks(counts))
     n_buckets = max(16, int(counts.sum() // 4 // POSTINGS_PER_BUCKET))
-    found = written(candidates(texts, ranks, n_buckets, FIRST + 1))
+    frequent = frequent_words(counts)
+    found = candidates(texts, ranks, frequent, n_buckets, FIRST)
     removed = found.filter("others is null").select(*_LINE)
     links, unsure = verified(texts, found)
     removed = removed.union(links)
@@ -399,7 +589,7 @@ def later_matches(documents: DataFrame) -> DataFrame:
         wanted = context.broadcast(bitmap_of(marks, F.expr(f"mark & {LINE_BITS - 1}L")))
         rare = unsure.select("words").mapInArrow(lambda it: _prefix_rows(it, ranks.value), "word long")
         words = context.broadcast(bitmap_of(rare, F.expr(f"word & {LINE_BITS - 1}L")))
-        rest = candidates(texts, ranks, n_buckets, None, words, wanted).filter("others is not null").join(unsure.select(*_LINE), _LINE, "left_semi")
+        rest = candidates(texts, ranks, frequent, n_buckets, None, words, wanted).filter("others is not null").join(unsure.select(*_LINE), _LINE, "left_semi")
         removed = removed.union(verified(texts, written(rest))[0])
     return removed.distinct()
 
