@@ -9,7 +9,7 @@ transforms each utterance once and then joins the trials.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -79,22 +79,28 @@ def fingerprint(column: str):
     return F.sha2(F.concat_ws(":", *[F.coalesce(p, F.lit(0)).cast("string") for p in parts]), 256)
 
 
-def leakage_manifest(fit: DataFrame, test: DataFrame, *, exact_hash_limit: int = 100_000) -> DataFrame:
-    """Speaker counts, set hashes and overlap of fit and test speakers.
+def set_hash(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row with the sha256 of a set of distinct texts, at any size.
 
-    ``*_speaker_hash`` is the sha256 of the sorted, newline-joined set.  It needs
-    the whole set in one place, so it is given only up to ``exact_hash_limit``
-    speakers (NULL beyond); ``*_fingerprint`` serves sets of any size.
+    Texts are put into 4096 buckets by the first three hex digits of their sha256;
+    a bucket's hash is that of its sorted texts' hashes, the set's hash that of its
+    buckets' hashes in order (an empty bucket's is the empty text).  No task sees more
+    than a bucket.
     """
+    hashed = df.select(F.sha2(F.col(column), 256).alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
+    buckets = hashed.groupBy("_b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "\n"), 256).alias("_h"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: F.concat(x["_b"], F.lit(":"), x["_h"])), "\n")
+    return buckets.agg(F.sha2(listed, 256).alias(name))
+
+
+def leakage_manifest(fit: DataFrame, test: DataFrame) -> DataFrame:
+    """Speaker counts, set hashes, order-free fingerprints and overlap of fit and test speakers."""
     f, t = fit.select("speaker_id").distinct(), test.select("speaker_id").distinct()
     both = f.join(t, "speaker_id", "left_semi")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         counts = df.agg(F.count(F.lit(1)).alias(f"{name}_speaker_count"), fingerprint("speaker_id").alias(f"{name}_fingerprint"))
-        few = df.orderBy("speaker_id").limit(exact_hash_limit + 1)
-        joined = F.array_join(F.array_sort(F.collect_list("speaker_id")), "\n")
-        exact = few.agg(F.when(F.count(F.lit(1)) <= exact_hash_limit, F.sha2(joined, 256)).alias(f"{name}_speaker_hash"))
-        return counts.withColumn(f"{name}_speaker_hash", exact.scalar())
+        return counts.withColumn(f"{name}_speaker_hash", set_hash(df, "speaker_id", "h").scalar())
 
     preview = both.orderBy("speaker_id").limit(10).agg(
         F.array_join(F.array_sort(F.collect_list("speaker_id")), ",").alias("p")
@@ -365,8 +371,8 @@ def project(column, mean: np.ndarray | None, matrix: np.ndarray | None):
     return apply(column)
 
 
-def asnorm_stats(embeddings: DataFrame, backend: Backend) -> DataFrame:
-    """Mean and population std (floored) of each utterance's top-k cohort cosines."""
+def _cohort_statistics(backend: Backend):
+    """A function of a vector column: mean and population std (floored) of its top-k cohort cosines."""
     k, floor = int(backend.meta["top_k"]), float(backend.meta["sigma_floor"])
     norms = np.linalg.norm(backend.matrix, axis=1, keepdims=True)
     cohort = (backend.matrix / np.maximum(norms, V.TINY)).T
@@ -381,43 +387,65 @@ def asnorm_stats(embeddings: DataFrame, backend: Backend) -> DataFrame:
         top = np.partition(cos, cos.shape[1] - k, axis=1)[:, -k:]
         return pd.DataFrame({"mu": top.mean(axis=1), "sigma": np.maximum(top.std(axis=1), floor)})
 
-    return embeddings.withColumn("_s", stats(F.col("vec"))).select(
+    return stats
+
+
+def asnorm_stats(embeddings: DataFrame, backend: Backend) -> DataFrame:
+    """Mean and population std (floored) of each utterance's top-k cohort cosines."""
+    return embeddings.withColumn("_s", _cohort_statistics(backend)(F.col("vec"))).select(
         *embeddings.columns, F.col("_s.mu").alias("mu"), F.col("_s.sigma").alias("sigma")
     )
 
 
-def score_backend(
-    trials: DataFrame, embeddings: DataFrame, backend: Backend, *, blocked: str = "error", on_missing: str = "error", rows: int | None = None
+def _side_columns(backend: Backend, vec) -> list[tuple]:
+    """(name, column) pairs an utterance brings to its trials."""
+    if backend.metric == "neg_mahalanobis":
+        return [("x", vec), ("p", project(vec, None, backend.matrix))]
+    if backend.metric == "asnorm_cosine":
+        return [("u", V.unit(vec)), ("s", _cohort_statistics(backend)(vec))]
+    return [("u", V.unit(project(vec, backend.mean, backend.matrix)))]
+
+
+def _pair_score(backend: Backend, side: Callable):
+    """The score of a trial from both sides' columns; ``side(which, name)`` names them."""
+    e, t = (lambda name: side("enroll", name)), (lambda name: side("test", name))
+    if backend.metric == "neg_mahalanobis":
+        return -(V.dot(e("x"), e("p")) + V.dot(t("x"), t("p")) - 2.0 * V.dot(e("p"), t("x")))
+    raw = V.dot(e("u"), t("u"))
+    if backend.metric == "asnorm_cosine":
+        return 0.5 * ((raw - e("s")["mu"]) / e("s")["sigma"] + (raw - t("s")["mu"]) / t("s")["sigma"])
+    return raw
+
+
+def score_backends(
+    trials: DataFrame,
+    embeddings: DataFrame,
+    fitted: dict[str, tuple[str, Backend]],
+    *,
+    blocked: str = "error",
+    on_missing: str = "error",
+    rows: int | None = None,
 ) -> DataFrame:
-    """Add ``score_<metric>`` from (utterance, vec); everything per utterance is
-    computed before the join.
+    """One score column per entry of ``fitted`` ({name: (vector column, backend)}) from two joins in all.
 
+    Everything that depends on one utterance is computed before the joins.
     ``blocked`` says what an unfitted backend does: ``error`` or a NULL column.
     """
-    name = f"score_{backend.metric}"
-    if backend.status != "ok":
-        if blocked == "error":
-            raise BackendFitError(f"{backend.metric} is blocked: {backend.meta.get('reason', '')}")
-        return trials.withColumn(name, F.lit(None).cast("double"))
-    vec = F.col("vec")
-    width = 64 + 8 * MAX_DIM if backend.matrix is None else 64 + 8 * max(backend.matrix.shape)
-    if backend.metric == "neg_mahalanobis":
-        per = embeddings.select("utterance", vec.alias("x"), project(vec, None, backend.matrix).alias("p"))
-        per = per.select("utterance", "x", "p", V.dot(F.col("x"), F.col("p")).alias("q"))
-        joined = attach_sides(trials, per, ["x", "p", "q"], on_missing, rows=rows, row_bytes=2 * width)
-        cross = V.dot(F.col("_enroll_p"), F.col("_test_x"))
-        value = -(F.col("_enroll_q") + F.col("_test_q") - 2.0 * cross)
-    elif backend.metric == "asnorm_cosine":
-        per = asnorm_stats(embeddings.select("utterance", "vec"), backend)
-        per = per.select("utterance", V.unit(vec).alias("u"), "mu", "sigma")
-        joined = attach_sides(trials, per, ["u", "mu", "sigma"], on_missing, rows=rows, row_bytes=1 * width)
-        raw = V.dot(F.col("_enroll_u"), F.col("_test_u"))
-        value = 0.5 * (
-            (raw - F.col("_enroll_mu")) / F.col("_enroll_sigma") + (raw - F.col("_test_mu")) / F.col("_test_sigma")
-        )
-    else:
-        per = embeddings.select("utterance", project(vec, backend.mean, backend.matrix).alias("y"))
-        per = per.select("utterance", V.unit(F.col("y")).alias("u"))
-        joined = attach_sides(trials, per, ["u"], on_missing, rows=rows, row_bytes=1 * width)
-        value = V.dot(F.col("_enroll_u"), F.col("_test_u"))
-    return joined.select(*trials.columns, value.alias(name))
+    live = {n: (c, b) for n, (c, b) in fitted.items() if b.status == "ok"}
+    if blocked == "error" and len(live) < len(fitted):
+        name, (_, backend) = next((n, x) for n, x in fitted.items() if n not in live)
+        raise BackendFitError(f"{name} is blocked: {backend.meta.get('reason', '')}")
+    sides = {f"{n}__{k}": v for n, (c, b) in live.items() for k, v in _side_columns(b, F.col(c))}
+    width = sum(64 + 16 * (MAX_DIM if b.matrix is None else max(b.matrix.shape)) for _, b in live.values())
+    per = embeddings.select("utterance", *[v.alias(k) for k, v in sides.items()])
+    joined = attach_sides(trials, per, list(sides), on_missing, rows=rows, row_bytes=width)
+    values = {n: _pair_score(b, lambda which, k, n=n: F.col(f"_{which}_{n}__{k}")) for n, (_, b) in live.items()}
+    return joined.select(*trials.columns, *[values.get(n, F.lit(None).cast("double")).alias(n) for n in fitted])
+
+
+def score_backend(
+    trials: DataFrame, embeddings: DataFrame, backend: Backend, *, blocked: str = "error", on_missing: str = "error", rows: int | None = None
+) -> DataFrame:
+    """Add ``score_<metric>`` of one backend from (utterance, vec)."""
+    named = {f"score_{backend.metric}": ("vec", backend)}
+    return score_backends(trials, embeddings, named, blocked=blocked, on_missing=on_missing, rows=rows)

@@ -8,8 +8,10 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import features as X
+from ..operators import backends as K
 from ..operators import calibration as C
 from ..operators import groups as G
+from ..operators import heads as H
 from ..operators import metrics as M
 from ..operators import protocol as P
 from ..operators import scoring as J
@@ -493,60 +495,156 @@ def affine_llr(spark, d):
     return after.join(before, "split").withColumns({"scale": F.lit(fit.slope), "bias": F.lit(fit.intercept)})
 
 
-def _report(spark, heads: dict[str, C.CalibratedHead], tests: dict):
-    """Test metrics of several fitted heads in one grouped pass, with their settings."""
-    scored = [h.apply(tests[n]).select("label", "llr", F.lit(n).alias("system")) for n, h in heads.items()]
-    block = M.metric_block(P.union_all(scored), ["system"], "llr")
-    rows = [(n, h.setting, len(h.features), h.validation_cllr) for n, h in heads.items()]
-    info = spark.createDataFrame(rows, "system string, setting string, feature_count bigint, validation_cllr double")
-    return block.join(info, "system")
+HEAD_INFO = "system string, setting string, feature_count bigint, validation_cllr double"
+#: Trials that an abstaining head keeps on validation.
+KEPT = 0.8
+
+
+def _report(spark, both, info: list[tuple]):
+    """Test metrics of fitted heads, all trials (``binary``) and those kept by the 0.8 threshold
+    of confidence on validation (``reject``), from (part, label, system, llr) rows."""
+    both = materialise(D.confidence(both).select("part", F.col("label").cast("int").alias("label"), "system", "llr", "confidence"))
+    chosen = D.confidence_thresholds(both.filter("part = 'validation'"), ["system"], {"thr": KEPT})
+    test = both.filter("part = 'test'").join(chosen, "system")
+    rule = F.explode(F.when(F.col("confidence") >= F.col("thr"), F.array(F.lit("binary"), F.lit("reject"))).otherwise(F.array(F.lit("binary"))))
+    block = M.metric_block(test.select("system", "label", "llr", rule.alias("rule")), ["system", "rule"], "llr")
+    all_n = block.filter("rule = 'binary'").select("system", F.col("n").alias("_n"))
+    block = block.join(all_n, "system").withColumn("coverage", F.col("n") / F.col("_n")).drop("_n")
+    return block.join(spark.createDataFrame(info, HEAD_INFO), "system")
+
+
+def _linear_report(spark, heads, validation, test):
+    rows = validation.withColumn("part", F.lit("validation")).unionByName(test.withColumn("part", F.lit("test")))
+    scored = H.scored(rows, {n: h.llr() for n, h in heads.items()}, ["part", "label"])
+    return _report(spark, scored, [(n, h.setting, len(h.head.features), h.cllr) for n, h in heads.items()])
+
+
+def _head_parts(df, columns, parts=("calibration", "validation", "test"), by="split"):
+    """Parts of a feature table written once for all fits; a row with a feature that is not finite fails."""
+    base = materialise(df.select(by, "label", *columns))
+    return [C.require_finite(base.filter(F.col(by) == p), columns).drop(by) for p in parts]
+
+
+def _head_sql(name: str, rel: str, features: list[str], c: float | None, key: str = "one", steps: int = 9) -> str:
+    """``name``_llr (key, split, label, score) and ``name``_v (key, cllr on validation) of a balanced head with strength C
+    on standardised features of ``rel`` (key, split, label, features), calibrated on validation (c None: 1/n, uncalibrated)."""
+    n = len(features) + 1
+    z = [f"z{i}" for i in range(1, n)] + ["1.0::DOUBLE"]
+    lam = f"(1.0::DOUBLE/{c!r}::DOUBLE)" if c else "any_value(1.0::DOUBLE/(np + nn))"
+    stats = ", ".join(f"avg({f}::DOUBLE) AS m{i}, stddev_pop({f}::DOUBLE) AS s{i}" for i, f in enumerate(features, 1))
+    std = ", ".join(f"({f}::DOUBLE - m{i})/s{i} AS z{i}" for i, f in enumerate(features, 1))
+    margin = lambda b: " + ".join(f"{b}[{i}]*{x}" for i, x in enumerate(z, 1))
+    grads = ", ".join(f"sum(w*(p-y)*{x}) AS g{i}" for i, x in enumerate(z, 1))
+    curves = ", ".join(f"sum(w*p*(1-p)*{z[i]}*{z[j]}) AS h{i + 1}_{j + 1}" for i in range(n) for j in range(i, n))
+    row = lambda i: "[" + ", ".join(
+        [f"h{min(i, j)}_{max(i, j)}" + (" + lam" if i == j < n else "") for j in range(1, n + 1)] + [f"-(g{i}" + (f" + lam*b[{i}])" if i < n else ")")]
+    ) + "]"
+    matrix = "[" + ", ".join(row(i) for i in range(1, n + 1)) + "]"
+    ctes = [
+        f"{name}_k AS (SELECT {key}, count(*) FILTER (label = 1) AS np, count(*) FILTER (label = 0) AS nn, {stats} FROM {rel} WHERE split = 'calibration' GROUP BY {key})",
+        f"""{name}_z AS MATERIALIZED (SELECT {key}, split, label, np, nn, label::DOUBLE AS y, CASE WHEN label = 1 THEN 0.5/np ELSE 0.5/nn END AS w, {std}
+  FROM {rel} JOIN {name}_k USING ({key}))""",
+        f"{name}_b0 AS (SELECT {key}, [{', '.join(['0.0::DOUBLE'] * n)}] AS b FROM {name}_k)",
+    ]
+    for k in range(1, steps + 1):
+        ctes.append(
+            f"""{name}_a{k} AS MATERIALIZED (SELECT {key}, any_value(b) AS b, {lam} AS lam, {grads}, {curves} FROM (
+  SELECT *, 1/(1+exp(-({margin('b')}))) AS p FROM {name}_z JOIN {name}_b{k - 1} USING ({key}) WHERE split = 'calibration') GROUP BY {key}),
+{name}_b{k} AS MATERIALIZED (WITH RECURSIVE gj AS (SELECT {key}, b, 0 AS k, {matrix} AS m FROM {name}_a{k}
+  UNION ALL SELECT {key}, b, k + 1, list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = k + 1
+    THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+    ELSE list_transform(list_zip(m[i], m[k + 1]), lambda q: q[1] - m[i][k + 1] / m[k + 1][k + 1] * q[2]) END) FROM gj WHERE k < {n})
+SELECT {key}, list_transform(range(1, {n + 1}), lambda i: b[i] + m[i][{n + 1}]) AS b FROM gj WHERE k = {n})"""
+        )
+    ctes.append(f"{name}_r AS MATERIALIZED (SELECT {key}, split, label, {margin('b')} AS x FROM {name}_z JOIN {name}_b{steps} USING ({key}))")
+    if c is None:
+        ctes.append(f"{name}_llr AS (SELECT {key}, split, label, x AS score FROM {name}_r)")
+        return ",\n".join(ctes)
+    ctes.append(f"{name}_q AS (SELECT {key}, x, label FROM {name}_r WHERE split = 'validation')")
+    ctes.append(_newton_sql(f"{name}_f", f"{name}_q", key))
+    ctes.append(f"{name}_llr AS MATERIALIZED (SELECT {key}, split, label, slope*x + bias AS score FROM {name}_r JOIN {name}_f USING ({key}))")
+    loss = B.softplus("(CASE WHEN label = 1 THEN -score ELSE score END)")
+    ctes.append(
+        f"""{name}_v AS (SELECT {key}, 0.5/ln(2.0::DOUBLE)*(avg({loss}) FILTER (label = 1) + avg({loss}) FILTER (label = 0)) AS cllr
+  FROM {name}_llr WHERE split = 'validation' GROUP BY {key})"""
+    )
+    return ",\n".join(ctes)
+
+
+def _report_sql(heads: str) -> list[str]:
+    """CTEs ending in ``rep``, the report of ``heads`` (system, split, label, score); ``info`` has the settings."""
+    return [
+        f"heads AS MATERIALIZED (SELECT *, greatest(1/(1+exp(-score)), 1-1/(1+exp(-score))) AS confidence FROM ({heads}))",
+        f"cut AS (SELECT system, {B.quantile('confidence', 1 - KEPT)} AS thr FROM heads WHERE split = 'validation' GROUP BY system)",
+        """ruled AS (SELECT system, label, score, 'binary' AS rule FROM heads WHERE split = 'test'
+  UNION ALL SELECT system, label, score, 'reject' FROM heads JOIN cut USING (system) WHERE split = 'test' AND confidence >= thr)""",
+        B.block("b", "ruled", ["system", "rule"]),
+        """rep AS (SELECT b.*, b.n/a.n::DOUBLE AS coverage, setting, feature_count, validation_cllr FROM b
+  JOIN b a ON a.system = b.system AND a.rule = 'binary' JOIN info ON info.system = b.system)""",
+    ]
 
 
-def _split_frames(df, columns):
-    """Train / validation / test of a feature table written once for all fits."""
-    base = C.finite_rows(materialise(df.select("split", "label", *columns)), columns)
-    return [base.filter(F.col("split") == s).drop("split") for s in ("calibration", "validation", "test")]
+_REPORT = B.pick("rep", ["system", "rule", *B.COUNTS, "setting", "feature_count"], [*B.DOUBLES, "coverage", "validation_cllr"])
 
 
-def _expanded(spark, d, zero_meta: bool = False):
+def _expanded(spark, d):
     t = wide_with_features(spark, d).withColumn("target", F.col("target").cast("double"))
-    if zero_meta:
-        t = t.withColumns({m: F.lit(0.0) for m in META})
     return X.rich_expand(t, SCORES, META, keep=["split", "label"])
 
 
+GRID = [0.1, 1.0, 10.0, 30.0]
+
+
 @query("linear_heads")
 def linear_heads(spark, d):
     """Four linear heads, C chosen by validation Cllr: raw and expanded inputs, with and
-    without metadata."""
-    plain = wide_with_features(spark, d)
-    rich = [n for n, _ in _rich_sql()]
-    modes = [
-        ("linear_score_only_raw", plain, SCORES),
-        ("linear_score_metadata_raw", plain, [*SCORES, *META]),
-        ("linear_matched_score_only", _expanded(spark, d, zero_meta=True), rich),
-        ("linear_expanded", _expanded(spark, d), rich),
-    ]
-    jobs, tests = {}, {}
-    for name, frame, cols in modes:
-        train, val, tests[name] = _split_frames(frame, cols)
-        jobs[name] = partial(C.fit_calibrated_head, train, val, cols)
-    return _report(spark, C.fit_many(jobs), tests)
+    without metadata; sixteen models fitted together on one table."""
+    frame = _expanded(spark, d)
+    rich = [c for c in frame.columns if c not in ("split", "label")]
+    scores, meta = [f"in_{c}" for c in SCORES], [f"in_{c}" for c in META]
+    of_meta = {*meta, *(f"sq_{m}" for m in META), *(f"x_{s}_{m}" for s in SCORES for m in META)}
+    modes = {
+        "linear_score_only_raw": scores,
+        "linear_score_metadata_raw": [*scores, *meta],
+        "linear_matched_score_only": [c for c in rich if c not in of_meta],
+        "linear_expanded": rich,
+    }
+    train, val, test = _head_parts(frame, rich)
+    return _linear_report(spark, H.fit_calibrated(train, val, modes, GRID), val, test)
 
 
-@query("condition_heads")
+_CONDITION = ("c3_qmf", "c4_lang", "c5_reject")
+
+
+@query(
+    "condition_heads",
+    B.sql(
+        MEDIAN,
+        DUR,
+        WIDE,
+        *[
+            part
+            for mode in _CONDITION
+            for part in (
+                f"{mode}_in AS (" + " UNION ALL ".join(
+                    f"SELECT '{mode}:{e}' AS system, split, label, {', '.join([f'score_{e} AS score', *X.SINGLE_MODES[mode]])} FROM wide" for e in ENCODERS
+                ) + ")",
+                _head_sql(mode, f"{mode}_in", ["score", *X.SINGLE_MODES[mode]], 10.0, "system"),
+            )
+        ],
+        "info AS (" + " UNION ALL ".join(
+            f"SELECT system, 'C=10' AS setting, {1 + len(X.SINGLE_MODES[m])}::BIGINT AS feature_count, cllr AS validation_cllr FROM {m}_v" for m in _CONDITION
+        ) + ")",
+        *_report_sql(" UNION ALL ".join(f"SELECT system, split, label, score FROM {m}_llr" for m in _CONDITION)),
+        final=_REPORT,
+    ),
+)
 def condition_heads(spark, d):
-    """Score plus quality, language or reliability columns, per encoder."""
-    frame = wide_with_features(spark, d)
+    """Score plus quality, language or reliability columns, per encoder: eighteen models fitted together."""
     cols = [*SCORES, *X.QUALITY, *X.RELIABILITY, *X.LANGUAGE]
-    train, val, test = _split_frames(frame, cols)
-    jobs = {}
-    for mode in ("c3_qmf", "c4_lang", "c5_reject"):
-        for e in ENCODERS:
-            used = X.feature_columns(mode, [f"score_{e}"])
-            jobs[f"{mode}:{e}"] = partial(C.fit_calibrated_head, train, val, used, grid=[10.0])
-    heads = C.fit_many(jobs)
-    return _report(spark, heads, dict.fromkeys(heads, test))
+    train, val, test = _head_parts(wide_with_features(spark, d), cols)
+    modes = {f"{m}:{e}": X.feature_columns(m, [f"score_{e}"]) for m in _CONDITION for e in ENCODERS}
+    return _linear_report(spark, H.fit_calibrated(train, val, modes, [10.0]), val, test)
 
 
 @query("fusion_head")
@@ -556,65 +654,106 @@ def fusion_head(spark, d):
         wide_with_features(spark, d).select("trial_id", *META), "trial_id"
     )
     cols = [*ZCOLS, "entropy", "top_margin", "max_prob", *SCORES, *META]
-    train, val, test = _split_frames(t, cols)
-    heads = C.fit_many(
-        {
-            "linear": partial(C.fit_calibrated_head, train, val, cols, grid=[10.0]),
-            "gbt": partial(C.fit_calibrated_head, train, val, cols, trees=True),
-        }
-    )
-    return _report(spark, heads, dict.fromkeys(heads, test))
+    train, val, test = _head_parts(t, cols)
+    linear = H.fit_calibrated(train, val, {"linear": cols}, [10.0])["linear"]
+    trees = C.fit_calibrated_trees(train, val, cols)
+    rows = val.withColumn("part", F.lit("validation")).unionByName(test.withColumn("part", F.lit("test")))
+    both = H.scored(rows, {"linear": linear.llr()}, ["part", "label"])
+    both = both.unionByName(trees.apply(rows).select("part", "label", "llr", F.lit("gbt").alias("system")))
+    info = [("linear", linear.setting, len(cols), linear.cllr), ("gbt", trees.setting, len(cols), trees.validation_cllr)]
+    return _report(spark, both, info)
+
 
+_ABLATION = {m: [*(SCORES if with_scores else []), *extra] for m, (with_scores, extra) in X.FUSION_MODES.items()}
+_ABLATION |= {"metadata_only": META, "permuted_metadata": [*SCORES, *[f"other_{m}" for m in META]]}
 
-@query("fusion_ablation")
+
+@query(
+    "fusion_ablation",
+    B.sql(
+        MEDIAN,
+        DUR,
+        WIDE,
+        f"""placed AS (SELECT split, trial_id, label, {', '.join([*SCORES, *META])},
+  row_number() OVER (PARTITION BY split ORDER BY sha256('position|' || trial_id), trial_id) AS pos,
+  row_number() OVER (PARTITION BY split ORDER BY sha256('perm_v1|' || trial_id), trial_id) AS other FROM wide)""",
+        f"""abl AS MATERIALIZED (SELECT a.*, {', '.join(f'b.{m} AS other_{m}' for m in META)}, 1 AS one
+  FROM placed a JOIN placed b ON a.split = b.split AND a.pos = b.other)""",
+        *[_head_sql(m, "abl", cols, 30.0) for m, cols in _ABLATION.items()],
+        "info AS (" + " UNION ALL ".join(
+            f"SELECT '{m}' AS system, 'C=30' AS setting, {len(cols)}::BIGINT AS feature_count, cllr AS validation_cllr FROM {m}_v" for m, cols in _ABLATION.items()
+        ) + ")",
+        *_report_sql(" UNION ALL ".join(f"SELECT '{m}' AS system, split, label, score FROM {m}_llr" for m in _ABLATION)),
+        final=_REPORT,
+    ),
+)
 def fusion_ablation(spark, d):
-    """Fusion with parts of the inputs removed, and with metadata permuted."""
-    cols = [*SCORES, *META]
-    frame = materialise(wide_with_features(spark, d).select("split", "trial_id", "label", *cols))
-    train, val, test = _split_frames(frame, cols)
-    jobs = {}
-    for mode in X.FUSION_MODES:
-        jobs[mode] = partial(C.fit_calibrated_head, train, val, X.feature_columns(mode, SCORES), grid=[30.0])
-    tests = dict.fromkeys(jobs, test)
-    shuffled = P.permute_metadata(frame, ["split"], META, "perm_v1")
-    train, val, tests["permuted_metadata"] = _split_frames(shuffled, cols)
-    jobs["permuted_metadata"] = partial(C.fit_calibrated_head, train, val, cols, grid=[30.0])
-    return _report(spark, C.fit_many(jobs), tests)
+    """Fusion with parts of the inputs removed, metadata alone, and metadata of other trials."""
+    frame = materialise(wide_with_features(spark, d).select("split", "trial_id", "label", *SCORES, *META))
+    other = P.permute_metadata(frame.select("split", "trial_id", *META), ["split"], META, "perm_v1")
+    frame = frame.join(other.select("trial_id", *[F.col(m).alias(f"other_{m}") for m in META]), "trial_id")
+    cols = [*SCORES, *META, *[f"other_{m}" for m in META]]
+    train, val, test = _head_parts(frame, cols)
+    return _linear_report(spark, H.fit_calibrated(train, val, _ABLATION, [30.0]), val, test)
+
+
+def backend_scores(spark, d):
+    """Trials with hash-bucket parts of the calibration split and 42 scores: cosine and six
+    backends, fitted on the training part's speakers, for each encoder."""
+    wide = wide_with_features(spark, d, extra=("test_speaker",))
+    trials = P.hash_bucket_split(wide.select("split", "trial_id", "label", "enroll_utt", "test_utt", "enroll_speaker", "test_speaker", *META))
+    trials = materialise(trials)
+    people = materialise(K.utterance_speakers(trials.filter("part = 'train'")))
+    tested = materialise(P.collect_speakers(trials.filter("part = 'test'")))
+    vectors = fx.embeddings_wide(spark, d)
+
+    def fit(encoder: str, metric: str):
+        mine = vectors.join(people.select("utterance", F.col("speaker").alias("of")), "utterance")
+        mine = mine.select("utterance", F.col("of").alias("speaker"), F.col(encoder).cast("array<double>").alias("vec"))
+        return K.fit_backend(metric, mine, held_out=tested)
+
+    jobs = {(e, m): partial(fit, e, m) for e in ENCODERS for m in K.FITTERS}
+    fitted = {f"score__{e}__{m}": (e, b) for (e, m), b in C.fit_many(jobs).items()}
+    fitted |= {f"score__{e}__cosine": (e, K.Backend("cosine")) for e in ENCODERS}
+    wide_vectors = vectors.select("utterance", *[F.col(e).cast("array<double>").alias(e) for e in ENCODERS])
+    return K.score_backends(trials, wide_vectors, fitted, rows=fx.utterance_count(spark, d)), list(fitted)
 
 
 @query("backend_fusion")
 def backend_fusion(spark, d):
-    """Several scores per encoder plus metadata, hash-bucket splits, own calibration part."""
-    metrics = ["cosine", "neg_l2_raw", "pearson_corr"]
-    wide = wide_with_features(spark, d)
-    names = [f"score__{e}__{m}" for e in ENCODERS for m in metrics]
-    sim = J.similarity_columns(
-        wide.select("split", "trial_id", "label", "enroll_utt", "test_utt", *META),
-        fx.embeddings_wide(spark, d),
-        ENCODERS,
-        metrics,
-        rows=fx.utterance_count(spark, d),
-    )
+    """Seven scores per encoder (six of fitted backends) plus metadata: heads fitted on the training
+    part, C chosen on the validation part, LLRs calibrated on the calibration part."""
+    frame, names = backend_scores(spark, d)
     cols = [*names, *META]
-    parts = P.hash_bucket_split(sim)
-    base = C.finite_rows(materialise(parts.select("split", "part", "label", *cols)), cols)
-    source = base.filter("split = 'calibration'")
-    train, held = source.filter("part = 'train'"), source.filter("part <> 'train'")
-    heads = C.fit_many(
-        {
-            "scores_and_metadata": partial(C.fit_calibrated_head, train, held, cols, grid=[10.0]),
-            "scores_only": partial(C.fit_calibrated_head, train, held, names, grid=[10.0]),
-        }
-    )
-    return _report(spark, heads, dict.fromkeys(heads, base.filter("split = 'test'")))
+    base = materialise(frame.select("part", F.col("label").cast("int").alias("label"), *cols))
+    part = lambda p: C.require_finite(base.filter(F.col("part") == p), cols)
+    modes = {"scores_and_metadata": cols, "scores_only": names}
+    chosen = H.fit_calibrated(part("train"), part("validation"), modes, GRID)
+    held = H.calibrate_heads(part("calibration"), {n: h.head for n, h in chosen.items()})
+    rows = part("validation").unionByName(part("test"))
+    both = H.scored(rows, {n: h.llr() for n, h in held.items()}, ["part", "label"])
+    return _report(spark, both, [(n, h.setting, len(h.head.features), h.cllr) for n, h in chosen.items()])
 
 
-@query("frozen_eval")
+@query(
+    "frozen_eval",
+    B.sql(
+        MEDIAN,
+        DUR,
+        WIDE,
+        "fin AS MATERIALIZED (SELECT *, 1 AS one FROM wide)",
+        _head_sql("fz", "fin", [*SCORES, *META], None),
+        "tl AS (SELECT split, label, score FROM fz_llr WHERE split = 'test')",
+        B.block("b", "tl", ["split"]),
+        final=B.pick("b", ["split", *B.COUNTS], B.DOUBLES),
+    ),
+)
 def frozen_eval(spark, d):
     """The frozen-column balanced model, fitted on calibration and evaluated on test."""
-    t = materialise(wide_with_features(spark, d).select("split", "label", *SCORES, *META))
-    out = C.frozen_eval(t.filter("split = 'calibration'"), t.filter("split = 'test'"), [*SCORES, *META])
-    return M.metric_block(out.select("split", "label", "llr"), ["split"], "llr")
+    cols = [*SCORES, *META]
+    t = materialise(wide_with_features(spark, d).select("split", "label", *cols))
+    out = H.frozen_eval(t.filter("split = 'calibration'"), t.filter("split = 'test'"), cols, ["split", "label"])
+    return M.metric_block(out, ["split"], "llr")
 
 
 # --- multi-enrollment groups ---------------------------------------------------

@@ -99,8 +99,10 @@ def utterance_speakers(spark, d):
 def _side(name: str) -> str:
     sums = [f"sum(('0x' || substr(sha256(speaker_id), {1 + 12 * i}, 12))::BIGINT)" for i in range(4)]
     joined = " || ':' || ".join(f"cast({s} AS VARCHAR)" for s in sums)
-    return f"""{name}_s AS (SELECT count(*) AS {name}_speaker_count, sha256({joined}) AS {name}_fingerprint,
-  sha256(string_agg(speaker_id, chr(10) ORDER BY speaker_id)) AS {name}_speaker_hash FROM {name}p)"""
+    return f"""{name}_b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS hb
+  FROM (SELECT sha256(speaker_id) AS h FROM {name}p) GROUP BY 1),
+{name}_s AS (SELECT count(*) AS {name}_speaker_count, sha256({joined}) AS {name}_fingerprint,
+  (SELECT sha256(string_agg(b || ':' || hb, chr(10) ORDER BY b)) FROM {name}_b) AS {name}_speaker_hash FROM {name}p)"""
 
 
 @query(
@@ -289,7 +291,8 @@ def asnorm_cohort(spark, d):
 
 @query("asnorm_stats", B.sql(FIT, COHORT, STATS, final=B.pick("stats", ["utterance"], ["mu", "sigma"])))
 def asnorm_stats(spark, d):
-    fitted = K.fit_backend("asnorm_cosine", fit_frame(spark, d), max_size=COHORT_SIZE, top_k=TOP_K)
+    tested = P.collect_speakers(fx.trials(spark, d).filter("split = 'test'"))
+    fitted = K.fit_backend("asnorm_cosine", fit_frame(spark, d), held_out=tested, max_size=COHORT_SIZE, top_k=TOP_K)
     return K.asnorm_stats(all_vectors(spark, d), fitted).select("utterance", "mu", "sigma")
 
 
@@ -314,7 +317,9 @@ def asnorm_cosine(spark, d):
 def backend_artefacts(spark, d):
     """Fit status, shrinkage and matrix shape of every backend of one encoder."""
     fit = fit_frame(spark, d).persist()
-    table = K.artefact_table(spark, {"enc1": [K.fit_backend(m, fit) for m in K.FITTERS]})
+    tested = P.collect_speakers(fx.trials(spark, d).filter("split = 'test'")).persist()
+    table = K.artefact_table(spark, {"enc1": [K.fit_backend(m, fit, held_out=tested) for m in K.FITTERS]})
+    tested.unpersist()
     fit.unpersist()
     return table.select(
         "extractor",
