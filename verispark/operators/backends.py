@@ -397,13 +397,14 @@ def asnorm_stats(embeddings: DataFrame, backend: Backend) -> DataFrame:
     )
 
 
-def _side_columns(backend: Backend, vec) -> list[tuple]:
-    """(name, column) pairs an utterance brings to its trials."""
+def _side_columns(backend: Backend, vec) -> dict:
+    """Columns an utterance brings to its trials; ``u`` is still to be scaled to unit length."""
     if backend.metric == "neg_mahalanobis":
-        return [("x", vec), ("p", project(vec, None, backend.matrix))]
+        return {"x": vec, "p": project(vec, None, backend.matrix)}
     if backend.metric == "asnorm_cosine":
-        return [("u", V.unit(vec)), ("s", _cohort_statistics(backend)(vec))]
-    return [("u", V.unit(project(vec, backend.mean, backend.matrix)))]
+        return {"u": vec, "s": _cohort_statistics(backend)(vec)}
+    plain = backend.mean is None and backend.matrix is None
+    return {"u": vec if plain else project(vec, backend.mean, backend.matrix)}
 
 
 def _pair_score(backend: Backend, side: Callable):
@@ -435,9 +436,10 @@ def score_backends(
     if blocked == "error" and len(live) < len(fitted):
         name, (_, backend) = next((n, x) for n, x in fitted.items() if n not in live)
         raise BackendFitError(f"{name} is blocked: {backend.meta.get('reason', '')}")
-    sides = {f"{n}__{k}": v for n, (c, b) in live.items() for k, v in _side_columns(b, F.col(c))}
+    sides = {f"{n}__{k}": v for n, (c, b) in live.items() for k, v in _side_columns(b, F.col(c)).items()}
     width = sum(64 + 16 * (MAX_DIM if b.matrix is None else max(b.matrix.shape)) for _, b in live.values())
     per = embeddings.select("utterance", *[v.alias(k) for k, v in sides.items()])
+    per = per.select("utterance", *[(V.unit(F.col(k)) if k.endswith("__u") else F.col(k)).alias(k) for k in sides])
     joined = attach_sides(trials, per, list(sides), on_missing, rows=rows, row_bytes=width)
     values = {n: _pair_score(b, lambda which, k, n=n: F.col(f"_{which}_{n}__{k}")) for n, (_, b) in live.items()}
     return joined.select(*trials.columns, *[values.get(n, F.lit(None).cast("double")).alias(n) for n in fitted])

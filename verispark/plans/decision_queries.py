@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import features as X
-from ..operators import backends as K
+from ..operators import backends as BK
 from ..operators import calibration as C
 from ..operators import groups as G
 from ..operators import heads as H
@@ -421,10 +421,9 @@ def _newton_sql(name: str, rows: str, keys: str, steps: int = 14, penalty: str =
 def c1_logistic(spark, d):
     """Per-encoder logistic calibration on the calibration split, metrics on test."""
     t = materialise(fx.scored(spark, d).select("split", "label", *SCORES))
-    cal, test = t.filter("split = 'calibration'"), t.filter("split = 'test'")
-    fits = C.fit_many({e: partial(C.fit_logistic, cal, f"score_{e}") for e in ENCODERS})
-    llrs = test.select("label", *[fits[e].apply(f"score_{e}").alias(e) for e in ENCODERS])
-    return M.metric_block(llrs.unpivot(["label"], ENCODERS, "encoder", "llr"), ["encoder"], "llr")
+    heads = H.fit_heads(t.filter("split = 'calibration'"), {e: H.Spec((f"score_{e}",)) for e in ENCODERS})
+    llrs = H.scored(t.filter("split = 'test'"), heads, ["label"], "encoder")
+    return M.metric_block(llrs, ["encoder"], "llr")
 
 
 def _pav_sql(name: str, rows: str, keys: str, passes: int = 40) -> str:
@@ -522,10 +521,10 @@ def _linear_report(spark, heads, validation, test):
 def _head_parts(df, columns, parts=("calibration", "validation", "test"), by="split"):
     """Parts of a feature table written once for all fits; a row with a feature that is not finite fails."""
     base = materialise(df.select(by, "label", *columns))
-    return [C.require_finite(base.filter(F.col(by) == p), columns).drop(by) for p in parts]
+    return [base.filter(F.col(by) == p).drop(by) for p in parts]
 
 
-def _head_sql(name: str, rel: str, features: list[str], c: float | None, key: str = "one", steps: int = 9) -> str:
+def _head_sql(name: str, rel: str, features: list[str], c: float | None, key: str = "one", steps: int = 9, keep: str = "", calibrated: bool = True) -> str:
     """``name``_llr (key, split, label, score) and ``name``_v (key, cllr on validation) of a balanced head with strength C
     on standardised features of ``rel`` (key, split, label, features), calibrated on validation (c None: 1/n, uncalibrated)."""
     n = len(features) + 1
@@ -542,7 +541,7 @@ def _head_sql(name: str, rel: str, features: list[str], c: float | None, key: st
     matrix = "[" + ", ".join(row(i) for i in range(1, n + 1)) + "]"
     ctes = [
         f"{name}_k AS (SELECT {key}, count(*) FILTER (label = 1) AS np, count(*) FILTER (label = 0) AS nn, {stats} FROM {rel} WHERE split = 'calibration' GROUP BY {key})",
-        f"""{name}_z AS MATERIALIZED (SELECT {key}, split, label, np, nn, label::DOUBLE AS y, CASE WHEN label = 1 THEN 0.5/np ELSE 0.5/nn END AS w, {std}
+        f"""{name}_z AS MATERIALIZED (SELECT {key}, split, label{keep}, np, nn, label::DOUBLE AS y, CASE WHEN label = 1 THEN 0.5/np ELSE 0.5/nn END AS w, {std}
   FROM {rel} JOIN {name}_k USING ({key}))""",
         f"{name}_b0 AS (SELECT {key}, [{', '.join(['0.0::DOUBLE'] * n)}] AS b FROM {name}_k)",
     ]
@@ -556,9 +555,9 @@ def _head_sql(name: str, rel: str, features: list[str], c: float | None, key: st
     ELSE list_transform(list_zip(m[i], m[k + 1]), lambda q: q[1] - m[i][k + 1] / m[k + 1][k + 1] * q[2]) END) FROM gj WHERE k < {n})
 SELECT {key}, list_transform(range(1, {n + 1}), lambda i: b[i] + m[i][{n + 1}]) AS b FROM gj WHERE k = {n})"""
         )
-    ctes.append(f"{name}_r AS MATERIALIZED (SELECT {key}, split, label, {margin('b')} AS x FROM {name}_z JOIN {name}_b{steps} USING ({key}))")
-    if c is None:
-        ctes.append(f"{name}_llr AS (SELECT {key}, split, label, x AS score FROM {name}_r)")
+    ctes.append(f"{name}_r AS MATERIALIZED (SELECT {key}, split, label{keep}, {margin('b')} AS x FROM {name}_z JOIN {name}_b{steps} USING ({key}))")
+    if c is None or not calibrated:
+        ctes.append(f"{name}_llr AS (SELECT {key}, split, label{keep}, x AS score FROM {name}_r)")
         return ",\n".join(ctes)
     ctes.append(f"{name}_q AS (SELECT {key}, x, label FROM {name}_r WHERE split = 'validation')")
     ctes.append(_newton_sql(f"{name}_f", f"{name}_q", key))
@@ -703,20 +702,20 @@ def backend_scores(spark, d):
     wide = wide_with_features(spark, d, extra=("test_speaker",))
     trials = P.hash_bucket_split(wide.select("split", "trial_id", "label", "enroll_utt", "test_utt", "enroll_speaker", "test_speaker", *META))
     trials = materialise(trials)
-    people = materialise(K.utterance_speakers(trials.filter("part = 'train'")))
+    people = materialise(BK.utterance_speakers(trials.filter("part = 'train'")))
     tested = materialise(P.collect_speakers(trials.filter("part = 'test'")))
     vectors = fx.embeddings_wide(spark, d)
 
     def fit(encoder: str, metric: str):
         mine = vectors.join(people.select("utterance", F.col("speaker").alias("of")), "utterance")
         mine = mine.select("utterance", F.col("of").alias("speaker"), F.col(encoder).cast("array<double>").alias("vec"))
-        return K.fit_backend(metric, mine, held_out=tested)
+        return BK.fit_backend(metric, mine, held_out=tested)
 
-    jobs = {(e, m): partial(fit, e, m) for e in ENCODERS for m in K.FITTERS}
+    jobs = {(e, m): partial(fit, e, m) for e in ENCODERS for m in BK.FITTERS}
     fitted = {f"score__{e}__{m}": (e, b) for (e, m), b in C.fit_many(jobs).items()}
-    fitted |= {f"score__{e}__cosine": (e, K.Backend("cosine")) for e in ENCODERS}
+    fitted |= {f"score__{e}__cosine": (e, BK.Backend("cosine")) for e in ENCODERS}
     wide_vectors = vectors.select("utterance", *[F.col(e).cast("array<double>").alias(e) for e in ENCODERS])
-    return K.score_backends(trials, wide_vectors, fitted, rows=fx.utterance_count(spark, d)), list(fitted)
+    return BK.score_backends(trials, wide_vectors, fitted, rows=fx.utterance_count(spark, d)), list(fitted)
 
 
 @query("backend_fusion")
@@ -726,7 +725,7 @@ def backend_fusion(spark, d):
     frame, names = backend_scores(spark, d)
     cols = [*names, *META]
     base = materialise(frame.select("part", F.col("label").cast("int").alias("label"), *cols))
-    part = lambda p: C.require_finite(base.filter(F.col("part") == p), cols)
+    part = lambda p: base.filter(F.col("part") == p)
     modes = {"scores_and_metadata": cols, "scores_only": names}
     chosen = H.fit_calibrated(part("train"), part("validation"), modes, GRID)
     held = H.calibrate_heads(part("calibration"), {n: h.head for n, h in chosen.items()})
@@ -868,13 +867,16 @@ def _vote_thresholds(cells):
     return M.eer(G.pair_scores(cells), [ENC], lead=False).select(ENC, F.col("eer_threshold").alias("thr"))
 
 
-FEATS = f"""cells AS (SELECT g.group_hash, g.split, g.label, l.embedding_name, list(l.score) AS s
+CELLS = f"""cells AS (SELECT g.group_hash, g.split, g.label, l.embedding_name, list(l.score) AS s
   FROM gs JOIN gg g USING ({_KEY}) JOIN long l ON l.trial_id = gs.trial_id GROUP BY 1, 2, 3, 4),
 pairs AS (SELECT embedding_name, label, unnest(s) AS score FROM cells WHERE split = 'calibration'),
 {B.roc('pr', 'pairs', [ENC])},
-{B.eer('pe', 'pr', [ENC], lead=False)},
-cp AS (SELECT c.*, list_transform(s, lambda x: 1/(1+exp(-({A_}::DOUBLE*x + ({B_})::DOUBLE)))) AS p,
-  len(list_filter(s, lambda x: x >= e.eer_threshold))/{K}.0::DOUBLE AS vote_frac FROM cells c JOIN pe e USING (embedding_name)),
+{B.eer('pe', 'pr', [ENC], lead=False)}"""
+
+
+def _feats(slope: str, bias: str, join: str = "") -> str:
+    return f"""cp AS (SELECT c.*, list_transform(s, lambda x: 1/(1+exp(-({slope}*x + ({bias}))))) AS p,
+  len(list_filter(s, lambda x: x >= e.eer_threshold))/{K}.0::DOUBLE AS vote_frac FROM cells c JOIN pe e USING (embedding_name) {join}),
 ce AS (SELECT *, list_transform(p, lambda q: -(least(greatest(q,1e-7::DOUBLE),1-1e-7::DOUBLE)*log2(least(greatest(q,1e-7::DOUBLE),1-1e-7::DOUBLE))
     + (1-least(greatest(q,1e-7::DOUBLE),1-1e-7::DOUBLE))*log2(1-least(greatest(q,1e-7::DOUBLE),1-1e-7::DOUBLE)))) AS h,
   least(greatest(vote_frac,1e-7::DOUBLE),1-1e-7::DOUBLE) AS vq FROM cp),
@@ -884,6 +886,9 @@ gf AS (SELECT group_hash, split, label, embedding_name, {', '.join(f'list_sort(s
   list_stddev_pop(p) AS post_std, list_avg(h) AS post_entropy_mean, list_max(h) AS post_entropy_max FROM ce)"""
 
 
+FEATS = CELLS + ",\n" + _feats(f"{A_}::DOUBLE", f"{B_}::DOUBLE")
+
+
 @query(
     "group_features",
     B.sql(GROUPS, FEATS, final=B.pick("gf", ["group_hash", "split", "label", ENC], G.FEATURES)),
@@ -897,7 +902,8 @@ def group_features(spark, d):
 
 
 _RW = D.GROUP_RISK_WEIGHTS
-GRISK = f"""gc AS (SELECT *, greatest(post_mean, 1 - post_mean) AS confidence FROM gf),
+_POOLED = "gc AS (SELECT *, greatest(post_mean, 1 - post_mean) AS confidence FROM gf),"
+GRISK = f"""{_POOLED}
 gp AS (SELECT *, 1 - confidence AS model_uncertainty, 1 - abs(2*vote_frac - 1) AS vote_margin_risk FROM gc),
 gst AS (SELECT embedding_name, {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _RW)} FROM gp
   WHERE split = 'calibration' GROUP BY 1),
@@ -948,31 +954,72 @@ def platt_fit(spark, d):
     return spark.createDataFrame([(e, f.slope, f.intercept) for e, f in fits.items()], f"{ENC} string, slope double, bias double")
 
 
-@query("group_decisions")
+def _group_decisions(spark, d):
+    """Test groups under a head per encoder (C = 10), decided with and without abstaining."""
+    cells = _cells(spark, d)
+    pairs = materialise(G.pair_scores(cells).select(ENC, F.col("score").alias("x"), "label"))
+    platt = C.fit_many({e: partial(_platt, pairs, e) for e in ENCODERS})
+    fits = spark.createDataFrame([(e, f.slope, f.intercept) for e, f in platt.items()], f"{ENC} string, slope double, bias double")
+    joined = cells.join(_vote_thresholds(cells), ENC).join(F.broadcast(fits), ENC)  # one row per encoder
+    feats = materialise(G.group_features(joined, F.col("thr"), F.col("slope"), F.col("bias"), K))
+    specs = {e: H.Spec(tuple(G.FEATURES), 0.1, e) for e in ENCODERS}
+    heads = H.fit_heads(feats.filter("split = 'calibration'"), specs, by=ENC)
+    scored = H.scored(feats, heads, feats.columns, "_head").filter(F.col("_head") == F.col(ENC)).drop("_head")
+    risked = D.group_risk(D.confidence(scored), D.confidence(scored).filter("split = 'calibration'"), [ENC])
+    risked = materialise(risked)
+    cut = D.risk_threshold(risked.filter("split = 'calibration'"), [ENC], 0.2)
+    test = risked.filter("split = 'test'").join(cut, ENC)
+    binary = test.withColumn("decision", D.decide(F.col("posterior"))).withColumn("system", F.lit("binary"))
+    gated = test.withColumn("decision", D.decide_by_risk(F.col("posterior"), F.col("risk"), F.col("threshold")))
+    both = binary.unionByName(gated.withColumn("system", F.lit("abstaining")))
+    return _label(both.select("group_hash", "label", ENC, "system", "llr", "confidence", "risk", "decision"))
+
+
+def _platt(pairs, encoder: str) -> C.Affine:
+    mine = pairs.filter(F.col(ENC) == encoder)
+    return C.fit_platt(mine, mine.count())
+
+
+_GROUP_DECISIONS = (
+    GROUPS,
+    CELLS,
+    f"px AS (SELECT {ENC}, score AS x, label FROM pairs)",
+    _newton_sql("fit", "px", ENC, penalty="1.0/(np+nn)"),
+    _feats("slope", "bias", f"JOIN fit USING ({ENC})"),
+    _head_sql("gh", "gf", G.FEATURES, 10.0, ENC, keep=", group_hash", calibrated=False),
+    f"gj AS (SELECT gf.*, h.score AS llr, 1/(1+exp(-h.score)) AS posterior FROM gf JOIN gh_llr h USING (group_hash, {ENC}))",
+    GRISK.replace(_POOLED, "gc AS (SELECT *, greatest(posterior, 1 - posterior) AS confidence FROM gj),"),
+    f"""gd AS MATERIALIZED (SELECT group_hash, g.label, {ENC}, s.system, llr, confidence, risk,
+  CASE WHEN s.system = 'abstaining' AND risk > thr THEN 'reject' WHEN posterior >= 0.5 THEN 'target' ELSE 'nontarget' END AS decision
+  FROM gc g JOIN grk USING (group_hash, {ENC}) JOIN gq USING ({ENC}), (VALUES ('binary'), ('abstaining')) s(system) WHERE g.split = 'test')""",
+)
+
+
+@query("group_decisions", B.sql(*_GROUP_DECISIONS, final=B.pick("gd", ["group_hash", "label", ENC, "system", "decision"], ["llr", "confidence", "risk"])))
 def group_decisions(spark, d):
     """Per-encoder group head (C = 10) with fitted posteriors; binary and abstaining decisions."""
-    cells = _cells(spark, d)
-    thr = {r[ENC]: r["thr"] for r in _vote_thresholds(cells).collect()}  # one row per encoder
-    parts = []
-    for e in ENCODERS:
-        mine = cells.filter(F.col(ENC) == e)
-        n = mine.filter("split = 'calibration'").count() * K
-        pairs = G.pair_scores(mine).select(F.col("score").alias("x"), "label")
-        platt = C.fit_platt(pairs, n)
-        slope, bias = platt.slope, platt.intercept
-        feats = materialise(G.group_features(mine, F.lit(thr[e]), F.lit(slope), F.lit(bias), K))
-        train = feats.filter("split = 'calibration'")
-        head = C.fit_head(train, G.FEATURES, c=10.0)
-        scored = D.confidence(C.decision(head, feats, G.FEATURES, "llr"))
-        risked = D.group_risk(scored, scored.filter("split = 'calibration'"), [ENC])
-        cut = D.risk_threshold(risked.filter("split = 'calibration'"), [ENC], 0.2).first()["threshold"]
-        test = risked.filter("split = 'test'")
-        binary = test.withColumn("decision", D.decide(F.col("posterior"))).withColumn("system", F.lit("binary"))
-        gated = test.withColumn("decision", D.decide_by_risk(F.col("posterior"), F.col("risk"), F.lit(cut)))
-        both = binary.unionByName(gated.withColumn("system", F.lit("abstaining")))
-        parts.append(both.select("group_hash", "label", ENC, "system", "llr", "confidence", "risk", "decision"))
-    out = P.union_all(parts)
-    return _label(out)
+    return _group_decisions(spark, d)
+
+
+@query(
+    "group_summary",
+    B.sql(
+        *_GROUP_DECISIONS,
+        B.decisions("dm", "gd", [ENC, "system"]),
+        f"kept_g AS (SELECT {ENC}, system, label, llr FROM gd WHERE decision <> 'reject')",
+        B.block("b", "kept_g", [ENC, "system"], "llr"),
+        final=f"SELECT {ENC}, system, {', '.join('dm.' + c for c in B.DECISION_COUNTS)}, {', '.join(B.r6('dm.' + c, c) for c in B.DECISION_DOUBLES)}, "
+        + ", ".join(B.r6("b." + c, "kept_" + c) for c in ("eer_pct", "cllr", "min_dcf_p01", "act_dcf_p01"))
+        + f" FROM dm JOIN b USING ({ENC}, system)",
+    ),
+)
+def group_summary(spark, d):
+    """Decision metrics of the group heads, and rank metrics over the groups they keep."""
+    out = materialise(_group_decisions(spark, d))
+    kept = M.metric_block(out.filter("decision <> 'reject'"), [ENC, "system"], "llr")
+    names = ["eer_pct", "cllr", "min_dcf_p01", "act_dcf_p01"]
+    kept = kept.select(ENC, "system", *[F.col(c).alias("kept_" + c) for c in names])
+    return D.decision_metrics(out, [ENC, "system"]).select(ENC, "system", *B.DECISION_COUNTS, *B.DECISION_DOUBLES).join(kept, [ENC, "system"])
 
 
 # --- streaming -----------------------------------------------------------------
