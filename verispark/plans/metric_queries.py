@@ -428,28 +428,40 @@ def bootstrap_cluster_fixed(spark, d):
     )
 
 
-RED = ["cosine", "dot_raw", "neg_l2_raw", "neg_l1_raw"]
+RED = list(A.METRIC_FAMILIES)
 
 
 def _red(e: str, m: str) -> str:
     a, b = f"a.{e}", f"b.{e}"
+    own = lambda v: f"list_transform({v}, lambda x: x - list_avg({v}))"
+    la, lb = (f"ln(sqrt(list_inner_product({v}, {v})) + 1e-12::DOUBLE)" for v in (a, b))
+    cos, l2 = f"list_cosine_similarity({a}, {b})", f"list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1]-x[2])*(x[1]-x[2])))"
     return {
-        "cosine": f"list_cosine_similarity({a}, {b})",
+        "cosine": cos,
         "dot_raw": f"list_inner_product({a}, {b})",
-        "neg_l2_raw": f"-list_distance({a}, {b})",
+        "neg_l2_raw": f"-sqrt({l2})",
+        "neg_sq_l2_raw": f"-{l2}",
         "neg_l1_raw": f"-list_sum(list_transform(list_zip({a}, {b}), lambda x: abs(x[1]-x[2])))",
+        "pearson_corr": f"list_cosine_similarity({own(a)}, {own(b)})",
+        "angular_similarity_diagnostic": f"1 - acos(least(greatest({cos}, -1), 1))/pi()",
+        "rbf_similarity_diagnostic": f"exp(-{l2})",
+        "log_norm_enroll": la,
+        "log_norm_test": lb,
+        "log_norm_product": f"{la} + {lb}",
+        "abs_log_norm_ratio": f"abs({la} - {lb})",
+        "min_log_norm": f"least({la}, {lb})",
+        "max_log_norm": f"greatest({la}, {lb})",
     }[m]
 
 
-_RED_PAIRS = [("cosine", "cosine"), ("dot_raw", "cosine"), ("neg_l1_raw", "cosine"), ("neg_l2_raw", "cosine"),
-              ("cosine", "dot_raw"), ("cosine", "neg_l1_raw"), ("cosine", "neg_l2_raw"), ("dot_raw", "neg_l1_raw"),
-              ("dot_raw", "neg_l2_raw"), ("neg_l1_raw", "neg_l2_raw")]
+_RED_NAMES = sorted(RED)
+_RED_PAIRS = list(dict.fromkeys([(m, "cosine") for m in _RED_NAMES] + [(a, b) for i, a in enumerate(_RED_NAMES) for b in _RED_NAMES[i + 1 :]]))
 
 
 @query(
     "metric_redundancy",
     B.sql(
-        "tall AS ("
+        "tall AS MATERIALIZED ("
         + " UNION ALL ".join(
             f"SELECT '{e}' AS encoder, u.trial_id, "
             + ", ".join(f"{_red(e, m)} AS {m}" for m in RED)
@@ -457,7 +469,7 @@ _RED_PAIRS = [("cosine", "cosine"), ("dot_raw", "cosine"), ("neg_l1_raw", "cosin
             for e in fx.ENCODERS
         )
         + ")",
-        "rk AS (SELECT *, "
+        "rk AS MATERIALIZED (SELECT *, "
         + ", ".join(
             f"rank() OVER (PARTITION BY encoder ORDER BY {m}) + (count(*) OVER (PARTITION BY encoder, {m}) - 1)/2.0::DOUBLE AS r_{m}"
             for m in RED
@@ -466,13 +478,13 @@ _RED_PAIRS = [("cosine", "cosine"), ("dot_raw", "cosine"), ("neg_l1_raw", "cosin
         "prs AS ("
         + " UNION ALL ".join(
             f"SELECT encoder, '{a}' AS metric, '{b}' AS reference_metric, corr({a}, {b}) AS pearson, "
-            f"corr(r_{a}, r_{b}) AS spearman, count(*) AS finite_count, count(DISTINCT {a}) AS unique_value_count "
-            "FROM rk GROUP BY encoder"
+            f"corr(r_{a}, r_{b}) AS spearman, count(*) AS finite_count, count(DISTINCT {a}) AS unique_value_count, "
+            f"'{A.METRIC_FAMILIES[a][0]}' AS family, {int(A.METRIC_FAMILIES[a][1])} AS diagnostic_only FROM rk GROUP BY encoder"
             for a, b in _RED_PAIRS
         )
         + ")",
         final="""SELECT encoder, metric, reference_metric, round(pearson, 6) + 0.0::DOUBLE AS pearson,
-  round(spearman, 6) + 0.0::DOUBLE AS spearman, finite_count, unique_value_count,
+  round(spearman, 6) + 0.0::DOUBLE AS spearman, finite_count, unique_value_count, family, diagnostic_only,
   CASE WHEN metric <> reference_metric AND abs(spearman) > 0.9999 THEN 1 ELSE 0 END AS redundant FROM prs""",
     ),
 )
@@ -489,7 +501,7 @@ def metric_redundancy(spark, d):
             ]
         )
     ).alias("x")
-    return A.metric_redundancy(wide.select("trial_id", per).select("trial_id", "x.*"), RED)
+    return A.metric_redundancy(materialise(wide.select("trial_id", per).select("trial_id", "x.*")), RED)
 
 
 @query(
