@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from verispark.operators import bootstrap as R
 from verispark.operators import resampling as S

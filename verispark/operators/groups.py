@@ -30,16 +30,26 @@ FEATURES = [
 ]
 
 
+def _grouped_trials(trials: DataFrame) -> DataFrame:
+    ok = F.col("label").isNotNull() & (F.col("enroll_utt") != F.col("test_utt"))
+    for c in ("trial_id", "enroll_utt", "test_utt", "enroll_speaker", "test_speaker"):
+        ok = ok & F.col(c).isNotNull() & (F.trim(c) != "")
+    return trials.filter(ok).select(*GROUP_KEY, "enroll_utt", "trial_id")
+
+
+def too_few_enrollments(trials: DataFrame, enroll_count: int = 5) -> DataFrame:
+    """Per split and label, how many groups have fewer than ``enroll_count`` trials."""
+    sizes = _grouped_trials(trials).groupBy(*GROUP_KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < enroll_count)
+    return sizes.groupBy("split", "label").agg(F.count(F.lit(1)).alias("too_few_enrollments"))
+
+
 def enrollment_groups(trials: DataFrame, enroll_count: int = 5, seed: str = "groups_v1") -> DataFrame:
     """Groups with at least ``enroll_count`` trials and the chosen enrollments.
 
     Empty ids and self pairs are skipped.  Enrollments are the lowest salted
     hashes (ties by trial_id); ``source_pairs`` is the size before choosing.
     """
-    ok = F.col("label").isNotNull() & (F.col("enroll_utt") != F.col("test_utt"))
-    for c in ("trial_id", "enroll_utt", "test_utt", "enroll_speaker", "test_speaker"):
-        ok = ok & F.col(c).isNotNull() & (F.trim(c) != "")
-    used = trials.filter(ok).select(*GROUP_KEY, "enroll_utt", "trial_id")
+    used = _grouped_trials(trials)
     used = used.withColumn(
         "pick", hash_key(F.lit(seed), F.lit("enroll"), *[F.col(k) for k in GROUP_KEY], F.col("enroll_utt"))
     )

@@ -124,7 +124,6 @@ def selective_report(spark, d):
     return D.selective_report(_decided(spark, d), ["split"])
 
 
-_TARGETS = [1.00, 0.98, 0.95, 0.90, 0.85, 0.80, 0.75, 0.70, 0.60, 0.50]
 CURVE = [
     CONF,
     "cuts AS ("
@@ -133,7 +132,7 @@ CURVE = [
         + ("NULL::DOUBLE" if c >= 1 else f"quantile_cont(confidence, {1 - c!r})")
         + " AS thr FROM conf WHERE split = 'validation'"
         + (" GROUP BY split" if c >= 1 else "")
-        for c in _TARGETS
+        for c in D.COVERAGE_TARGETS
     )
     + ")",
     """cur AS (SELECT 'dev' AS dataset, label, llr, posterior, confidence, coverage_target, thr,
@@ -160,7 +159,7 @@ CURVE = [
 def _curve(spark, d):
     t = materialise(fx.llr_trials(spark, d).withColumn("dataset", F.lit(fx.DATASET)))  # a written key is not folded away
     test = t.filter("split = 'test'").select("dataset", "label", "llr")
-    return D.coverage_curve(test, t.filter("split = 'validation'").select("dataset", "llr"), "dataset", _TARGETS)
+    return D.coverage_curve(test, t.filter("split = 'validation'").select("dataset", "llr"), "dataset", D.COVERAGE_TARGETS)
 
 
 @query(
@@ -770,10 +769,13 @@ gg AS (SELECT {_KEY}, any_value(source_pairs) AS source_pairs, sha256('groups_v1
     || chr(31) || string_agg(enroll_utt, chr(31) ORDER BY row_number)) AS group_hash FROM gs GROUP BY {_KEY})"""
 
 
-def enrollment(spark, d):
-    t = fx.trials(spark, d).filter(F.col("split") != P.UNUSED)
+def _group_trials(spark, d):
     cols = ["split", "trial_id", "label", "enroll_utt", "test_utt", "enroll_speaker", "test_speaker"]
-    return G.enrollment_groups(t.select(*cols), K)
+    return fx.trials(spark, d).filter(F.col("split") != P.UNUSED).select(*cols)
+
+
+def enrollment(spark, d):
+    return G.enrollment_groups(_group_trials(spark, d), K)
 
 
 @query(
@@ -819,6 +821,9 @@ def group_caps(spark, d):
     return _label(out).select("group_hash", "split", "label", F.coalesce("drop_reason", F.lit("selected")).alias("outcome"))
 
 
+_OUTCOMES = ("selected", "speaker_label_cap", "speaker_pair_cap", "split_label_cap")
+
+
 @query(
     "selection_summary",
     B.sql(
@@ -826,15 +831,21 @@ def group_caps(spark, d):
         CAPPED,
         """oc AS (SELECT split, label, CASE WHEN kept THEN 'selected' WHEN before_wide >= 60 THEN 'split_label_cap'
   WHEN before_claim >= 8 THEN 'speaker_label_cap' ELSE 'speaker_pair_cap' END AS o FROM sel_g)""",
-        final="SELECT split, label, count(*) AS candidates, "
-        + ", ".join(f"count(*) FILTER (o = '{o}') AS {o}" for o in ("selected", "speaker_label_cap", "speaker_pair_cap", "split_label_cap"))
-        + " FROM oc GROUP BY ALL",
+        """su AS (SELECT split, label, count(*) AS candidates, """
+        + ", ".join(f"count(*) FILTER (o = '{o}') AS {o}" for o in _OUTCOMES)
+        + " FROM oc GROUP BY ALL)",
+        f"tf AS (SELECT split, label, count(*) AS too_few_enrollments FROM (SELECT DISTINCT {_KEY} FROM gr WHERE source_pairs < {K}) GROUP BY ALL)",
+        final="SELECT split, label, "
+        + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("candidates", *_OUTCOMES, "too_few_enrollments"))
+        + " FROM su FULL JOIN tf USING (split, label)",
     ),
 )
 def selection_summary(spark, d):
-    """Candidates, selected groups and what each cap dropped."""
-    out = G.select_groups(materialise(enrollment(spark, d)), **CAPS)
-    return _label(G.selection_summary(out))
+    """Groups of too few enrollments, candidates, selected groups and what each cap dropped."""
+    t = _group_trials(spark, d)
+    out = G.selection_summary(G.select_groups(materialise(G.enrollment_groups(t, K)), **CAPS))
+    few = G.too_few_enrollments(t, K)
+    return _label(out.join(few, ["split", "label"], "full").fillna(0))
 
 
 @query(
@@ -1055,3 +1066,35 @@ def stream_scoring(spark, d):
     )
     I.run_available(stream.select("trial_id", "label", "llr", "decision"), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out")
+
+
+@query(
+    "stream_resume",
+    B.sql(
+        f"""tried AS (SELECT trial_id, label, enroll_id % 97 = 0 AS lost, enroll_utt, test_utt FROM protocol),
+sc AS (SELECT t.trial_id, t.label, t.lost, ({' + '.join(f'list_cosine_similarity(a.{e}, b.{e})' for e in ENCODERS)}) / 6.0::DOUBLE
+    * {fx.LLR_SCALE}::DOUBLE + ({fx.LLR_BIAS})::DOUBLE AS llr FROM tried t JOIN emb a ON a.utterance = t.enroll_utt JOIN emb b ON b.utterance = t.test_utt)""",
+        final="""SELECT trial_id, label, CASE WHEN lost THEN 'no embedding' END AS reason, CASE WHEN NOT lost THEN round(llr, 6) + 0.0::DOUBLE END AS llr,
+  CASE WHEN lost THEN NULL WHEN greatest(1/(1+exp(-llr)), 1-1/(1+exp(-llr))) < 0.7 THEN 'reject' WHEN llr >= 0 THEN 'target' ELSE 'nontarget' END AS decision FROM sc""",
+    ),
+)
+def stream_resume(spark, d):
+    """Two runs under one state: two trial files, then a third one together with the first again.
+    Trials of lost enrollments go into quarantine."""
+    base = f"{checkpoint_dir(spark)}/stream_resume-{uuid.uuid4().hex}"
+    rows = fx.table(spark, d, "lineitem")
+    people, vectors = fx.utterance_count(spark, d), fx.embeddings_wide(spark, d)
+    for run, files in enumerate([(0, 1), (2, 0)]):
+        for k in files:
+            rows.filter(F.col("l_orderkey") % 3 == k).write.parquet(f"{base}/landing/run={run}/file={k}")
+        arrived = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/landing")
+        t = fx.trials_from(arrived, people // fx.PER_SPEAKER)
+        enroll = fx.utterance_of(F.col("enroll_id"))
+        t = t.select(
+            "trial_id",
+            F.col("label").cast("int").alias("label"),
+            F.when(F.col("enroll_id") % 97 == 0, F.concat(F.lit("lost/"), enroll)).otherwise(enroll).alias("enroll_utt"),
+            fx.utterance_of(F.col("test_id")).alias("test_utt"),
+        )
+        I.resume_scoring(t, vectors, ENCODERS, fx.llr_column, base, confidence_threshold=0.7, utterances=people)
+    return I.resumed(spark, base).select("trial_id", "label", "reason", "llr", "decision")

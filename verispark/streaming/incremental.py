@@ -3,13 +3,17 @@
 The stream has no event time; each micro-batch is joined to the static
 embedding table, calibrated and decided, and appended to Parquet.  The
 checkpoint makes a restarted run continue after the last finished batch.
+
+``resume_scoring`` keeps its state under a name: called again, it takes up files
+that have come since, leaves out trials it has seen in any run, and puts trials it
+cannot score into quarantine with a reason instead of failing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
@@ -47,3 +51,45 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+
+
+def resume_scoring(
+    trials: DataFrame,
+    embeddings: DataFrame,
+    encoders: Sequence[str],
+    llr: Callable[[], object],
+    base: str,
+    *,
+    confidence_threshold: float | None = None,
+    utterances: int | None = None,
+) -> None:
+    """Score the trials (streaming: trial_id, label, enroll_utt, test_utt) that no earlier run under ``base`` has seen.
+
+    ``base`` names a folder that all executors share: ``scored`` and ``quarantine``
+    hold one subfolder per batch, which a repeated batch overwrites; ``state`` holds
+    the progress and the ids seen, one state row per trial.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        tried = score_wide(batch, embeddings, encoders, on_missing="null", utterances=utterances).persist()
+        reason = F.when(F.col("trial_id").isNull(), "no trial id").when(~F.coalesce(F.col("label").isin(0, 1), F.lit(False)), "no label")
+        for e in encoders:
+            reason = reason.when(F.col(f"score_{e}").isNull(), "no embedding")
+        bad = tried.select(*batch.columns, reason.alias("reason")).filter("reason is not null")
+        good = tried.filter(reason.isNull()).select(*batch.columns, llr())
+        p = sigmoid(F.col("llr"))
+        threshold = None if confidence_threshold is None else F.lit(confidence_threshold)
+        good = good.withColumn("decision", decide(p, F.greatest(p, 1.0 - p), threshold))
+        good.write.mode("overwrite").parquet(f"{base}/scored/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{base}/quarantine/batch={number}")
+        tried.unpersist()
+
+    once = trials.dropDuplicates(["trial_id"])
+    query = once.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def resumed(spark: SparkSession, base: str) -> DataFrame:
+    """All trials of all runs: scored with llr and decision, quarantined with a reason."""
+    scored = spark.read.parquet(f"{base}/scored").drop("batch")
+    return scored.unionByName(spark.read.parquet(f"{base}/quarantine").drop("batch"), allowMissingColumns=True)
