@@ -439,7 +439,7 @@ def resplit_wide(spark, d):
     vid = F.col("vec_id")
     people = fx.table(spark, d, "embeddings").select(fx.speaker_of(vid).alias("speaker_id")).distinct()
     count = fx.speaker_count(spark, d)
-    manifest = P.assign_speakers(people, seed="resplit_v1", calibration_ratio=0.5, count=count)
+    manifest = P.assign_speakers(people, seed="resplit_v1", calibration_ratio=0.5, count=count, leftover="test")
     wide = wide_with_features(spark, d, extra=("test_speaker",))
     again = P.split_protocol(wide.drop("split"), manifest, count).filter(F.col("split") != P.UNUSED)
     return again.select(
