@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from test_queries import _rows
+from verispark.operators import scoring as J
 from verispark.operators.protocol import split_sizes
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,33 @@ def test_split_sizes_leave_the_rest_to_test():
 @pytest.mark.parametrize("name", ["speaker_manifest", "split_protocol", "alignment_audit", "resplit_wide", "asnorm_cohort"])
 def test_odd_speaker_count_equals_sql(spark, odd, name):
     compare(spark, odd, name)
+
+
+def _cell_case(spark):
+    name = lambda k: f"s/{k % 7}/{k}"
+    vectors = [(name(k), [float(k % 5) - 1.5, 1.0 + k, -0.25 * k], [0.5, float(k)]) for k in range(40)]
+    vectors += [("none", None, [1.0, 2.0]), ("zero", [0.0, 0.0, 0.0], [1.0, 1.0])]
+    trials = [(i, name(i * 7 % 40), name(i * 11 % 40)) for i in range(300)]
+    trials += [(1000, "none", name(3)), (1001, name(4), "zero"), (1002, "gone", name(1)), (1003, name(1), None)]
+    schema = "utterance string, a array<double>, b array<double>"
+    return spark.createDataFrame(trials, "trial_id int, enroll_utt string, test_utt string"), spark.createDataFrame(vectors, schema)
+
+
+def test_cells_give_what_plain_joins_give(spark, monkeypatch):
+    trials, vectors = _cell_case(spark)
+
+    def run(how, **size):
+        wide = J.score_wide(trials, vectors, ["a", "b"], on_missing=how, utterances=size.get("rows"), dim=3)
+        many = J.similarity_columns(trials, vectors, ["a", "b"], ["cosine", "neg_l1_raw"], on_missing=how, dim=3, **size)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (wide, many)]
+        return [{tuple(sorted(r.asDict().items())) for r in df.collect()} for df in (wide, many)], plans
+
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+    for how, rows in (("null", 304), ("skip", 302)):
+        plain, _ = run(how)
+        cells, plans = run(how, rows=42)
+        assert cells == plain and [len(x) for x in cells] == [rows, rows]
+        assert all("MapInArrow" in p and "SortMergeJoin" not in p for p in plans)
+    with pytest.raises(Exception, match="no embedding"):
+        J.score_wide(trials, vectors, ["a"], utterances=42, dim=3).collect()
+    assert J.side_blocks(trials, 10**9, 1000) is None and J.side_blocks(trials, None, 1000) is None

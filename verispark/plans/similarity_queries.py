@@ -42,7 +42,8 @@ def _pair_query(key: str, metrics: list[str], exprs: list[str], **options):
     @query(key, B.sql(PAIR, *ctes, final=B.pick("m", ["trial_id"], cols)))
     def run(spark, d):
         t = fx.protocol(spark, d).select("trial_id", "enroll_utt", "test_utt")
-        return J.score_trials(t, enc1(spark, d), metrics, **options).select("trial_id", *cols)
+        size = {"utterances": fx.utterance_count(spark, d), "dim": fx.ENC_DIM}
+        return J.score_trials(t, enc1(spark, d), metrics, **size, **options).select("trial_id", *cols)
 
 
 _pair_query("cosine", ["cosine"], [_COS])
@@ -416,7 +417,8 @@ def _sim(e: str, m: str) -> str:
 )
 def similarity_wide(spark, d):
     t = usable(spark, d)
-    out = J.similarity_columns(t, fx.embeddings_wide(spark, d), ENCODERS, SIM_METRICS, rows=fx.utterance_count(spark, d))
+    size = {"rows": fx.utterance_count(spark, d), "dim": fx.ENC_DIM}
+    out = J.similarity_columns(t, fx.embeddings_wide(spark, d), ENCODERS, SIM_METRICS, **size)
     return out.withColumn("label", F.col("label").cast("int")).drop("enroll_utt", "test_utt")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
-from ..operators.scoring import score_wide
+from ..operators.scoring import WIDEST, score_wide
 from ..operators.selective import decide
 
 
@@ -30,9 +30,10 @@ def scored_stream(
     confidence_threshold: float | None = None,
     on_missing: str = "error",
     utterances: int | None = None,
+    dim: int = WIDEST,
 ) -> DataFrame:
     """Stream-static join to the embeddings, LLR and decision columns."""
-    scored = score_wide(trials, embeddings, encoders, on_missing=on_missing, utterances=utterances)
+    scored = score_wide(trials, embeddings, encoders, on_missing=on_missing, utterances=utterances, dim=dim)
     scored = scored.select(*trials.columns, llr())
     p = sigmoid(F.col("llr"))
     conf = F.greatest(p, 1.0 - p)
@@ -62,6 +63,7 @@ def resume_scoring(
     *,
     confidence_threshold: float | None = None,
     utterances: int | None = None,
+    dim: int = WIDEST,
 ) -> None:
     """Score the trials (streaming: trial_id, label, enroll_utt, test_utt) that no earlier run under ``base`` has seen.
 
@@ -71,7 +73,7 @@ def resume_scoring(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        tried = score_wide(batch, embeddings, encoders, on_missing="null", utterances=utterances).persist()
+        tried = score_wide(batch, embeddings, encoders, on_missing="null", utterances=utterances, dim=dim).persist()
         reason = F.when(F.col("trial_id").isNull(), "no trial id").when(~F.coalesce(F.col("label").isin(0, 1), F.lit(False)), "no label")
         for e in encoders:
             reason = reason.when(F.col(f"score_{e}").isNull(), "no embedding")
