@@ -87,3 +87,22 @@ def test_lines_of_a_slice(odd_docs):
     for ranks in (None, np.random.default_rng(0).permutation(1 << line_dedup.COUNT_BITS).astype(np.uint32)):
         lines = line_dedup.Lines(pa.array(texts), ranks)
         assert list(zip(lines.row.tolist(), lines.number.tolist(), lines.size.tolist())) == want
+
+
+def test_lists_are_set_out_for_open_lines_only(spark, monkeypatch):
+    """Many variants that their earliest candidate settles: their lists of candidates never become rows."""
+    monkeypatch.setattr(line_dedup, "PAIRS", 1000)
+    write, counts = line_dedup.written, []
+
+    def counted(df):
+        out = write(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    template = " ".join(f"word{k}" for k in range(12))
+    rows = [(d, f"{template} own{d}") for d in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    left = line_dedup.dedup_lines(df).filter("text <> ''").collect()
+    assert [r.doc_id for r in left] == [0]
+    assert max(counts) <= 4 * 400  # a line has three words in its prefix

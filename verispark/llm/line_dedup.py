@@ -18,7 +18,8 @@ of the text, line number), null ids last.  Lines without words stay.
    Words that occur more than ``FREQUENT`` times are left out of the buckets: their
    postings are dealt by line size and set into blocks of about ``BLOCK``, and every
    pair of blocks whose sizes can match is a task of its own.
-4. Candidates are verified by the Jaccard similarity of their whole word sets.
+4. Candidates are verified by the Jaccard similarity of their whole word sets: first
+   the earliest of each line, then all others of the lines that it does not settle.
    Lines whose earliest candidates all fail and that had more are looked up again
    with all of their candidates, so the limit loses nothing.
 
@@ -59,7 +60,6 @@ CHUNK = 2_000_000
 NO_ID = (1 << 63) - 1
 #: Size of the bitmaps that say which lines or words a pass has to send; full ones only send more.
 LINE_BITS = 1 << 23
-LINE_STEP = 1_000_003
 
 RECORD = np.dtype([("word", "u4"), ("size", "u4"), ("at", "u4"), ("line", "u4"), ("set", "u8"), ("bitmap", "u8"), ("bitmap2", "u8"), ("doc", "i8"), ("text", "i8")])
 
@@ -70,9 +70,8 @@ def keyed_columns() -> list:
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """doc (id, or the largest number), text_hash, text, and the spot of the document in a bitmap of lines."""
-    out = documents.select(*keyed_columns(), F.col("text").cast("string").alias("text"))
-    return out.withColumn("spot", F.pmod(F.xxhash64("doc", "text_hash"), F.lit(LINE_BITS)))
+    """doc (id, or the largest number), text_hash and text."""
+    return documents.select(*keyed_columns(), F.col("text").cast("string").alias("text"))
 
 
 # --- 1: rarity -----------------------------------------------------------------------------
@@ -509,20 +508,52 @@ def candidates(texts: DataFrame, ranks, frequent: dict[int, int], n_buckets: int
 _LINE = ["doc", "text_hash", "line"]
 
 
-def bitmap_of(rows: DataFrame, at) -> np.ndarray:
-    """A bitmap of LINE_BITS bits with those at the given places set; at most LINE_BITS / 64 numbers are collected."""
-    rows = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-    found = rows.agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toPandas()
+BITS = "word long, bits long"
+
+
+def _bit_rows(marks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A task's marks as the words of one bitmap of LINE_BITS bits that are not zero."""
+    out = np.zeros(LINE_BITS // 64, np.uint64)
+    for some in marks:
+        at = np.unique(some & np.uint64(LINE_BITS - 1))
+        np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    word = np.flatnonzero(out)
+    if len(word):
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(out[word].view(np.int64))], ["word", "bits"])
+
+
+def _line_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield _marks(*(batch.column(c).to_numpy() for c in _LINE))
+
+
+def _word_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield batch.column("word").to_numpy().view(np.uint64)
+
+
+def bitmap_of(rows: DataFrame, marks: Callable) -> np.ndarray:
+    """The bitmap of all marks of the rows' batches; at most LINE_BITS / 64 numbers are collected."""
+    parts = rows.mapInArrow(lambda it: _bit_rows(marks(it)), BITS)
+    found = parts.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
     out = np.zeros(LINE_BITS // 64, np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
+def _needed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines and their candidates, each once a batch: lists of one bucket name the same few lines again and again."""
+    for batch in batches:
+        others = batch.column("others").flatten().flatten()
+        columns = {c: np.concatenate([batch.column(c).to_numpy(), o.to_numpy()]) for c, o in zip(_LINE, others)}
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(columns).drop_duplicates(), preserve_index=False)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, limit=8 << 20):
-        spot = part.column("spot").to_numpy()
-        lines = Lines(part.column("text"), None, lambda row, number, hashes, starts: _has(wanted, (spot[row] + number * LINE_STEP).astype(np.uint64)))
-        doc, text = (part.column(c).to_numpy()[lines.row] for c in ("doc", "text_hash"))
+        docs, hashes = (part.column(c).to_numpy() for c in ("doc", "text_hash"))
+        lines = Lines(part.column("text"), None, lambda row, number, *_: _has(wanted, _marks(docs[row], hashes[row], number)))
+        doc, text = docs[lines.row], hashes[lines.row]
         words = pa.ListArray.from_arrays(pa.array(lines.first, pa.int32()), pa.array(lines.hash.view(np.int64)))
         columns = [pa.array(doc), pa.array(text), pa.array(lines.number, pa.int32()), words]
         yield pa.RecordBatch.from_arrays(columns, [*_LINE, "words"])
@@ -531,11 +562,8 @@ def _set_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator
 def verified(texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines with a true match among their candidates; words of those without that had more candidates."""
     mine = found.filter("others is not null")
-    pairs = mine.select(*_LINE, F.explode("others").alias("o")).select(*_LINE, *[F.col(f"o.{c}").alias(f"x_{c}") for c in _LINE])
-    pairs = written(pairs.distinct())
-    needed = written(pairs.select(*_LINE).union(pairs.select(*[f"x_{c}" for c in _LINE])).distinct())
-    spot = F.pmod(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(LINE_BITS)) + F.col("line") * F.lit(LINE_STEP).cast("long"), F.lit(LINE_BITS))
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(needed, spot))
+    needed = written(mine.select(*_LINE, "others").mapInArrow(_needed_rows, "doc long, text_hash long, line int").distinct())
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(needed, _line_marks))
     sets = texts.mapInArrow(lambda it: _set_rows(it, wanted.value), "doc long, text_hash long, line int, words array<long>")
     sets = written(sets.join(needed, _LINE, "left_semi").dropDuplicates(_LINE))
     xs = sets.select(*[F.col(c).alias(f"x_{c}") for c in _LINE], F.col("words").alias("x_words"))
@@ -545,10 +573,12 @@ def verified(texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         common = F.size(F.array_intersect("words", "x_words"))
         return written(joined.filter(9 * common >= 4 * (F.size("words") + F.size("x_words"))).select(*_LINE).distinct())
 
-    # the earliest candidate settles most lines; the others of a line are looked at only if it fails
-    earliest = F.min(F.struct(*[F.col(f"x_{c}") for c in _LINE])).alias("x")
-    links = true(pairs.groupBy(*_LINE).agg(earliest).select(*_LINE, *[F.col(f"x.x_{c}").alias(f"x_{c}") for c in _LINE]))
-    links = written(links.union(true(pairs.join(links, _LINE, "left_anti"))))
+    # the earliest candidate settles most lines; the whole lists are set out only for lines that it leaves open
+    first = F.col("others")[0]
+    earliest = mine.select(*_LINE, first.alias("x")).groupBy(*_LINE).agg(F.min("x").alias("x"))
+    links = true(earliest.select(*_LINE, *[F.col(f"x.{c}").alias(f"x_{c}") for c in _LINE]))
+    left = mine.join(links, _LINE, "left_anti").select(*_LINE, F.explode("others").alias("x"))
+    links = written(links.union(true(left.select(*_LINE, *[F.col(f"x.{c}").alias(f"x_{c}") for c in _LINE]).distinct())))
     unsure = mine.filter("more").select(*_LINE).distinct().join(links, _LINE, "left_anti").join(sets, _LINE)
     return links, written(unsure)
 
@@ -566,12 +596,6 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(rare.view(np.int64))], ["word"])
 
 
-def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = _marks(*(batch.column(c).to_numpy() for c in _LINE))
-        yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64))], ["mark"])
-
-
 def later_matches(documents: DataFrame) -> DataFrame:
     """(doc, text_hash, line) of every line that an earlier one matches."""
     context = documents.sparkSession.sparkContext
@@ -585,10 +609,9 @@ def later_matches(documents: DataFrame) -> DataFrame:
     links, unsure = verified(texts, found)
     removed = removed.union(links)
     if not unsure.isEmpty():
-        marks = unsure.select(*_LINE).mapInArrow(_mark_rows, "mark long")
-        wanted = context.broadcast(bitmap_of(marks, F.expr(f"mark & {LINE_BITS - 1}L")))
+        wanted = context.broadcast(bitmap_of(unsure.select(*_LINE), _line_marks))
         rare = unsure.select("words").mapInArrow(lambda it: _prefix_rows(it, ranks.value), "word long")
-        words = context.broadcast(bitmap_of(rare, F.expr(f"word & {LINE_BITS - 1}L")))
+        words = context.broadcast(bitmap_of(rare, _word_marks))
         rest = candidates(texts, ranks, frequent, n_buckets, None, words, wanted).filter("others is not null").join(unsure.select(*_LINE), _LINE, "left_semi")
         removed = removed.union(verified(texts, written(rest))[0])
     return removed.distinct()
