@@ -1,10 +1,12 @@
 """Queries on tables whose sizes the given ones never have, against their SQL."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from test_queries import _rows
+from verispark.operators import backends as K
 from verispark.operators import scoring as J
 from verispark.operators.protocol import split_sizes
 
@@ -77,3 +79,36 @@ def test_cells_give_what_plain_joins_give(spark, monkeypatch):
     with pytest.raises(Exception, match="no embedding"):
         J.score_wide(trials, vectors, ["a"], utterances=42, dim=3).collect()
     assert J.side_blocks(trials, 10**9, 1000) is None and J.side_blocks(trials, None, 1000) is None
+
+
+def test_backends_in_cells_give_what_plain_joins_give(spark, monkeypatch):
+    """All kinds of backends; neither a projection nor a vector leaves a cell."""
+    rng = np.random.default_rng(5)
+    name = lambda k: f"s/{k % 7}/{k}"
+    people = [(name(k), rng.normal(size=4).tolist(), rng.normal(size=4).tolist()) for k in range(40)] + [("zero", [0.0] * 4, [1.0] * 4)]
+    trials = [(i, name(i * 7 % 40), name(i * 11 % 40)) for i in range(300)] + [(300, "zero", name(1)), (301, "gone", name(2))]
+    people = spark.createDataFrame(people, "utterance string, a array<double>, b array<double>")
+    trials = spark.createDataFrame(trials, "trial_id int, enroll_utt string, test_utt string")
+    square, mean = rng.normal(size=(4, 4)), rng.normal(size=4)
+    fitted = {
+        "cos": ("a", K.Backend("cosine")),
+        "centred": ("a", K.Backend("centered_cosine", mean)),
+        "white": ("b", K.Backend("whitened_cosine", mean, square[:, :3])),
+        "maha": ("b", K.Backend("neg_mahalanobis", matrix=square @ square.T)),
+        "as": ("b", K.Backend("asnorm_cosine", matrix=rng.normal(size=(20, 4)), meta={"top_k": "5", "sigma_floor": "1e-4"})),
+        "none": ("a", K.Backend("lda_cosine", status="blocked")),
+    }
+    monkeypatch.setattr(J, "BROADCAST_BYTES", 0)
+
+    def run(rows):
+        df = K.score_backends(trials, people, fitted, blocked="null", on_missing="null", rows=rows)
+        return {r.trial_id: r.asDict() for r in df.collect()}, df
+
+    (plain, _), (cells, df) = run(None), run(41)
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert set(cells) == set(plain) == set(range(302)) and cells[300]["cos"] is None and cells[301]["white"] is None
+    for i, want in plain.items():
+        assert cells[i] == {k: v if v is None or isinstance(v, str) else pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    assert sum(K._brought_bytes(b, 4) for _, b in fitted.values()) < 1500  # a cohort is not what an utterance brings
+    with pytest.raises(Exception, match="no embedding"):
+        K.score_backends(trials, people, fitted, blocked="null", rows=41).collect()
