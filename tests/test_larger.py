@@ -2,10 +2,12 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from test_queries import _rows
+from verispark.operators import analysis as A
 from verispark.operators import backends as K
 from verispark.operators import scoring as J
 from verispark.operators.protocol import split_sizes
@@ -112,3 +114,26 @@ def test_backends_in_cells_give_what_plain_joins_give(spark, monkeypatch):
     assert sum(K._brought_bytes(b, 4) for _, b in fitted.values()) < 1500  # a cohort is not what an utterance brings
     with pytest.raises(Exception, match="no embedding"):
         K.score_backends(trials, people, fitted, blocked="null", rows=41).collect()
+
+
+def test_rank_correlations_equal_plain_ranks(spark, monkeypatch):
+    """Ties, gaps, a constant, one very frequent value; blocks and ranges smaller than the rows."""
+    monkeypatch.setattr(A, "RANGES", 8)
+    rng = np.random.default_rng(3)
+    rows = []
+    for e in ("a", "b", None):
+        for k in range(700):
+            x = float(rng.normal())
+            rows.append((e, f"t{k}", x, round(x + float(rng.normal()), 1), 1.0, 0.0 if k % 3 else x, [x * x, None, float("nan")][k % 3], None))
+    names = ["v", "w", "constant", "often", "gaps", "nothing"]
+    df = spark.createDataFrame(rows, "encoder string, trial_id string, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {(r.encoder, r.metric, r.reference_metric): r for r in A.metric_redundancy(df, names, reference="v").collect()}
+    assert {k[0] for k in got} == {"a", "b"}
+    for e, of in pd.DataFrame(rows, columns=["encoder", "trial_id", *names]).groupby("encoder"):
+        ranks = of[names].astype(float).rank()
+        for a in names:
+            r = got[e, a, "v"]
+            both = ranks[a].notna() & ranks["v"].notna()
+            want = np.corrcoef(ranks[a][both], ranks["v"][both])[0, 1] if a not in ("constant", "nothing") else None
+            assert r.spearman == (want if want is None else pytest.approx(want, abs=1e-9)) and r.finite_count == both.sum()
+            assert r.unique_value_count == (of[a].astype(float).nunique() or None)
