@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +107,19 @@ def test_lists_are_set_out_for_open_lines_only(spark, monkeypatch):
     left = line_dedup.dedup_lines(df).filter("text <> ''").collect()
     assert [r.doc_id for r in left] == [0]
     assert max(counts) <= 4 * 400  # a line has three words in its prefix
+
+
+def test_memory_of_one_bucket():
+    """Five million pairs of one word's lines are compared in bounded steps."""
+    n = 3200
+    records = np.zeros(n, line_dedup.RECORD)
+    records["size"], records["doc"] = 12, np.arange(n)
+    records["set"] = np.random.default_rng(5).integers(0, 1 << 63, n)
+    tracemalloc.start()
+    try:
+        rows = sum(r.num_rows for r in line_dedup._candidates(records, line_dedup.FIRST, None))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == n - 1
+    assert peak < 64 << 20

@@ -55,8 +55,10 @@ BUCKETS_PER_TASK = 2
 #: Occurrences from which a word's postings meet in pairs of blocks instead of in a bucket.
 FREQUENT = 200_000
 BLOCK = 1 << 14
-#: Pairs compared at once, and pairs held before they are cut to the earliest.
-CHUNK = 2_000_000
+#: Pairs compared at once, small enough for a core's cache; four times as many are held before they are cut to the earliest.
+CHUNK = 1 << 18
+#: Bytes of text whose lines are taken apart at once.
+SLICE = 4 << 20
 NO_ID = (1 << 63) - 1
 #: Size of the bitmaps that say which lines or words a pass has to send; full ones only send more.
 LINE_BITS = 1 << 23
@@ -178,7 +180,7 @@ def _frequent_rows(records: np.ndarray, word: np.ndarray, salts: np.ndarray, spo
 def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, frequent: dict[int, int], n_buckets: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     often = np.array(sorted(frequent), np.uint64)
     n_salts = np.array([frequent[int(k)] for k in often], np.uint64)
-    for part in text_slices(batches, limit=8 << 20):
+    for part in text_slices(batches, limit=SLICE):
         some = None if only is None else lambda row, number, hashes, starts: np.logical_or.reduceat(_has(only, hashes), starts)
         lines = Lines(part.column("text"), ranks, some)
         if not len(lines.size):
@@ -363,7 +365,7 @@ def _candidates(records: np.ndarray, first: int | None, wanted: np.ndarray | Non
     ends = np.cumsum(count)
     asked = np.ones(len(records), bool) if wanted is None else _has(wanted, _marks(records["doc"], records["text"], records["line"]))
     best: list[np.ndarray] = []
-    at = held = 0
+    at, held, most = 0, 0, 4 * CHUNK
     length = None if first is None else max(WIDE, first)
     bound = PAIRS * len(records)
 
@@ -401,9 +403,9 @@ def _candidates(records: np.ndarray, first: int | None, wanted: np.ndarray | Non
             continue
         best.append(_earliest(pairs, length + 1))
         held += len(best[-1])
-        if held > CHUNK:
+        if held > most:
             pairs, length = cut(np.unique(np.concatenate(best)), length)
-            best, held = [pairs], len(pairs)
+            best, held, most = [pairs], len(pairs), max(4 * CHUNK, 2 * len(pairs))
     if held:
         pairs, length = cut(np.unique(np.concatenate(best)), length)
         yield _listed(records, shown, pairs, length)
@@ -550,7 +552,7 @@ def _needed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches, limit=8 << 20):
+    for part in text_slices(batches, limit=SLICE):
         docs, hashes = (part.column(c).to_numpy() for c in ("doc", "text_hash"))
         lines = Lines(part.column("text"), None, lambda row, number, *_: _has(wanted, _marks(docs[row], hashes[row], number)))
         doc, text = docs[lines.row], hashes[lines.row]
