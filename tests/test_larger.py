@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
 from test_queries import _rows
 from verispark.operators import analysis as A
 from verispark.operators import backends as K
@@ -137,3 +138,32 @@ def test_rank_correlations_equal_plain_ranks(spark, monkeypatch):
             want = np.corrcoef(ranks[a][both], ranks["v"][both])[0, 1] if a not in ("constant", "nothing") else None
             assert r.spearman == (want if want is None else pytest.approx(want, abs=1e-9)) and r.finite_count == both.sum()
             assert r.unique_value_count == (of[a].astype(float).nunique() or None)
+
+
+def test_counts_are_made_once(spark, tmp_path):
+    """Cut points, totals and rows of a ranking read the same counts: what makes them runs once."""
+    from verispark.operators import metrics as M
+
+    seen = str(tmp_path / "seen")
+
+    def noted(batches):
+        with open(seen, "a") as out:
+            for batch in batches:
+                out.write("x" * batch.num_rows)
+                yield batch
+
+    df = spark.createDataFrame([("a", k % 2, k / 60) for k in range(60)], "k string, label int, score double").coalesce(1)
+    assert M.eer(df.mapInArrow(noted, df.schema), ["k"]).count() == 1
+    with open(seen) as out:
+        assert len(out.read()) == 60
+
+
+def test_scores_without_ids(spark):
+    """Scores that are only ranked are those of the trials with ids, of the splits asked for."""
+    from verispark.sources import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    parts = ("calibration", "test")
+    want = fx.scored_long(spark, d).filter(F.col("split").isin(*parts)).drop("trial_id")
+    got = fx.scores_long(spark, d, parts)
+    assert got.columns == want.columns and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
