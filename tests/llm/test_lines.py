@@ -123,3 +123,20 @@ def test_memory_of_one_bucket():
         tracemalloc.stop()
     assert rows == n - 1
     assert peak < 64 << 20
+
+
+def test_memory_of_a_batch_of_texts():
+    """Lines of one large batch are taken apart in bounded steps; postings wait for a full pack."""
+    random = np.random.default_rng(3)
+    texts = ["\n".join(" ".join(f"w{k}" for k in random.integers(0, 50_000, 12)) for _ in range(30)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), pa.array(texts)], ["doc", "text_hash", "text"])
+    ranks = np.arange(1 << line_dedup.COUNT_BITS, dtype=np.uint32)
+    line_dedup.Lines(batch.column("text").slice(0, 10))
+    tracemalloc.start()
+    try:
+        sent = sum(len(b.as_py()) for r in line_dedup._posting_rows(iter([batch]), ranks, {}, 64, None) for b in r.column("blob") if b.is_valid)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent > 300_000 * line_dedup.RECORD.itemsize
+    assert peak < 60 << 20

@@ -73,7 +73,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -57,8 +57,9 @@ FREQUENT = 200_000
 BLOCK = 1 << 14
 #: Pairs compared at once, small enough for a core's cache; four times as many are held before they are cut to the earliest.
 CHUNK = 1 << 18
-#: Bytes of text whose lines are taken apart at once.
-SLICE = 4 << 20
+#: Bytes of text whose lines are taken apart at once; their postings are held until there are enough to pack by bucket.
+SLICE = 1 << 20
+POSTINGS_AT_ONCE = 1 << 17
 NO_ID = (1 << 63) - 1
 #: Size of the bitmaps that say which lines or words a pass has to send; full ones only send more.
 LINE_BITS = 1 << 23
@@ -81,7 +82,7 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << COUNT_BITS, np.int64)
-    for part in text_slices(batches):
+    for part in text_slices(batches, limit=SLICE):
         total += np.bincount((Words(part.column("text")).hash >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
     if total.any():
         values = [c.tobytes() for c in np.split(total, CHUNKS)]
@@ -180,6 +181,7 @@ def _frequent_rows(records: np.ndarray, word: np.ndarray, salts: np.ndarray, spo
 def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, frequent: dict[int, int], n_buckets: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     often = np.array(sorted(frequent), np.uint64)
     n_salts = np.array([frequent[int(k)] for k in often], np.uint64)
+    held: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
     for part in text_slices(batches, limit=SLICE):
         some = None if only is None else lambda row, number, hashes, starts: np.logical_or.reduceat(_has(only, hashes), starts)
         lines = Lines(part.column("text"), ranks, some)
@@ -207,35 +209,39 @@ def _posting_rows(batches: Iterator[pa.RecordBatch], ranks: np.ndarray, frequent
         if only is not None:
             keep = _has(only, word)
             owner, at, word = owner[keep], at[keep], word[keep]
-        bucket = ((word >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
         columns = {"word": word, "size": lines.size, "at": at, "line": lines.number, "set": sets, "bitmap": bitmap, "bitmap2": bitmap2, "doc": doc, "text": text}
-
-        def record_columns(rows: np.ndarray) -> dict[str, np.ndarray]:
-            of_line = owner[rows]
-            return {f: c[rows if f in ("word", "at") else of_line].astype(RECORD[f]) for f, c in columns.items()}  # a word's lower half
-
-        if len(often):
-            head = word >> np.uint64(64 - COUNT_BITS)
-            known = np.minimum(np.searchsorted(often, head), len(often) - 1)
-            hot = often[known] == head
-            if hot.any():
-                rows = np.flatnonzero(hot)
-                out = np.empty(len(rows), RECORD)
-                for f, c in record_columns(rows).items():
-                    out[f] = c
-                yield from _frequent_rows(out, word[rows], n_salts[known[rows]], mix(out["set"]), n_buckets)
-                rest = np.flatnonzero(~hot)
-                order = rest[np.argsort(bucket[rest].astype(np.int32), kind="stable")]
-            else:
-                order = np.argsort(bucket.astype(np.int32), kind="stable")
-        else:
-            order = np.argsort(bucket.astype(np.int32), kind="stable")
-        if not len(order):
-            continue
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
-        packed = record_columns(order)
-        blobs = [b"".join(packed[f][a:b].tobytes() for f in RECORD.names) for a, b in zip(edges, [*edges[1:], len(order)])]
-        yield _columns(bucket=bucket[order[edges]], blob=blobs)
+        held.append((word, {f: (c if f in ("word", "at") else c[owner]).astype(RECORD[f]) for f, c in columns.items()}))  # a word's lower half
+        if sum(len(w) for w, _ in held) >= POSTINGS_AT_ONCE:
+            yield from _bucket_rows(held, often, n_salts, n_buckets)
+            held = []
+    if held:
+        yield from _bucket_rows(held, often, n_salts, n_buckets)
+
+
+def _bucket_rows(held: list[tuple[np.ndarray, dict[str, np.ndarray]]], often: np.ndarray, n_salts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Postings of some slices, packed by bucket; ``often`` and ``n_salts`` are frequent words and their tasks."""
+    word = np.concatenate([w for w, _ in held])
+    columns = {f: np.concatenate([c[f] for _, c in held]) for f in RECORD.names}
+    rest = np.arange(len(word))
+    if len(often):
+        head = word >> np.uint64(64 - COUNT_BITS)
+        known = np.minimum(np.searchsorted(often, head), len(often) - 1)
+        hot = often[known] == head
+        if hot.any():
+            rows, rest = np.flatnonzero(hot), np.flatnonzero(~hot)
+            out = np.empty(len(rows), RECORD)
+            for f, c in columns.items():
+                out[f] = c[rows]
+            yield from _frequent_rows(out, word[rows], n_salts[known[rows]], mix(out["set"]), n_buckets)
+    bucket = ((word[rest] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    if not len(order):
+        return
+    bucket, rest = bucket[order], rest[order]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    packed = {f: c[rest] for f, c in columns.items()}
+    blobs = [b"".join(packed[f][a:b].tobytes() for f in RECORD.names) for a, b in zip(edges, [*edges[1:], len(order)])]
+    yield _columns(bucket=bucket[edges].astype(np.int64), blob=blobs)
 
 
 def _parity(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
