@@ -30,6 +30,27 @@ def test_splits_are_multinomial():
     assert (done == 1500).all()
 
 
+def test_cells_of_few_rows_are_drawn_row_by_row():
+    """Distinct scores need no binomial draw per cell and replicate; the draws are multinomial all the same."""
+
+    class Rows:
+        def __init__(self):
+            self.rng = S.generator(7, 1)
+
+        def integers(self, *args, **kind):
+            return self.rng.integers(*args, **kind)
+
+    counts, total = np.array([1, 0, 2, 1, 1, 5, 1, 0]), np.repeat([11, 0, 14], 20_000)
+    draws = S.split_cells(total, counts, Rows())
+    assert draws.shape == (8, 60_000) and (draws.sum(0) == total).all() and not draws[[1, 7]].any()
+    p = counts / counts.sum()
+    for some in (slice(0, 20_000), slice(40_000, None)):
+        n = total[some][0]
+        assert draws[:, some].mean(1) == pytest.approx(n * p, abs=0.1)
+        assert draws[:, some].var(1) == pytest.approx(n * p * (1 - p), rel=0.1)
+        assert np.cov(draws[5, some], draws[2, some])[0, 1] == pytest.approx(-n * p[5] * p[2], rel=0.2)
+
+
 @pytest.mark.parametrize("cells", [3, 256])
 def test_replicates_equal_metrics_of_their_draws(spark, monkeypatch, cells):
     """Metrics of blocks under weights against the metric block of the weighted trials."""

@@ -50,9 +50,21 @@ def split_range(total: np.ndarray, before: np.ndarray, ends: np.ndarray, want: i
     return total, before
 
 
+#: Mean count of a cell up to which rows are drawn one by one, which costs less than binomial draws per cell.
+FEW = 4
+#: Replicates whose running sums are formed together, few enough for a core's cache.
+TOGETHER = 128
+
+
 def split_cells(total: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Multinomial draws (cells x replicates) with the given totals, by halving all ranges of a level together."""
-    m = len(counts)
+    """Multinomial draws (cells x replicates) with the given totals: row by row where cells hold few
+    rows, else by halving all ranges of a level together."""
+    m, n_rows = len(counts), int(counts.sum())
+    if 0 < n_rows <= FEW * m and total.sum() <= 2 * FEW * m * len(total):
+        cell = np.repeat(np.arange(m) * len(total), counts)
+        at = cell[rng.integers(0, n_rows, int(total.sum()), dtype=np.int32)]
+        at += np.repeat(np.arange(len(total)), total)
+        return np.bincount(at, minlength=m * len(total)).reshape(m, len(total))
     size = 1 << max(0, int(m - 1).bit_length())
     padded = np.zeros(size, np.int64)
     padded[:m] = counts
@@ -80,22 +92,38 @@ class Block:
     def add(self, at: int, score: np.ndarray, wt: np.ndarray, wn: np.ndarray, before: tuple, totals: tuple) -> tuple:
         """Cells of descending scores with weights (cells x replicates); returns the sums up to their end."""
         softplus = np.maximum(score, 0.0) + np.log1p(np.exp(-np.abs(score)))
-        self.sums[0] += (softplus - score) @ wt
-        self.sums[1] += softplus @ wn
-        all_t, all_n = totals
+        n_hits = [int(np.count_nonzero(score >= bayes_threshold(prior))) for prior in PRIORS.values()]  # scores descend, so these come first
+        all_t, all_n = (np.asarray(x, float) for x in totals)
+        after = np.empty((2, wt.shape[1]))
+        for first in range(0, wt.shape[1], TOGETHER):
+            some = slice(first, first + TOGETHER)
+            ends = self._add(some, at, score, softplus, n_hits, wt[:, some].astype(float), wn[:, some].astype(float), (before[0][some], before[1][some]), all_t[some], all_n[some])
+            after[:, some] = ends
+        return after[0], after[1]
+
+    def _add(self, some: slice, at: int, score, softplus, n_hits, wt, wn, before, all_t, all_n) -> tuple:
+        self.sums[0, some] += (softplus - score) @ wt
+        self.sums[1, some] += softplus @ wn
+        run_t, run_n = np.cumsum(wt, axis=0, out=wt), np.cumsum(wn, axis=0, out=wn)
+        end_t, end_n = run_t[-1].copy(), run_n[-1].copy()
+        for k, n_hit in enumerate(n_hits):
+            self.sums[2 + 2 * k, some] += end_t - (run_t[n_hit - 1] if n_hit else 0.0)
+            self.sums[3 + 2 * k, some] += run_n[n_hit - 1] if n_hit else 0.0
         with np.errstate(divide="ignore", invalid="ignore"):
-            miss = (all_t - before[0] - np.cumsum(wt, axis=0)) / all_t
-            false = (before[1] + np.cumsum(wn, axis=0)) / all_n
+            miss = np.subtract(all_t - before[0], run_t, out=run_t)
+            miss /= all_t
+            false = np.add(before[1], run_n, out=run_n)
+            false /= all_n
+            cost, part = np.empty_like(miss), np.empty_like(miss)
             for k, prior in enumerate(PRIORS.values()):
-                hit = score >= bayes_threshold(prior)
-                self.sums[2 + 2 * k] += wt[~hit].sum(axis=0)
-                self.sums[3 + 2 * k] += wn[hit].sum(axis=0)
-                cost = (prior * miss + (1 - prior) * false) / min(prior, 1 - prior)
-                self.least[k] = np.fmin(self.least[k], cost.min(axis=0))
-            crossed = false >= miss
-            found = crossed.any(axis=0) & (at < self.at)
+                np.multiply(miss, prior, out=cost)
+                np.multiply(false, 1 - prior, out=part)
+                cost += part
+                self.least[k, some] = np.fmin(self.least[k, some], cost.min(axis=0) / min(prior, 1 - prior))
+            # misses fall and false alarms rise along the block, so one that crosses has done so at its end
+            found = (false[-1] >= miss[-1]) & (at < self.at[some])
             if found.any():
-                row = crossed.argmax(axis=0)
+                row = (false >= miss).argmax(axis=0)
                 col = np.arange(len(row))
                 start_miss, start_false = (all_t - before[0]) / all_t, before[1] / all_n
                 left_miss = np.where(row > 0, miss[row - 1, col], start_miss)
@@ -103,9 +131,9 @@ class Block:
                 right_miss, right_false = miss[row, col], false[row, col]
                 left, gap = left_false - left_miss, (left_false - left_miss) - (right_false - right_miss)
                 alpha = np.clip(np.where(gap == 0, 0.0, left / gap), 0.0, 1.0)
-                self.eer[found] = (left_false + alpha * (right_false - left_false))[found]
-                self.at[found] = at
-        return before[0] + wt.sum(axis=0), before[1] + wn.sum(axis=0)
+                self.eer[some][found] = (left_false + alpha * (right_false - left_false))[found]
+                self.at[some][found] = at
+        return before[0] + end_t, before[1] + end_n
 
     def merge(self, other: Block) -> None:
         self.sums += other.sums
