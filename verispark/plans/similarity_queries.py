@@ -457,6 +457,9 @@ def resplit_wide(spark, d):
     ),
 )
 def metadata_join(spark, d):
+    """Metadata by id and utterances: at size, different trials share an id."""
     meta = ["enroll_speaker", "test_speaker", "language_pair", "enroll_duration_sec"]
-    out = J.join_metadata(fx.llr_trials(spark, d), fx.protocol(spark, d).select("trial_id", *meta), meta)
+    keys = ["trial_id", "enroll_utt", "test_utt"]
+    trials = fx.llr_trials(spark, d, extra=("enroll_utt", "test_utt"))
+    out = J.join_metadata(trials, fx.protocol(spark, d).select(*keys, *meta), meta, keys)
     return out.select("split", "trial_id", F.col("label").cast("int").alias("label"), "llr", *meta)
