@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import sigmoid
+from ..functions.scalars import hash_key, sigmoid
 from ..operators.scoring import WIDEST, score_wide
 from ..operators.selective import decide
 
@@ -69,10 +69,12 @@ def resume_scoring(
 
     ``base`` names a folder that all executors share: ``scored`` and ``quarantine``
     hold one subfolder per batch, which a repeated batch overwrites; ``state`` holds
-    the progress and the ids seen, one state row per trial.
+    the progress and the trials seen, 32 bytes of state each.  A trial is its id and its two
+    utterances: different trials may share an id, and each of them is scored.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.drop("_seen")
         tried = score_wide(batch, embeddings, encoders, on_missing="null", utterances=utterances, dim=dim).persist()
         reason = F.when(F.col("trial_id").isNull(), "no trial id").when(~F.coalesce(F.col("label").isin(0, 1), F.lit(False)), "no label")
         for e in encoders:
@@ -86,7 +88,8 @@ def resume_scoring(
         bad.write.mode("overwrite").parquet(f"{base}/quarantine/batch={number}")
         tried.unpersist()
 
-    once = trials.dropDuplicates(["trial_id"])
+    seen = F.unhex(hash_key(F.col("trial_id"), F.col("enroll_utt"), F.col("test_utt")))
+    once = trials.withColumn("_seen", seen).dropDuplicates(["_seen"])
     query = once.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
 
