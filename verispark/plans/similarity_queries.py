@@ -9,7 +9,7 @@ from ..operators import protocol as P
 from ..operators import scoring as J
 from ..sources import fixtures as fx
 from . import sqlbase as B
-from .protocol_queries import DUR, MEDIAN, wide_with_features
+from .protocol_queries import DUR, MEDIAN, wide_by_id
 from .registry import query
 
 ENCODERS = fx.ENCODERS
@@ -442,8 +442,8 @@ def resplit_wide(spark, d):
     people = fx.table(spark, d, "embeddings").select(fx.speaker_of(vid).alias("speaker_id")).distinct()
     count = fx.speaker_count(spark, d)
     manifest = P.assign_speakers(people, seed="resplit_v1", calibration_ratio=0.5, count=count, leftover="test")
-    wide = wide_with_features(spark, d, extra=("test_speaker",))
-    again = P.split_protocol(wide.drop("split"), manifest, count).filter(F.col("split") != P.UNUSED)
+    wide = wide_by_id(spark, d, only=["trial_id", "label", "enroll_speaker", "test_speaker", "target", "min_duration", "qmf1"])
+    again = P.split_protocol(wide, manifest, count).filter(F.col("split") != P.UNUSED)
     return again.select(
         "split", "trial_id", F.col("label").cast("int").alias("label"), "target", "min_duration", "qmf1", *SCORES
     )
