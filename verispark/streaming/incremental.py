@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key, sigmoid
-from ..operators.scoring import WIDEST, score_wide
+from ..operators.scoring import WIDEST, cells_move_less, score_wide, vector_bytes
 from ..operators.selective import decide
 
 
@@ -54,6 +54,34 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def score_available(
+    trials: DataFrame,
+    embeddings: DataFrame,
+    encoders: Sequence[str],
+    llr: Callable[[], object],
+    columns: Sequence[str],
+    out: str,
+    checkpoint: str,
+    *,
+    utterances: int | None = None,
+    dim: int = WIDEST,
+    **scoring,
+) -> None:
+    """Score everything that has arrived, batch by batch, write ``columns`` under ``out`` and stop.
+
+    A batch is a table of known size, so where that moves less its trials meet the
+    embeddings in cells, without vectors.  A repeated batch overwrites its subfolder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = utterances if cells_move_less(batch, utterances, vector_bytes(len(encoders), dim)) else None
+        scored = scored_stream(batch, embeddings, encoders, llr, utterances=known, dim=dim, **scoring)
+        scored.select(*columns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = trials.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def resume_scoring(
     trials: DataFrame,
     embeddings: DataFrame,
